@@ -69,13 +69,26 @@ def rank_profile(profile: DataFrame, params: ScoreParams = ScoreParams()) -> Dat
     )
 
 
-def system_ranking(events: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:
+def system_ranking(
+    events: DataFrame,
+    params: ScoreParams = ScoreParams(),
+    system_col: str = "id_sistema_mask",
+    delivered_col: str = "delivered",
+    age_col: str = "age_days",
+) -> DataFrame:
     """Systems by score, best first: smoothed delivery rate, pulled down where volume is low.
 
     Counts only events with a known age; negative ages enter the mean as 0.
     """
-    ranked = rank_profile(event_profile(events, ["id_sistema_mask"]), params)
-    return ranked.orderBy(F.desc("score"), "id_sistema_mask")
+    named = events.select(
+        F.col(system_col).alias("id_sistema_mask"),
+        F.col(delivered_col).alias("delivered"),
+        F.col(age_col).alias("age_days"),
+    )
+    ranked = rank_profile(event_profile(named, ["id_sistema_mask"]), params)
+    return ranked.orderBy(F.desc("score"), "id_sistema_mask").withColumnRenamed(
+        "id_sistema_mask", system_col
+    )
 
 
 def area_rates_of_profile(profile: DataFrame, params: ScoreParams = ScoreParams()) -> DataFrame:

@@ -6,6 +6,7 @@ person is a filter on the candidates.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,21 @@ SCORED_COLUMNS = [
 ]
 
 
+@dataclass(frozen=True)
+class CandidateColumns:
+    """Names of the candidate columns, for tables that call them otherwise."""
+
+    person: str = "cpf"
+    phone: str = "telefone"
+    system: str = "id_sistema_mask"
+    updated: str = "registro_data_atualizacao"
+    area: str | None = "telefone_ddd"
+
+    def renames(self) -> dict[str, str]:
+        names = [self.person, self.phone, self.system, self.updated, self.area]
+        return {own: ours for own, ours in zip(names, SCORED_COLUMNS) if own is not None}
+
+
 def score_candidates(
     candidates: DataFrame,
     ranking: DataFrame,
@@ -43,8 +59,7 @@ def score_candidates(
     a count shows that they are small.
     """
     systems = ranking.select("id_sistema_mask", F.col("score").alias("system_score"))
-    updated = F.col("registro_data_atualizacao")
-    age = whole_days_between(updated, F.lit(now).cast("timestamp_ntz")).cast("double")
+    age = whole_days_between(F.col("registro_data_atualizacao"), instant(now)).cast("double")
     out = (
         candidates.join(broadcast_if_small(systems), "id_sistema_mask", "left")
         .withColumns(
@@ -68,6 +83,11 @@ def score_candidates(
     )
 
 
+def instant(now: datetime) -> Column:
+    """A wall-clock literal, whatever time zones the driver and the session have."""
+    return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def best_row_per_phone(scored: DataFrame) -> DataFrame:
     """The best record of each phone of a person: highest score, then latest update.
 
@@ -156,12 +176,23 @@ def score_phones(
     bonus: DataFrame | None = None,
     clamp_future: bool = False,
     top: int | None = None,
+    columns: CandidateColumns = CandidateColumns(),
 ) -> DataFrame:
-    """Score, keep the best record per phone and rank; only the ``top`` best where given."""
+    """Score, keep the best record per phone and rank; only the ``top`` best where given.
+
+    Without an area column no bonus applies and the result has no area either.
+    """
+    own = columns.renames()
+    named = candidates.select(*own).withColumnsRenamed(own)
+    if columns.area is None:
+        named, bonus = named.withColumn("telefone_ddd", F.lit(None).cast("string")), None
+    systems = ranking.withColumnRenamed(columns.system, "id_sistema_mask")
     phones = best_row_per_phone(
-        score_candidates(candidates, ranking, now, params, bonus, clamp_future)
+        score_candidates(named, systems, now, params, bonus, clamp_future)
     )
-    return rank_phones(phones) if top is None else top_phones(phones, top)
+    ranked = rank_phones(phones) if top is None else top_phones(phones, top)
+    out = ranked if columns.area is not None else ranked.drop("telefone_ddd")
+    return out.withColumnsRenamed({ours: name for name, ours in own.items()})
 
 
 def top_phones_regrouped(scored: DataFrame, k: int = 2) -> DataFrame:

@@ -214,9 +214,7 @@ def candidates_for_cpf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recency_weights(spark: SparkSession, d: str) -> DataFrame:
-    age = whole_days_between(
-        F.col("registro_data_atualizacao"), F.lit(t.NOW).cast("timestamp_ntz")
-    ).cast("double")
+    age = whole_days_between(F.col("registro_data_atualizacao"), sc.instant(t.NOW)).cast("double")
     return (
         _candidates(spark, d)
         .select("telefone", "id_sistema_mask", "registro_data_atualizacao", age.alias("age_days"))

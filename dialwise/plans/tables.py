@@ -19,8 +19,23 @@ from dialwise.operators.attribution import attribute_system
 NOW = datetime(2002, 1, 1)
 
 
+# Declared, so that opening a table reads no file.
+_SCHEMAS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz,"
+        " o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string,"
+        " l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _owner(spark: SparkSession, sf_dir: str, phone: str) -> Column:

@@ -57,6 +57,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark ``df`` for broadcast after counting that it has at most ``max_rows`` rows.
 
     A larger table is returned as it is, and the join then shuffles (with AQE splitting skewed
-    partitions). Call it on frozen or grouped tables: the check runs a count over ``df``.
+    partitions). The check runs a count over ``df``, so call it on frozen or grouped tables.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -1,0 +1,146 @@
+import math
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from dialwise.operators import experiment as ex
+
+DISPATCH = (
+    "id_disparo bigint, cpf bigint, contato_telefone bigint, envio_datahora timestamp_ntz,"
+    " status_disparo string, descricao_falha string"
+)
+TRY = "arm string, cpf bigint, delivered int, envio_data date, descricao_falha string"
+
+
+def pairs(spark, rows):
+    return spark.createDataFrame(rows, "cpf bigint, telefone bigint")
+
+
+def test_arms_are_stable_and_about_even(spark):
+    people = spark.range(20_000).select(F.col("id").alias("cpf"))
+    arms = ex.assign_arms(people.union(people))
+    assert arms.count() == 20_000
+    assert arms.exceptAll(ex.assign_arms(people.repartition(9))).isEmpty()
+    treated = arms.where(F.col("arm") == ex.TREATMENT).count()
+    assert abs(treated - 10_000) < 300
+    assert not arms.exceptAll(ex.assign_arms(people, seed=1)).isEmpty()
+
+
+def test_random_phones_are_different_and_at_most_two(spark):
+    rows = [(c, 10 * c + p) for c in range(40) for p in range(c % 4 + 1)] * 2
+    picks = ex.random_phones(pairs(spark, rows))
+    owned = {c: c % 4 + 1 for c in range(40)}
+    found = {}
+    for row in picks.collect():
+        found.setdefault(row["cpf"], set()).add(row["telefone"])
+    assert {c: len(p) for c, p in found.items()} == {c: min(2, n) for c, n in owned.items()}
+    assert picks.count() == sum(min(2, n) for n in owned.values())
+
+
+def test_outcome_is_that_of_the_latest_dispatch(spark):
+    sent = spark.createDataFrame(
+        [
+            (1, 1, 10, datetime(2024, 1, 1), "delivered", None),
+            (2, 1, 10, datetime(2024, 1, 2), "failed", "x"),
+            (3, 1, 10, datetime(2024, 1, 2), "READ", None),
+            (4, 1, 11, datetime(2024, 1, 1), None, None),
+            (5, None, 11, datetime(2024, 1, 1), "read", None),
+        ],
+        DISPATCH,
+    )
+    outcomes = ex.last_outcomes(sent)
+    found = {(r["cpf"], r["telefone"]): r for r in outcomes.collect()}
+    assert set(found) == {(1, 10), (1, 11)}
+    assert found[1, 10]["id_disparo"] == 3 and found[1, 10]["delivered"] == 1
+    assert found[1, 11]["delivered"] is None
+    picks = pairs(spark, [(1, 10), (1, 99)]).withColumn("arm", F.lit("controle"))
+    assert [r["telefone"] for r in ex.attempts(picks, outcomes).collect()] == [10]
+
+
+def tries(spark):
+    day, next_day = date(2024, 1, 1), date(2024, 1, 2)
+    return spark.createDataFrame(
+        [
+            ("controle", 1, 1, day, None),
+            ("controle", 1, 0, day, "x"),
+            ("controle", 2, 0, day, "x"),
+            ("controle", 2, None, next_day, None),
+            ("tratamento", 3, 0, day, "y"),
+        ],
+        TRY,
+    )
+
+
+def test_primary_and_secondary_metrics(spark):
+    primary = {r["arm"]: r for r in ex.primary_metric(tries(spark)).collect()}
+    assert tuple(primary["controle"])[1:4] == (2, 1, 0.5)
+    assert tuple(primary["tratamento"])[1:5] == (1, 0, 0.0, 0.0)
+    second = {r["arm"]: tuple(r)[1:] for r in ex.secondary_metrics(tries(spark)).collect()}
+    assert second == {"controle": (4, 1, 0.25, 4.0), "tratamento": (1, 0, 0.0, None)}
+
+
+def test_failure_reasons_and_daily_metrics(spark):
+    reasons = sorted(tuple(r) for r in ex.failure_reasons(tries(spark)).collect())
+    assert reasons == [("controle", "x", 2, 0.5), ("tratamento", "y", 1, 1.0)]
+    daily = {(r["arm"], r["envio_data"]): r for r in ex.daily_metrics(tries(spark)).collect()}
+    assert len(daily) == 3
+    first = daily["controle", date(2024, 1, 1)]
+    assert (first["pessoas"], first["alcancados"], first["tentativas"]) == (2, 1, 3)
+
+
+def test_response_times(spark):
+    sent = datetime(2024, 1, 1)
+    rows = [("controle", sent, datetime(2024, 1, 1, 0, 0, s)) for s in (10, 20, 30, 40, 50)]
+    rows += [("controle", sent, None), ("tratamento", sent, None)]
+    frame = spark.createDataFrame(
+        rows, "arm string, envio_datahora timestamp_ntz, respondido timestamp_ntz"
+    )
+    found = ex.response_times(frame, "respondido").collect()
+    assert [tuple(r) for r in found] == [("controle", 5, 30.0, 46.0)]
+
+
+def test_duration(spark):
+    rows = [
+        (i, i % 3, 1, datetime(2024, 1, 1 + i % 2, i % 24), "read", None) for i in range(12)
+    ]
+    people = ex.daily_people(spark.createDataFrame(rows, DISPATCH)).first()[0]
+    assert people == 3.0
+    days = spark.range(1).select(ex.duration_days(F.lit(9770), F.lit(people))).first()[0]
+    assert days == pytest.approx(2 * 9770 / 3)
+
+
+def arms(spark, n_a, n_b, p_a=0.6, p_b=0.5):
+    a = spark.range(n_a).select(
+        F.col("id").alias("unit"),
+        F.lit(ex.TREATMENT).alias("arm"),
+        (F.pmod(F.hash("id"), F.lit(1000)) < p_a * 1000).cast("int").alias("y"),
+    )
+    b = spark.range(n_b).select(
+        (F.col("id") + 10**6).alias("unit"),
+        F.lit(ex.CONTROL).alias("arm"),
+        (F.pmod(F.hash("id"), F.lit(1000)) < p_b * 1000).cast("int").alias("y"),
+    )
+    return a.union(b)
+
+
+def test_bootstrap_agrees_with_the_normal_interval(spark):
+    units = arms(spark, 8000, 6000)
+    row = ex.bootstrap_rate_diff(units, n_boot=400).first()
+    means = {
+        r["arm"]: (r["m"], r["n"])
+        for r in units.groupBy("arm").agg(F.avg("y").alias("m"), F.count("y").alias("n")).collect()
+    }
+    diff = means[ex.TREATMENT][0] - means[ex.CONTROL][0]
+    spread = math.sqrt(sum(m * (1 - m) / n for m, n in means.values()))
+    assert row["diff_mean"] == pytest.approx(diff, abs=spread / 4)
+    half = (row["ci_high"] - row["ci_low"]) / 2
+    assert half == pytest.approx(1.96 * spread, rel=0.2)
+    again = ex.bootstrap_rate_diff(units.repartition(3), n_boot=400).first()
+    assert again == row
+
+
+def test_bootstrap_of_an_empty_arm_is_nan(spark):
+    units = arms(spark, 50, 50)
+    for part in (units.where(F.col("arm") == ex.CONTROL), units.limit(0)):
+        assert all(math.isnan(x) for x in ex.bootstrap_rate_diff(part, n_boot=20).first())
