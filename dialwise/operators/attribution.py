@@ -13,6 +13,8 @@ many dispatches or appearances it holds, so no window partition is larger than t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ def _ask_day() -> Column:
     return F.coalesce(F.col("envio_data"), F.lit(_BEFORE_ALL_DAYS).cast("date"))
 
 
-def _best_per_day(appearances: DataFrame, null_dates: str) -> DataFrame:
+def _best_per_day(
+    appearances: DataFrame, null_dates: str, attributes: Sequence[str]
+) -> DataFrame:
     """Per phone and day: the best appearance that becomes usable that day, and their number."""
     if null_dates not in ("first", "last"):
         raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
@@ -57,7 +61,7 @@ def _best_per_day(appearances: DataFrame, null_dates: str) -> DataFrame:
         latest_first.alias("latest_first"),
         "id_sistema_mask",
         day.alias("registro_data_atualizacao"),
-        *PHONE_ATTRIBUTES,
+        *attributes,
     )
     return (
         appearances.where(F.col("telefone_mascarado").isNotNull())
@@ -67,7 +71,10 @@ def _best_per_day(appearances: DataFrame, null_dates: str) -> DataFrame:
 
 
 def send_day_choices(
-    dispatch: DataFrame, appearances: DataFrame, null_dates: str = "first"
+    dispatch: DataFrame,
+    appearances: DataFrame,
+    null_dates: str = "first",
+    attributes: Sequence[str] = PHONE_ATTRIBUTES,
 ) -> DataFrame:
     """Per phone and send day that occur in ``dispatch`` (with :func:`with_send_day` columns):
 
@@ -75,7 +82,7 @@ def send_day_choices(
     1 if it was valid at the send, ``fan_out``, the number of appearances the phone has, and
     ``valid_at_send``, how many of them were valid at the send.
     """
-    best = _best_per_day(appearances, null_dates).withColumn("asked", F.lit(False))
+    best = _best_per_day(appearances, null_dates, attributes).withColumn("asked", F.lit(False))
     asked = (
         dispatch.where(F.col("contato_telefone").isNotNull())
         .select("contato_telefone", _ask_day().alias("dia"))
@@ -111,14 +118,17 @@ def send_day_choices(
 
 
 def enrich_dispatch(
-    dispatch: DataFrame, appearances: DataFrame, null_dates: str = "first"
+    dispatch: DataFrame,
+    appearances: DataFrame,
+    null_dates: str = "first",
+    attributes: Sequence[str] = PHONE_ATTRIBUTES,
 ) -> DataFrame:
     """Each dispatch with its flag, send day and what its phone's appearances say about it.
 
     Left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
     """
     sent = with_send_day(dispatch)
-    choices = send_day_choices(sent, appearances, null_dates)
+    choices = send_day_choices(sent, appearances, null_dates, attributes)
     return (
         sent.withColumn("ask_day", _ask_day())
         .join(choices, ["contato_telefone", "ask_day"], "left")
@@ -133,20 +143,33 @@ def enrich_dispatch(
     )
 
 
+def has_repeated_ids(dispatch: DataFrame) -> bool:
+    """Whether any ``id_disparo`` occurs twice. Reads and shuffles nothing but the ids."""
+    counts = dispatch.groupBy("id_disparo").agg(F.count(F.lit(1)).alias("n"))
+    return not counts.where(F.col("n") > 1).isEmpty()
+
+
 def attribute_system(
     dispatch: DataFrame,
     appearances: DataFrame,
     null_dates: str = "first",
-    unique_ids: bool = False,
+    unique_ids: bool | None = None,
+    attributes: Sequence[str] = PHONE_ATTRIBUTES,
 ) -> DataFrame:
     """The attributed events: one row per ``id_disparo``, with the winning system and its age.
 
     ``null_dates`` says where appearances without a date stand when no appearance was valid at
     the send: ``"first"`` (the default) prefers them to records dated after it, ``"last"`` does
-    not. Rows that share an id collapse into the one with the better attribution;
-    ``unique_ids=True`` promises that there are none and saves that shuffle.
+    not. Rows that share an id collapse into the one with the better attribution. That needs a
+    shuffle and two sorts of whole events, so it is planned only where ids do repeat: ``None``
+    checks that on the ids alone, ``True`` promises they do not, ``False`` always collapses.
+
+    ``attributes`` names the phone attributes to carry along. They take part in the choice, so
+    Spark cannot prune unused ones by itself: name only those that are needed.
     """
-    chosen = enrich_dispatch(dispatch, appearances, null_dates).select(
+    if unique_ids is None:
+        unique_ids = not has_repeated_ids(dispatch)
+    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes).select(
         "id_disparo",
         "cpf",
         "contato_telefone",
@@ -154,7 +177,7 @@ def attribute_system(
         F.col("choice.registro_data_atualizacao").alias("registro_data_atualizacao"),
         "envio_datahora",
         "envio_data",
-        *[F.col(f"choice.{a}").alias(a) for a in PHONE_ATTRIBUTES],
+        *[F.col(f"choice.{a}").alias(a) for a in attributes],
         "status_disparo",
         "delivered",
         "prefer",
@@ -171,7 +194,10 @@ def attribute_system(
         )
         chosen = chosen.withColumn("place", F.row_number().over(same_id)).where("place = 1")
     age = F.datediff("envio_data", "registro_data_atualizacao").cast("double")
-    return chosen.withColumn("age_days", age).select(*EVENTS.fieldNames())
+    left_out = set(PHONE_ATTRIBUTES) - set(attributes)
+    return chosen.withColumn("age_days", age).select(
+        *[c for c in EVENTS.fieldNames() if c not in left_out]
+    )
 
 
 def _recency_order(null_dates: str) -> Column:

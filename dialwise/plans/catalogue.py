@@ -25,6 +25,7 @@ from dialwise.operators import rates as rt
 from dialwise.operators import scoring as sc
 from dialwise.plans import tables as t
 from dialwise.plans.choice import choose_phones, experiment_picks, learned_tables
+from dialwise.schemas import PHONE_ATTRIBUTES
 from dialwise.session import new_table_path
 from dialwise.sources import find_table, read_events, write_events
 
@@ -37,6 +38,10 @@ def _rate() -> list:
     return ["n", _r("rate"), _r("ci_low"), _r("ci_high")]
 
 
+def _events_with_area(spark: SparkSession, d: str) -> DataFrame:
+    return t.events(spark, d, "telefone_ddd")
+
+
 # Sources
 
 
@@ -55,7 +60,7 @@ def scan_discovered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = write_events(t.events(spark, d), new_table_path(spark, "events"))
+    path = write_events(attribute_system(spark, d), new_table_path(spark, "events"))
     return read_events(spark, path)
 
 
@@ -88,7 +93,7 @@ def enrich_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribute_system(spark: SparkSession, d: str) -> DataFrame:
-    return t.events(spark, d)
+    return t.events(spark, d, *PHONE_ATTRIBUTES)
 
 
 def filter_not_null(spark: SparkSession, d: str) -> DataFrame:
@@ -174,15 +179,15 @@ def system_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ddd_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rk.area_rates(t.events(spark, d)).select("telefone_ddd", "n", _r("rate"))
+    return rk.area_rates(_events_with_area(spark, d)).select("telefone_ddd", "n", _r("rate"))
 
 
 def ddd_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rk.area_quantiles(rk.area_rates(t.events(spark, d))).select(_r("q_low"), _r("q_high"))
+    return rk.area_quantiles(rk.area_rates(_events_with_area(spark, d))).select(_r("q_low"), _r("q_high"))
 
 
 def ddd_bonus(spark: SparkSession, d: str) -> DataFrame:
-    return rk.area_bonus(rk.area_rates(t.events(spark, d)))
+    return rk.area_bonus(rk.area_rates(_events_with_area(spark, d)))
 
 
 def baseline_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +228,7 @@ def recency_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     scored = sc.score_candidates(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
     return scored.select(
         "cpf",
@@ -245,7 +250,7 @@ def _scored() -> list:
 
 
 def best_row_per_phone(spark: SparkSession, d: str) -> DataFrame:
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     scored = sc.score_candidates(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
     return sc.best_row_per_phone(scored).select(*_scored())
 
@@ -261,7 +266,7 @@ def score_phones(spark: SparkSession, d: str) -> DataFrame:
 
 def score_phones_one(spark: SparkSession, d: str) -> DataFrame:
     person = _person_with_most_phones(spark, d).select("cpf").scalar()
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     one = _candidates(spark, d).where(F.col("cpf") == person)
     ranked = sc.score_phones(one, ranking, t.NOW, bonus=bonus)
     return ranked.select(*_scored(), "rank")
@@ -272,7 +277,7 @@ def top2_phones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top2_phones_agg(spark: SparkSession, d: str) -> DataFrame:
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     scored = sc.score_candidates(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
     return sc.top_phones_regrouped(scored).select(*_scored())
 
@@ -328,7 +333,7 @@ def half_life(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_size(spark: SparkSession, d: str) -> DataFrame:
-    baselines = ex.baseline_segments(rk.event_profile(t.events(spark, d)))
+    baselines = ex.baseline_segments(rk.event_profile(_events_with_area(spark, d)))
     return ex.with_sample_size(baselines).select(
         "segmento", "valor", _r("baseline_p"), _r("p_t"), "n_per_group"
     )
@@ -366,7 +371,7 @@ def ab_control_pick(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ab_treatment_pick(spark: SparkSession, d: str) -> DataFrame:
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     mine = _candidates(spark, d).where(ex.arm_of(F.col("cpf")) == ex.TREATMENT)
     return sc.score_phones(mine, ranking, t.NOW, bonus=bonus, top=2).select(
         "cpf", "telefone", "rank", _r("final_score")
@@ -374,7 +379,7 @@ def ab_treatment_pick(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attempts(spark: SparkSession, d: str) -> DataFrame:
-    ranking, bonus = learned_tables(t.events(spark, d))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
     picks = experiment_picks(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
     return ex.attempts(picks, ex.last_outcomes(t.dispatch(spark, d)))
 

@@ -49,7 +49,7 @@ def choose_phones(
     top: int | None = 2,
 ) -> DataFrame:
     """The ``top`` best phones of every person: attribute, learn, score, rank."""
-    events = attribute_system(dispatch, appearances)
+    events = attribute_system(dispatch, appearances, attributes=["telefone_ddd"])
     ranking, bonus = learned_tables(events, params)
     return score_phones(candidates(appearances), ranking, now, params, bonus, top=top)
 

@@ -94,14 +94,15 @@ def phone_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.collect_list(F.struct("id_sistema", "registro_data_atualizacao", "cpf")).alias(
                 "telefone_aparicoes"
-            ),
-            F.count(F.lit(1)).alias("appearances"),
-            F.count_distinct("cpf").alias("owners"),
-            F.count_distinct("id_sistema").alias("systems"),
+            )
         )
     )
     phones = _phones(spark, sf_dir).withColumn("telefone_nacionalidade", F.lit("BR"))
-    zero = F.lit(0).cast("bigint")
+
+    def size(values: Column) -> Column:
+        return F.coalesce(F.size(values), F.lit(0)).cast("bigint")
+
+    listed = F.col("telefone_aparicoes")
     return phones.join(lists, "telefone_numero", "left").select(
         "telefone_numero",
         "telefone_ddi",
@@ -110,9 +111,9 @@ def phone_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         "telefone_nacionalidade",
         "telefone_qualidade",
         "telefone_aparicoes",
-        F.coalesce("appearances", zero).alias("telefone_aparicoes_quantidade"),
-        F.coalesce("owners", zero).alias("telefone_proprietarios_quantidade"),
-        F.coalesce("systems", zero).alias("telefone_sistemas_quantidade"),
+        size(listed).alias("telefone_aparicoes_quantidade"),
+        size(F.array_distinct(listed["cpf"])).alias("telefone_proprietarios_quantidade"),
+        size(F.array_distinct(listed["id_sistema"])).alias("telefone_sistemas_quantidade"),
         "validacao_telefone",
     )
 
@@ -160,8 +161,11 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribute_system(dispatch(spark, sf_dir), appearances(spark, sf_dir))
+def events(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
+    """The attributed events with the named phone attributes."""
+    return attribute_system(
+        dispatch(spark, sf_dir), appearances(spark, sf_dir), attributes=attributes
+    )
 
 
 def decaying_events(spark: SparkSession, sf_dir: str) -> DataFrame:

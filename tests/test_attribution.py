@@ -79,12 +79,26 @@ def test_repeated_ids_collapse_into_the_better_attribution(spark):
     rows = attributed(spark, sent, listed)
     assert len(rows) == 2
     assert rows[1]["id_sistema_mask"] == 2 and rows[None]["id_sistema_mask"] == 2
+    forced = attributed(spark, sent, listed, unique_ids=False)
+    assert forced == rows
     kept = attribute_system(
         dispatch(spark, sent), appearances(spark, listed), unique_ids=True
     )
     assert kept.count() == 4
 
 
+def test_ids_are_checked_before_a_shuffle_by_id_is_planned(spark):
+    listed = appearances(spark, [(10, "21", 1, datetime(2024, 1, 1), 7)])
+
+    def shuffles_by_id(rows):
+        plan = attribute_system(dispatch(spark, rows), listed)._jdf.queryExecution()
+        return "hashpartitioning(id_disparo" in plan.executedPlan().toString()
+
+    one = [(1, 7, 10, datetime(2024, 3, 10), "read"), (2, 7, 10, datetime(2024, 3, 10), "read")]
+    assert not shuffles_by_id(one)
+    assert shuffles_by_id([*one, one[0]])
+
+
 @pytest.mark.parametrize("seed,null_dates", [(1, "first"), (2, "last"), (3, "first")])
 def test_agrees_with_building_every_pair(spark, seed, null_dates):
     rng = random.Random(seed)
