@@ -15,16 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.functions import delivered_flag
 from dialwise.schemas import EVENTS, PHONE_ATTRIBUTES
 
-_BEFORE_ALL_DAYS = "0001-01-01"
-_AFTER_ALL_DAYS = 2**31 - 1
-
-
 def with_send_day(dispatch: DataFrame) -> DataFrame:
     """Add the success flag and the date part of the send time."""
     return dispatch.withColumns(
@@ -35,38 +31,48 @@ def with_send_day(dispatch: DataFrame) -> DataFrame:
     )
 
 
-def _ask_day() -> Column:
-    # A dispatch without a send date has no valid appearance: ask for a day before all of them.
-    return F.coalesce(F.col("envio_data"), F.lit(_BEFORE_ALL_DAYS).cast("date"))
+# A dispatch without a send date has no valid appearance: it asks for a day before all of them.
+_ASK_DAY = "coalesce(envio_data, DATE'0001-01-01')"
+
+# An update during a day is not on or before the midnight that starts this day, so it can serve
+# only from the next day on.
+_USABLE_FROM = """
+CASE WHEN CAST(registro_data_atualizacao AS TIMESTAMP_NTZ)
+          > CAST(CAST(registro_data_atualizacao AS DATE) AS TIMESTAMP_NTZ)
+     THEN date_add(CAST(registro_data_atualizacao AS DATE), 1)
+     ELSE CAST(registro_data_atualizacao AS DATE) END
+"""
+
+# Places appearances without a date before or after all others, if none was valid at the send.
+_LATEST_FIRST = {
+    "first": "-unix_date(CAST(registro_data_atualizacao AS DATE))",
+    "last": "coalesce(-unix_date(CAST(registro_data_atualizacao AS DATE)), 2147483647)",
+}
 
 
 def _best_per_day(
     appearances: DataFrame, null_dates: str, attributes: Sequence[str]
 ) -> DataFrame:
     """Per phone and day: the best appearance that becomes usable that day, and their number."""
-    if null_dates not in ("first", "last"):
+    if null_dates not in _LATEST_FIRST:
         raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
-    updated = F.col("registro_data_atualizacao")
-    day = updated.cast("date")
-    # An update during a day is not on or before the midnight that starts this day, so it can
-    # serve only from the next day on.
-    during_day = updated.cast("timestamp_ntz") > day.cast("timestamp_ntz")
-    usable_from = F.when(during_day, F.date_add(day, 1)).otherwise(day)
-    latest_first = -F.unix_date(day)
-    if null_dates == "last":
-        latest_first = F.coalesce(latest_first, F.lit(_AFTER_ALL_DAYS))
     # The smallest choice is the best one: latest day, then smallest system, then the phone's
     # attributes, so that equal dates never leave the result open.
-    choice = F.struct(
-        latest_first.alias("latest_first"),
+    fields = [
+        f"{_LATEST_FIRST[null_dates]} AS latest_first",
         "id_sistema_mask",
-        day.alias("registro_data_atualizacao"),
+        "CAST(registro_data_atualizacao AS DATE) AS registro_data_atualizacao",
         *attributes,
-    )
+    ]
     return (
-        appearances.where(F.col("telefone_mascarado").isNotNull())
-        .groupBy(F.col("telefone_mascarado").alias("contato_telefone"), usable_from.alias("dia"))
-        .agg(F.min(choice).alias("choice"), F.count(F.lit(1)).alias("listed"))
+        appearances.where("telefone_mascarado IS NOT NULL")
+        .selectExpr(
+            "telefone_mascarado AS contato_telefone",
+            f"{_USABLE_FROM} AS dia",
+            f"struct({', '.join(fields)}) AS choice",
+        )
+        .groupBy("contato_telefone", "dia")
+        .agg(F.min("choice").alias("choice"), F.count(F.lit(1)).alias("listed"))
     )
 
 
@@ -84,35 +90,32 @@ def send_day_choices(
     """
     best = _best_per_day(appearances, null_dates, attributes).withColumn("asked", F.lit(False))
     asked = (
-        dispatch.where(F.col("contato_telefone").isNotNull())
-        .select("contato_telefone", _ask_day().alias("dia"))
+        dispatch.where("contato_telefone IS NOT NULL")
+        .selectExpr("contato_telefone", f"{_ASK_DAY} AS dia")
         .distinct()
         .withColumn("asked", F.lit(True))
     )
-    board = best.unionByName(asked, allowMissingColumns=True)
-    whole = Window.partitionBy("contato_telefone")
-    so_far = whole.orderBy("dia", "asked").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    dated = F.col("dia").isNotNull()
+    whole = "PARTITION BY contato_telefone"
+    so_far = f"{whole} ORDER BY dia, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     return (
-        board.select(
+        best.unionByName(asked, allowMissingColumns=True)
+        .selectExpr(
             "contato_telefone",
-            "dia",
+            "dia AS ask_day",
             "asked",
-            F.min(F.when(dated, F.col("choice"))).over(so_far).alias("valid"),
-            F.sum(F.when(dated, F.col("listed"))).over(so_far).alias("valid_at_send"),
-            F.min("choice").over(whole).alias("any"),
-            F.sum("listed").over(whole).alias("fan_out"),
+            f"min(IF(dia IS NULL, NULL, choice)) OVER ({so_far}) AS valid",
+            f"sum(IF(dia IS NULL, NULL, listed)) OVER ({so_far}) AS valid_at_send",
+            f"min(choice) OVER ({whole}) AS any_choice",
+            f"sum(listed) OVER ({whole}) AS fan_out",
         )
         .where("asked")
-        .select(
+        .selectExpr(
             "contato_telefone",
-            F.col("dia").alias("ask_day"),
-            F.coalesce("valid", "any").alias("choice"),
-            F.col("valid").isNotNull().cast("int").alias("prefer"),
-            F.coalesce("fan_out", F.lit(0)).alias("fan_out"),
-            F.coalesce("valid_at_send", F.lit(0)).alias("valid_at_send"),
+            "ask_day",
+            "coalesce(valid, any_choice) AS choice",
+            "CAST(valid IS NOT NULL AS INT) AS prefer",
+            "coalesce(fan_out, 0) AS fan_out",
+            "coalesce(valid_at_send, 0) AS valid_at_send",
         )
     )
 
@@ -130,16 +133,10 @@ def enrich_dispatch(
     sent = with_send_day(dispatch)
     choices = send_day_choices(sent, appearances, null_dates, attributes)
     return (
-        sent.withColumn("ask_day", _ask_day())
+        sent.withColumn("ask_day", F.expr(_ASK_DAY))
         .join(choices, ["contato_telefone", "ask_day"], "left")
         .drop("ask_day")
-        .withColumns(
-            {
-                "prefer": F.coalesce("prefer", F.lit(0)),
-                "fan_out": F.coalesce("fan_out", F.lit(0)),
-                "valid_at_send": F.coalesce("valid_at_send", F.lit(0)),
-            }
-        )
+        .fillna(0, ["prefer", "fan_out", "valid_at_send"])
     )
 
 
@@ -169,38 +166,31 @@ def attribute_system(
     """
     if unique_ids is None:
         unique_ids = not has_repeated_ids(dispatch)
-    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes).select(
-        "id_disparo",
-        "cpf",
-        "contato_telefone",
-        F.col("choice.id_sistema_mask").alias("id_sistema_mask"),
-        F.col("choice.registro_data_atualizacao").alias("registro_data_atualizacao"),
-        "envio_datahora",
-        "envio_data",
-        *[F.col(f"choice.{a}").alias(a) for a in attributes],
-        "status_disparo",
-        "delivered",
-        "prefer",
-    )
+    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes)
     if not unique_ids:
-        same_id = Window.partitionBy("id_disparo").orderBy(
-            F.desc("prefer"),
-            _recency_order(null_dates),
-            "id_sistema_mask",
-            "envio_datahora",
-            "contato_telefone",
-            "cpf",
-            "status_disparo",
-        )
-        chosen = chosen.withColumn("place", F.row_number().over(same_id)).where("place = 1")
-    age = F.datediff("envio_data", "registro_data_atualizacao").cast("double")
+        chosen = _one_row_per_id(chosen, null_dates)
+    from_choice = ["id_sistema_mask", "registro_data_atualizacao", *attributes]
     left_out = set(PHONE_ATTRIBUTES) - set(attributes)
-    return chosen.withColumn("age_days", age).select(
-        *[c for c in EVENTS.fieldNames() if c not in left_out]
+    return chosen.selectExpr(
+        *[
+            f"choice.{c} AS {c}" if c in from_choice else _AGE if c == "age_days" else c
+            for c in EVENTS.fieldNames()
+            if c not in left_out
+        ]
     )
 
 
-def _recency_order(null_dates: str) -> Column:
-    if null_dates == "first":
-        return F.desc_nulls_first("registro_data_atualizacao")
-    return F.desc_nulls_last("registro_data_atualizacao")
+_AGE = "CAST(datediff(envio_data, choice.registro_data_atualizacao) AS DOUBLE) AS age_days"
+
+
+def _one_row_per_id(chosen: DataFrame, null_dates: str) -> DataFrame:
+    """Of the rows that share an id, the one with the better attribution."""
+    nulls = null_dates.upper()
+    place = F.expr(
+        f"""row_number() OVER (
+              PARTITION BY id_disparo
+              ORDER BY prefer DESC, choice.registro_data_atualizacao DESC NULLS {nulls},
+                       choice.id_sistema_mask, envio_datahora, contato_telefone, cpf,
+                       status_disparo)"""
+    )
+    return chosen.withColumn("place", place).where("place = 1")

@@ -13,6 +13,7 @@ from dialwise.functions import (
     wilson_bounds,
 )
 from dialwise.operators.ranking import roll_up
+from dialwise.session import frozen
 
 CONTROL, TREATMENT = "controle", "tratamento"
 
@@ -178,8 +179,11 @@ def secondary_metrics(tries: DataFrame) -> DataFrame:
 def failure_reasons(tries: DataFrame) -> DataFrame:
     """Failed attempts per arm and reason, with their share of the arm's attempts."""
     failed = F.when(F.col("delivered") == 0, F.lit(1)).otherwise(F.lit(0))
-    per_reason = tries.groupBy("arm", "descricao_falha").agg(
-        F.sum(failed).alias("falhas"), F.count(F.lit(1)).alias("rows")
+    # Frozen, so that the totals do not compute all attempts a second time.
+    per_reason = frozen(
+        tries.groupBy("arm", "descricao_falha").agg(
+            F.sum(failed).alias("falhas"), F.count(F.lit(1)).alias("rows")
+        )
     )
     totals = per_reason.groupBy("arm").agg(F.sum("rows").alias("tentativas"))
     return (

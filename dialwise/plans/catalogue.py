@@ -50,9 +50,8 @@ def scan_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_phone_dim(spark: SparkSession, d: str) -> DataFrame:
-    return t.phone_dim(spark, d).withColumn(
-        "telefone_aparicoes", F.coalesce(F.size("telefone_aparicoes"), F.lit(-1))
-    )
+    listed = F.expr("coalesce(size(telefone_aparicoes), -1)")
+    return t.phone_dim(spark, d).withColumn("telefone_aparicoes", listed)
 
 
 def scan_discovered(spark: SparkSession, d: str) -> DataFrame:

@@ -38,47 +38,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _owner(spark: SparkSession, sf_dir: str, phone: str) -> Column:
-    people = table(spark, sf_dir, "customer").agg(
-        F.greatest(F.lit(1).cast("bigint"), F.floor(F.count(F.lit(1)) / 5)).alias("people")
-    )
-    return F.col(phone) % people.scalar()
+def _people(spark: SparkSession, sf_dir: str) -> Column:
+    counted = table(spark, sf_dir, "customer").selectExpr("greatest(1, count(1) div 5) AS people")
+    return counted.scalar()
 
 
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = (
-        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", None)
-        .when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "READ")
-        .otherwise("failed")
-    )
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id_disparo"),
-        _owner(spark, sf_dir, "o_custkey").alias("cpf"),
-        F.col("o_custkey").alias("contato_telefone"),
-        F.col("o_orderdate").alias("envio_datahora"),
-        status.alias("status_disparo"),
-        F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("descricao_falha"),
+    sent = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id_disparo",
+        "o_custkey AS contato_telefone",
+        "o_orderdate AS envio_datahora",
+        """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
+                WHEN o_orderstatus = 'F' THEN 'delivered'
+                WHEN o_orderstatus = 'O' THEN 'READ'
+                ELSE 'failed' END AS status_disparo""",
+        "CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS descricao_falha",
     )
+    return sent.withColumn("cpf", F.col("contato_telefone") % _people(spark, sf_dir))
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone, system, update date and owner of every appearance; copies add nothing."""
-    lines = table(spark, sf_dir, "lineitem").where(
-        (F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R")
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+    suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
     return (
-        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            F.col("o_custkey").alias("telefone_numero"),
-            F.col("s_nationkey").cast("bigint").alias("id_sistema"),
-            F.col("l_shipdate").alias("registro_data_atualizacao"),
+        lines.join(suppliers, "l_suppkey")
+        .join(orders, "l_orderkey")
+        .selectExpr(
+            "o_custkey AS telefone_numero",
+            "CAST(s_nationkey AS BIGINT) AS id_sistema",
+            "l_shipdate AS registro_data_atualizacao",
         )
         .distinct()
-        .withColumn("cpf", _owner(spark, sf_dir, "telefone_numero"))
+        .withColumn("cpf", F.col("telefone_numero") % _people(spark, sf_dir))
+    )
+
+
+def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS telefone_numero",
+        "'55' AS telefone_ddi",
+        "CAST(c_nationkey AS STRING) AS telefone_ddd",
+        "c_mktsegment AS telefone_tipo",
+        "CASE WHEN c_acctbal < 0 THEN 'RUIM' ELSE 'BOA' END AS telefone_qualidade",
+        "'VALIDO' AS validacao_telefone",
     )
 
 
@@ -92,40 +96,24 @@ def phone_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listings(spark, sf_dir)
         .groupBy("telefone_numero")
         .agg(
-            F.collect_list(F.struct("id_sistema", "registro_data_atualizacao", "cpf")).alias(
+            F.expr("collect_list(struct(id_sistema, registro_data_atualizacao, cpf))").alias(
                 "telefone_aparicoes"
             )
         )
     )
-    phones = _phones(spark, sf_dir).withColumn("telefone_nacionalidade", F.lit("BR"))
-
-    def size(values: Column) -> Column:
-        return F.coalesce(F.size(values), F.lit(0)).cast("bigint")
-
-    listed = F.col("telefone_aparicoes")
-    return phones.join(lists, "telefone_numero", "left").select(
-        "telefone_numero",
-        "telefone_ddi",
-        "telefone_ddd",
-        "telefone_tipo",
-        "telefone_nacionalidade",
-        "telefone_qualidade",
-        "telefone_aparicoes",
-        size(listed).alias("telefone_aparicoes_quantidade"),
-        size(F.array_distinct(listed["cpf"])).alias("telefone_proprietarios_quantidade"),
-        size(F.array_distinct(listed["id_sistema"])).alias("telefone_sistemas_quantidade"),
-        "validacao_telefone",
-    )
-
-
-def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("telefone_numero"),
-        F.lit("55").alias("telefone_ddi"),
-        F.col("c_nationkey").cast("string").alias("telefone_ddd"),
-        F.col("c_mktsegment").alias("telefone_tipo"),
-        F.when(F.col("c_acctbal") < 0, "RUIM").otherwise("BOA").alias("telefone_qualidade"),
-        F.lit("VALIDO").alias("validacao_telefone"),
+    return (
+        _phones(spark, sf_dir)
+        .join(lists, "telefone_numero", "left")
+        .selectExpr(
+            "*",
+            "'BR' AS telefone_nacionalidade",
+            """CAST(coalesce(size(telefone_aparicoes), 0) AS BIGINT)
+                 AS telefone_aparicoes_quantidade""",
+            """CAST(coalesce(size(array_distinct(telefone_aparicoes.cpf)), 0) AS BIGINT)
+                 AS telefone_proprietarios_quantidade""",
+            """CAST(coalesce(size(array_distinct(telefone_aparicoes.id_sistema)), 0) AS BIGINT)
+                 AS telefone_sistemas_quantidade""",
+        )
     )
 
 
@@ -134,11 +122,14 @@ def phone_system_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     systems = (
         _listings(spark, sf_dir)
         .groupBy("telefone_numero")
-        .agg(F.count_distinct("id_sistema").alias("telefone_sistemas_quantidade"))
+        .agg(F.count_distinct("id_sistema").alias("systems"))
     )
-    return _phones(spark, sf_dir).join(systems, "telefone_numero", "left").select(
-        "telefone_numero",
-        F.coalesce("telefone_sistemas_quantidade", F.lit(0)).alias("telefone_sistemas_quantidade"),
+    return (
+        _phones(spark, sf_dir)
+        .join(systems, "telefone_numero", "left")
+        .selectExpr(
+            "telefone_numero", "coalesce(systems, 0) AS telefone_sistemas_quantidade"
+        )
     )
 
 
@@ -147,16 +138,12 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _phones(spark, sf_dir)
         .join(_listings(spark, sf_dir), "telefone_numero", "left")
-        .select(
-            F.col("telefone_numero").alias("telefone_mascarado"),
-            "telefone_ddi",
-            "telefone_ddd",
-            "telefone_tipo",
-            "telefone_qualidade",
-            "validacao_telefone",
-            F.col("id_sistema").alias("id_sistema_mask"),
-            "registro_data_atualizacao",
-            F.col("cpf").alias("cpf_aparicao"),
+        .withColumnsRenamed(
+            {
+                "telefone_numero": "telefone_mascarado",
+                "id_sistema": "id_sistema_mask",
+                "cpf": "cpf_aparicao",
+            }
         )
     )
 
