@@ -2,7 +2,7 @@
 
 Every order is a dispatch to its customer's phone; every returned first line of an order is an
 appearance of that phone in the system of the supplier's nation; a fifth as many people as
-customers own the phones. All of it grows with the tables and nothing is left out.
+customers own the phones. All of it grows with the tables.
 """
 
 from __future__ import annotations
