@@ -6,8 +6,8 @@ the latest; if there is none, take the latest of all.
 A left join on the phone followed by a choice per dispatch would build every pair of a phone's
 dispatches and appearances, which grows with the square of a busy phone. But the choice depends
 only on the phone and the send *day*. So both sides are first reduced to one row per phone and
-day, on the map side of their shuffles; a running minimum over the days of a phone then answers
-all its send days in one pass. A phone has at most one row per calendar day on each side, however
+day, on the map side of their shuffles; one pass over the days of a phone then answers all its
+send days. A phone has at most one row per calendar day on each side, however
 many dispatches or appearances it holds, so no window partition is larger than the calendar.
 """
 
@@ -53,7 +53,10 @@ _LATEST_FIRST = {
 def _best_per_day(
     appearances: DataFrame, null_dates: str, attributes: Sequence[str]
 ) -> DataFrame:
-    """Per phone and day: the best appearance that becomes usable that day, and their number."""
+    """Per phone and day: the best appearance that becomes usable that day, and their number.
+
+    One more row per phone, without a day, holds the same for all of its appearances.
+    """
     if null_dates not in _LATEST_FIRST:
         raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
     # The smallest choice is the best one: latest day, then smallest system, then the phone's
@@ -64,13 +67,20 @@ def _best_per_day(
         "CAST(registro_data_atualizacao AS DATE) AS registro_data_atualizacao",
         *attributes,
     ]
+    no_day = "CAST(NULL AS DATE)"
     return (
         appearances.where("telefone_mascarado IS NOT NULL")
         .selectExpr(
             "telefone_mascarado AS contato_telefone",
-            f"{_USABLE_FROM} AS dia",
+            f"{_USABLE_FROM} AS usable_from",
             f"struct({', '.join(fields)}) AS choice",
         )
+        .selectExpr(
+            "contato_telefone",
+            f"""explode(IF(usable_from IS NULL, array({no_day}), array(usable_from, {no_day})))
+                  AS dia""",
+            "choice",
+        )
         .groupBy("contato_telefone", "dia")
         .agg(F.min("choice").alias("choice"), F.count(F.lit(1)).alias("listed"))
     )
@@ -95,25 +105,27 @@ def send_day_choices(
         .distinct()
         .withColumn("asked", F.lit(True))
     )
-    whole = "PARTITION BY contato_telefone"
-    so_far = f"{whole} ORDER BY dia, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    # The row without a day sorts first, so it answers until the first usable day is reached. A
+    # later usable day never holds an earlier update, so the last day reached holds the latest.
+    so_far = """PARTITION BY contato_telefone ORDER BY dia NULLS FIRST, asked
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"""
     return (
         best.unionByName(asked, allowMissingColumns=True)
         .selectExpr(
             "contato_telefone",
             "dia AS ask_day",
             "asked",
-            f"min(IF(dia IS NULL, NULL, choice)) OVER ({so_far}) AS valid",
+            f"last_value(choice) IGNORE NULLS OVER ({so_far}) AS choice",
+            f"max(IF(asked, NULL, dia)) OVER ({so_far}) AS valid_day",
+            f"max(IF(dia IS NULL, listed, NULL)) OVER ({so_far}) AS fan_out",
             f"sum(IF(dia IS NULL, NULL, listed)) OVER ({so_far}) AS valid_at_send",
-            f"min(choice) OVER ({whole}) AS any_choice",
-            f"sum(listed) OVER ({whole}) AS fan_out",
         )
         .where("asked")
         .selectExpr(
             "contato_telefone",
             "ask_day",
-            "coalesce(valid, any_choice) AS choice",
-            "CAST(valid IS NOT NULL AS INT) AS prefer",
+            "choice",
+            "CAST(valid_day IS NOT NULL AS INT) AS prefer",
             "coalesce(fan_out, 0) AS fan_out",
             "coalesce(valid_at_send, 0) AS valid_at_send",
         )

@@ -45,7 +45,9 @@ def attribute_by_hand(sent, listed, null_dates="first"):
                 recency = -(10**9) if null_dates == "first" else 10**9
             else:
                 recency = -(day - far).days
-            key = (not valid, recency, -1 if system is None else system)
+            # Of valid updates on one day, those during the day count as later than its midnight.
+            during = valid and updated > midnight(day)
+            key = (not valid, recency, not during, -1 if system is None else system)
             if ident not in best or key < best[ident][0]:
                 best[ident] = (key, (system, day, valid))
     return {ident: value for ident, (_, value) in best.items()}
