@@ -4,11 +4,14 @@ The rule, per dispatch: among the appearances of its phone updated on or before
 the latest; if there is none, take the latest of all.
 
 A left join on the phone followed by a choice per dispatch would build every pair of a phone's
-dispatches and appearances, which grows with the square of a busy phone. But the choice depends
-only on the phone and the send *day*. So both sides are first reduced to one row per phone and
-day, on the map side of their shuffles; one pass over the days of a phone then answers all its
-send days. A phone has at most one row per calendar day on each side, however
-many dispatches or appearances it holds, so no window partition is larger than the calendar.
+dispatches and appearances, which grows with the square of a busy phone. Here the appearances are
+first reduced to one row per phone and day, on the map side of their shuffle; one pass over a phone
+in order of days then answers all its dispatches, with one shuffle of the dispatches and no pairs.
+
+If some phone has too many dispatches for one task, the dispatches are reduced to one question per
+phone and send day as well, since the answer depends on nothing else, and the answers are joined
+back. No window partition is then larger than the calendar, and AQE splits a phone and day that holds
+many dispatches in the join.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from pyspark.sql import functions as F
 from dialwise.functions import delivered_flag
 from dialwise.schemas import EVENTS, PHONE_ATTRIBUTES
 
+# A phone with more dispatches than this is too much for one task of a window.
+BUSY_PHONE = 1_000_000
+
+
 def with_send_day(dispatch: DataFrame) -> DataFrame:
     """Add the success flag and the date part of the send time."""
     return dispatch.withColumns(
@@ -86,50 +93,32 @@ def _best_per_day(
     )
 
 
-def send_day_choices(
-    dispatch: DataFrame,
-    appearances: DataFrame,
-    null_dates: str = "first",
-    attributes: Sequence[str] = PHONE_ATTRIBUTES,
-) -> DataFrame:
-    """Per phone and send day that occur in ``dispatch`` (with :func:`with_send_day` columns):
+def _answered(best: DataFrame, asking: DataFrame) -> DataFrame:
+    """The rows of ``asking`` (contato_telefone, ask_day, …), each with what its phone's
+    appearances say about its day:
 
     ``choice``, the winning appearance (null if the phone is not in the dimension), ``prefer``,
-    1 if it was valid at the send, ``fan_out``, the number of appearances the phone has, and
-    ``valid_at_send``, how many of them were valid at the send.
+    1 if it was valid that day, ``fan_out``, the number of appearances the phone has, and
+    ``valid_at_send``, how many of them were valid that day.
     """
-    best = _best_per_day(appearances, null_dates, attributes).withColumn("asked", F.lit(False))
-    asked = (
-        dispatch.where("contato_telefone IS NOT NULL")
-        .selectExpr("contato_telefone", f"{_ASK_DAY} AS dia")
-        .distinct()
-        .withColumn("asked", F.lit(True))
+    best = best.withColumn("asked", F.lit(False))
+    board = best.unionByName(
+        asking.withColumn("dia", F.col("ask_day")).withColumn("asked", F.lit(True)),
+        allowMissingColumns=True,
     )
     # The row without a day sorts first, so it answers until the first usable day is reached. A
     # later usable day never holds an earlier update, so the last day reached holds the latest.
     so_far = """PARTITION BY contato_telefone ORDER BY dia NULLS FIRST, asked
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"""
-    return (
-        best.unionByName(asked, allowMissingColumns=True)
-        .selectExpr(
-            "contato_telefone",
-            "dia AS ask_day",
-            "asked",
-            f"last_value(choice) IGNORE NULLS OVER ({so_far}) AS choice",
-            f"max(IF(asked, NULL, dia)) OVER ({so_far}) AS valid_day",
-            f"max(IF(dia IS NULL, listed, NULL)) OVER ({so_far}) AS fan_out",
-            f"sum(IF(dia IS NULL, NULL, listed)) OVER ({so_far}) AS valid_at_send",
-        )
-        .where("asked")
-        .selectExpr(
-            "contato_telefone",
-            "ask_day",
-            "choice",
-            "CAST(valid_day IS NOT NULL AS INT) AS prefer",
-            "coalesce(fan_out, 0) AS fan_out",
-            "coalesce(valid_at_send, 0) AS valid_at_send",
-        )
-    )
+    answers = {
+        "choice": f"last_value(choice) IGNORE NULLS OVER ({so_far})",
+        "prefer": f"CAST(max(IF(asked, NULL, dia)) OVER ({so_far}) IS NOT NULL AS INT)",
+        "fan_out": f"max(IF(dia IS NULL, listed, NULL)) OVER ({so_far})",
+        "valid_at_send": f"sum(IF(dia IS NULL, NULL, listed)) OVER ({so_far})",
+    }
+    return board.selectExpr(
+        *asking.columns, "asked", *[f"{sql} AS {name}" for name, sql in answers.items()]
+    ).where("asked").drop("asked")
 
 
 def enrich_dispatch(
@@ -137,48 +126,68 @@ def enrich_dispatch(
     appearances: DataFrame,
     null_dates: str = "first",
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
+    busy_phones: bool = True,
 ) -> DataFrame:
-    """Each dispatch with its flag, send day and what its phone's appearances say about it.
+    """Each dispatch with its flag, its send day and the answers of its phone's appearances.
 
-    Left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
+    Like a left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
+    ``busy_phones=False`` promises that the dispatches of every phone fit one task; it saves a
+    join, and is what :func:`attribute_system` plans after counting them.
     """
-    sent = with_send_day(dispatch)
-    choices = send_day_choices(sent, appearances, null_dates, attributes)
-    return (
-        sent.withColumn("ask_day", F.expr(_ASK_DAY))
-        .join(choices, ["contato_telefone", "ask_day"], "left")
-        .drop("ask_day")
-        .fillna(0, ["prefer", "fan_out", "valid_at_send"])
-    )
+    sent = with_send_day(dispatch).withColumn("ask_day", F.expr(_ASK_DAY))
+    best = _best_per_day(appearances, null_dates, attributes)
+    if busy_phones:
+        asking = sent.where("contato_telefone IS NOT NULL")
+        answers = _answered(best, asking.select("contato_telefone", "ask_day").distinct())
+        answered = sent.join(answers, ["contato_telefone", "ask_day"], "left")
+    else:
+        answers = _answered(best, sent.where("contato_telefone IS NOT NULL"))
+        answered = answers.unionByName(
+            sent.where("contato_telefone IS NULL"), allowMissingColumns=True
+        )
+    return answered.drop("ask_day").fillna(0, ["prefer", "fan_out", "valid_at_send"])
 
 
-def has_repeated_ids(dispatch: DataFrame) -> bool:
-    """Whether any ``id_disparo`` occurs twice. Reads and shuffles nothing but the ids."""
-    counts = dispatch.groupBy("id_disparo").agg(F.count(F.lit(1)).alias("n"))
-    return not counts.where(F.col("n") > 1).isEmpty()
+def largest_groups(dispatch: DataFrame) -> tuple[int, int]:
+    """How often the most frequent id and the most frequent phone occur.
+
+    One job that reads and shuffles nothing but the two columns, counted before the shuffle.
+    """
+
+    def largest(key: str, rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return counts.agg(F.lit(key).alias("key"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+    phones = dispatch.where("contato_telefone IS NOT NULL")
+    found = largest("id_disparo", dispatch).union(largest("contato_telefone", phones)).collect()
+    sizes = {row["key"]: row["n"] for row in found}
+    return sizes["id_disparo"], sizes["contato_telefone"]
 
 
 def attribute_system(
     dispatch: DataFrame,
     appearances: DataFrame,
     null_dates: str = "first",
-    unique_ids: bool | None = None,
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
+    unique_ids: bool | None = None,
+    busy_phones: bool | None = None,
 ) -> DataFrame:
     """The attributed events: one row per ``id_disparo``, with the winning system and its age.
 
     ``null_dates`` says where appearances without a date stand when no appearance was valid at
     the send: ``"first"`` (the default) prefers them to records dated after it, ``"last"`` does
-    not. Rows that share an id collapse into the one with the better attribution. That needs a
-    shuffle and two sorts of whole events, so it is planned only where ids do repeat: ``None``
-    checks that on the ids alone, ``True`` promises they do not, ``False`` always collapses.
+    not. ``attributes`` names the phone attributes to carry along; they take part in the choice,
+    so Spark cannot prune unused ones by itself.
 
-    ``attributes`` names the phone attributes to carry along. They take part in the choice, so
-    Spark cannot prune unused ones by itself: name only those that are needed.
+    Rows that share an id collapse into the one with the better attribution. That needs another
+    shuffle of whole events, so it is planned only where ids do repeat; likewise the join for busy
+    phones. ``unique_ids`` and ``busy_phones`` say so beforehand; ``None`` counts first.
     """
-    if unique_ids is None:
-        unique_ids = not has_repeated_ids(dispatch)
-    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes)
+    if unique_ids is None or busy_phones is None:
+        same_id, same_phone = largest_groups(dispatch)
+        unique_ids = same_id <= 1 if unique_ids is None else unique_ids
+        busy_phones = same_phone > BUSY_PHONE if busy_phones is None else busy_phones
+    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes, busy_phones)
     if not unique_ids:
         chosen = _one_row_per_id(chosen, null_dates)
     from_choice = ["id_sistema_mask", "registro_data_atualizacao", *attributes]

@@ -5,6 +5,7 @@ import pytest
 from frames import appearances, attribute_by_hand, dispatch, some_time
 from pyspark.sql import functions as F
 
+from dialwise.operators import attribution
 from dialwise.operators.appearances import candidates, explode_appearances, people_with_phones
 from dialwise.operators.attribution import attribute_system, enrich_dispatch
 from dialwise.schemas import EVENTS, PHONE_DIM
@@ -87,6 +88,21 @@ def test_repeated_ids_collapse_into_the_better_attribution(spark):
     assert kept.count() == 4
 
 
+def test_busy_phones_are_counted_before_the_join_is_planned(spark, monkeypatch):
+    listed = appearances(spark, [(10, "21", 1, datetime(2024, 1, 1), 7)])
+    sent = dispatch(spark, [(i, 7, 10, datetime(2024, 3, 10), "read") for i in range(5)])
+
+    def joins():
+        plan = attribute_system(sent, listed)._jdf.queryExecution()
+        return "LeftOuter" in plan.executedPlan().toString()
+
+    assert not joins()
+    monkeypatch.setattr(attribution, "BUSY_PHONE", 4)
+    assert joins()
+    assert attribution.largest_groups(sent) == (1, 5)
+    assert attribution.largest_groups(sent.limit(0)) == (0, 0)
+
+
 def test_ids_are_checked_before_a_shuffle_by_id_is_planned(spark):
     listed = appearances(spark, [(10, "21", 1, datetime(2024, 1, 1), 7)])
 
@@ -99,8 +115,9 @@ def test_ids_are_checked_before_a_shuffle_by_id_is_planned(spark):
     assert shuffles_by_id([*one, one[0]])
 
 
+@pytest.mark.parametrize("busy", [False, True])
 @pytest.mark.parametrize("seed,null_dates", [(1, "first"), (2, "last"), (3, "first")])
-def test_agrees_with_building_every_pair(spark, seed, null_dates):
+def test_agrees_with_building_every_pair(spark, seed, null_dates, busy):
     rng = random.Random(seed)
     phones = [*range(8), None]
     sent = [
@@ -117,11 +134,14 @@ def test_agrees_with_building_every_pair(spark, seed, null_dates):
         for _ in range(60)
     ]
     want = attribute_by_hand(sent, listed, null_dates)
-    rows = attributed(spark, sent, listed, null_dates=null_dates)
+    rows = attributed(spark, sent, listed, null_dates=null_dates, busy_phones=busy)
     assert {k: (r["id_sistema_mask"], r["registro_data_atualizacao"]) for k, r in rows.items()} == {
         k: v[:2] for k, v in want.items()
     }
-    enriched = enrich_dispatch(dispatch(spark, sent), appearances(spark, listed), null_dates)
+    enriched = enrich_dispatch(
+        dispatch(spark, sent), appearances(spark, listed), null_dates, busy_phones=busy
+    )
+    assert enriched.count() == len(sent)
     for row in enriched.collect():
         mine = [a for a in listed if a[0] == row["contato_telefone"] and a[0] is not None]
         noon = datetime.combine(row["envio_data"], datetime.min.time())
@@ -179,7 +199,7 @@ def test_a_phone_with_a_third_of_all_rows_builds_no_pairs(spark):
         day(F.col("id") * 3, 1400).alias("registro_data_atualizacao"),
         F.lit(1).cast("bigint").alias("cpf_aparicao"),
     )
-    events = attribute_system(sent, listed)
+    events = attribute_system(sent, listed, busy_phones=True)
     assert events.count() == n
     busy = events.where("contato_telefone = 0").collect()
     assert len(busy) == hot

@@ -122,7 +122,7 @@ def test_a_hot_phone_and_day_is_split_by_the_join(spark, settings):
         F.lit("2023-12-01").cast("timestamp_ntz").alias("registro_data_atualizacao"),
         F.lit(1).cast("bigint").alias("cpf_aparicao"),
     )
-    events = attribute_system(sent, listed)
+    events = attribute_system(sent, listed, busy_phones=True)
     # The ids keep the rows of the hot partition from shrinking to nothing in the shuffle.
     counted = events.groupBy("id_sistema_mask").agg(
         F.count("id_disparo").alias("n"), F.max("id_disparo")
