@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Names and types of the columns of the input tables and of the attributed events.
+
 APPEARANCE = T.StructType(
     [
         T.StructField("id_sistema", T.LongType()),

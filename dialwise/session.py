@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", app: str = "dialwise") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

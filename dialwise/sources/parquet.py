@@ -21,15 +21,19 @@ class TableNotFound(FileNotFoundError):
 def find_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``, with all of its shards.
 
-    Tried in turn: the file or folder ``root/name``; every ``*name*.parquet`` below ``root``; every
-    folder or file directly in ``root`` with ``name`` in its own name, whatever it ends in.
+    Tried in turn: the file or folder ``root/name``; every file ``*name*.parquet`` below ``root``;
+    the folders and files with ``name`` in their own name, whatever it ends in, directly in ``root``
+    or else one or two levels below it.
     """
     root = root.rstrip("/")
     below = spark.read.option("recursiveFileLookup", "true")
     attempts = [
         lambda: spark.read.parquet(f"{root}/{name}"),
         lambda: below.option("pathGlobFilter", f"*{name}*.parquet").parquet(root),
-        lambda: spark.read.parquet(f"{root}/*{name}*"),
+        *[
+            lambda level=level: spark.read.parquet(f"{root}/{level}*{name}*")
+            for level in ("", "*/", "*/*/")
+        ],
     ]
     for attempt in attempts:
         try:

@@ -45,6 +45,12 @@ def test_files_without_the_parquet_ending_are_found(spark, tmp_path):
     assert read_dispatch(spark, f"{tmp_path}/c").count() == 9
 
 
+def test_folders_named_after_the_table_are_found_at_depth(spark, tmp_path):
+    sent(spark).repartition(2).write.parquet(f"{tmp_path}/d/raw/2024_base_disparo_mascarado.parquet")
+    assert read_dispatch(spark, f"{tmp_path}/d").count() == 9
+    assert read_dispatch(spark, f"{tmp_path}").count() == 9
+
+
 def test_a_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(TableNotFound):
         find_table(spark, str(tmp_path), "nothing")
