@@ -58,10 +58,13 @@ def score_candidates(
     ``ranking`` and ``bonus`` have one row per system and per area code; they are broadcast when
     a count shows that they are small.
     """
-    systems = ranking.select("id_sistema_mask", F.col("score").alias("system_score"))
+    learned = [ranking.select("id_sistema_mask", F.col("score").alias("system_score"))]
+    if bonus is not None:
+        learned.append(bonus.selectExpr("CAST(telefone_ddd AS STRING) AS area", "ddd_bonus"))
+    systems, *areas = broadcast_if_small(*learned)
     age = whole_days_between(F.col("registro_data_atualizacao"), instant(now)).cast("double")
     out = (
-        candidates.join(broadcast_if_small(systems), "id_sistema_mask", "left")
+        candidates.join(systems, "id_sistema_mask", "left")
         .withColumns(
             {
                 "system_score": F.coalesce("system_score", F.lit(0.0)),
@@ -71,12 +74,11 @@ def score_candidates(
         .withColumn("recency_weight", recency_weight(F.col("age_days"), params.half_life_days))
         .withColumn("base_score", F.col("system_score") * F.col("recency_weight"))
     )
-    if bonus is None:
+    if not areas:
         return out.withColumn("final_score", F.col("base_score"))
-    areas = bonus.select(F.col("telefone_ddd").cast("string").alias("area"), "ddd_bonus")
     return (
         out.withColumn("area", F.col("telefone_ddd").cast("string"))
-        .join(broadcast_if_small(areas), "area", "left")
+        .join(areas[0], "area", "left")
         .drop("area")
         .withColumn("ddd_bonus", F.coalesce("ddd_bonus", F.lit(0.0)))
         .withColumn("final_score", F.col("base_score") * (1 + F.col("ddd_bonus")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +55,14 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast after counting that it has at most ``max_rows`` rows.
+def broadcast_if_small(*tables: DataFrame, max_rows: int = 200_000) -> list[DataFrame]:
+    """The tables, those with at most ``max_rows`` rows marked for broadcast.
 
-    A larger table is returned as it is, and the join then shuffles (with AQE splitting skewed
-    partitions). The check runs a count over ``df``, so call it on frozen or grouped tables.
+    One job counts them all, so call it on frozen or grouped tables. A larger table is returned as
+    it is, and its join shuffles (with AQE splitting skewed partitions).
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    counts = [
+        t.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")) for i, t in enumerate(tables)
+    ]
+    found = {row["i"]: row["n"] for row in reduce(DataFrame.union, counts).collect()}
+    return [F.broadcast(t) if found[i] <= max_rows else t for i, t in enumerate(tables)]

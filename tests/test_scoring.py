@@ -161,7 +161,8 @@ def test_score_falls_with_age(spark):
 def test_large_ranking_is_not_broadcast(spark):
     from dialwise.session import broadcast_if_small
 
-    frame = spark.range(100)
-    assert broadcast_if_small(frame, 99) is frame
-    plan = broadcast_if_small(frame, 100).join(spark.range(10), "id")
+    small, large = spark.range(100), spark.range(101)
+    marked, same = broadcast_if_small(small, large, max_rows=100)
+    assert same is large
+    plan = spark.range(10).join(marked, "id")
     assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
