@@ -57,16 +57,16 @@ def read_phone_dim(spark: SparkSession, root: str, name: str = PHONE_TABLE) -> D
 def write_events(events: DataFrame, path: str, by_day: bool = False) -> str:
     """Write the attributed events; ``by_day`` makes one folder per send date.
 
-    The rebalance hint lets AQE choose the number of files and split a date that is too large
-    for one of them.
+    By day, the rebalance hint gathers each date, and lets AQE choose the number of its files and
+    split a date that is too large for one of them. Otherwise the partitions of the attribution
+    are written as they are, without another shuffle.
     """
     out = events.select(*EVENTS.fieldNames())
     if by_day:
-        out.hint("rebalance", "envio_data").write.mode("overwrite").partitionBy(
-            "envio_data"
-        ).parquet(path)
+        out = out.hint("rebalance", "envio_data")
+        out.write.mode("overwrite").partitionBy("envio_data").parquet(path)
     else:
-        out.hint("rebalance").write.mode("overwrite").parquet(path)
+        out.write.mode("overwrite").parquet(path)
     return path
 
 

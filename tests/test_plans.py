@@ -68,6 +68,13 @@ def test_choices_per_group_are_cut_before_the_shuffle(spark):
     assert len(re.findall(r"WindowGroupLimit .*Partial", picks)) == 1
 
 
+def test_copies_of_an_id_are_cut_before_the_shuffle(spark):
+    events = attribute_system(
+        t.dispatch(spark, SF_DIR), t.appearances(spark, SF_DIR), unique_ids=False
+    )
+    assert re.search(r"WindowGroupLimit \[id_disparo.*Partial", plan_of(events))
+
+
 def test_small_learned_tables_are_broadcast(spark):
     plan = plan_of(QUERIES["score_candidates"](spark, SF_DIR))
     assert re.search(r"BroadcastHashJoin \[id_sistema_mask", plan)
