@@ -29,30 +29,37 @@ def local_session(cpus: int | str = "*", app: str = "dialwise") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none, as in tests, is a temporary folder used.
+    Only a session on one machine, as in tests, may leave it unset; it gets a temporary folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="dialwise-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, stem: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(hadoop)
+    return path
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost nothing.
+def frozen(df: DataFrame, stem: str = "frozen") -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder.
 
-    Use it where a result is read several times or must not change between reads.
+    Use it where a result is read several times or must not change between reads. Lost executors
+    cost nothing, columns can be pruned, and the planner knows the size of the table.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = new_table_path(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(*tables: DataFrame, max_rows: int = 200_000) -> list[DataFrame]:
