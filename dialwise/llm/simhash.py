@@ -24,8 +24,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from dialwise.llm.common import filled, fresh
 from dialwise.llm.components import components
@@ -57,12 +58,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(most).view("<u8")[0])
 
 
-@F.arrow_udf("long")
-def fingerprint_of(text: pa.Array) -> pa.Array:
+def _fingerprints(text: pa.Array) -> pa.Array:
     out = np.fromiter((fingerprint(t.encode()) for t in text.to_pylist()), np.uint64, len(text))
     return pa.array(out.view(np.int64))
 
 
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprints of a column of texts without nulls, as signed 64-bit numbers."""
+    return F.arrow_udf(_fingerprints, LongType())(text)
+
+
 def _syndrome(words: np.ndarray, high: np.ndarray) -> np.ndarray:
     return high[words >> 11] ^ (words & 2047)
 
