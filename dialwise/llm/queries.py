@@ -5,18 +5,24 @@ from __future__ import annotations
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
 from dialwise.llm.simhash import near_duplicates
+from dialwise.llm.toxicity import toxicity
 
 
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return label_copies(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
