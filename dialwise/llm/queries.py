@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
+from dialwise.llm.secrets import RULES, scan_secrets
 from dialwise.llm.simhash import near_duplicates
 from dialwise.llm.toxicity import toxicity
 
 
+def op1_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"), RULES)
+    base = F.sha2(F.col("spans"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, "spans")
+
+
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,12 +30,47 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
     "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_ASSIGN = RULES[0].pattern.replace("'", "''")
+
 ORACLE = {
+    "op1_secret_scan": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (
+            SELECT doc_id, 0 AS kind, 'assign' AS name, 8 AS least,
+                   string_split_regex(t, '{_ASSIGN}') AS p,
+                   regexp_extract_all(t, '{_ASSIGN}', 0) AS f,
+                   regexp_extract_all(t, '{_ASSIGN}', 2) AS g
+            FROM d
+            UNION ALL
+            SELECT doc_id, 1, 'access', 16, string_split_regex(t, 'AKIA[A-Z0-9]+'),
+                   regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+')
+            FROM d
+            UNION ALL
+            SELECT doc_id, 2, 'hex', 32, string_split_regex(t, '[0-9a-f]+'),
+                   regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+')
+            FROM d WHERE regexp_matches(t, '[0-9a-f]{{32}}')),
+        i AS (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM m),
+        s AS (
+            SELECT doc_id, kind, name, len(f[k]) AS n,
+                   coalesce(list_sum([len(x) for x in p[1:k]]), 0)
+                   + coalesce(list_sum([len(x) for x in f[1:k-1]]), 0) AS start
+            FROM i WHERE len(g[k]) >= least),
+        j AS (
+            SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign,
+                   count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                   string_agg(name || ':' || CAST(start AS BIGINT) || ':'
+                              || CAST(start + n AS BIGINT), ',' ORDER BY start, kind) AS spans
+            FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+               coalesce(spans, '') AS spans
+        FROM d LEFT JOIN j USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
