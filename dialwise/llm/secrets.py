@@ -230,12 +230,12 @@ def scan_secrets(
     def shown(x: Column) -> Column:
         return F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])
 
+    def number(place: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == place)).cast("long")
+
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{r.kind}")
-            for i, r in enumerate(rules)
-        ],
+        *[number(i).alias(f"n_{r.kind}") for i, r in enumerate(rules)],
         F.concat_ws(",", F.transform("found", shown)).alias("spans"),
     )
 
