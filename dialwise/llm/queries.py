@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
+from dialwise.llm.packing import pack
 from dialwise.llm.secrets import RULES, scan_secrets
 from dialwise.llm.simhash import near_duplicates
 from dialwise.llm.toxicity import toxicity
@@ -21,6 +22,10 @@ def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +37,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
