@@ -7,7 +7,7 @@ scores as its most toxic passage (passages overlap by half and cover the whole t
 insults are not averaged away in a long text. Embeddings and softmax are trained jointly with Adagrad.
 
 Learning takes a bounded sample of labelled rows, ``TOXIC_SAMPLE`` toxic and ``CLEAN_SAMPLE`` clean
-ones (documented bounds; the smallest hashes of the ids), with their whole texts. Scoring reads every
+ones (documented bounds; the smallest hashes of the ids), with their whole texts, in one task. Scoring reads every
 whole text where it lies; no row moves, and what is broadcast is one number per hash bucket.
 
 Defined cases: a null or empty text scores as the model's bias; a row without an id is not learnt
@@ -44,8 +44,14 @@ def words_of(text: str) -> list[bytes]:
     return list(dict.fromkeys(text.lower().encode().split()))
 
 
-def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(words: list[bytes], together: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """The hash buckets of the words' n-grams, word after word, and where each word's begin."""
+    parts = [_buckets(words[i : i + together]) for i in range(0, len(words), together)]
+    count = np.concatenate([n for _, n in parts])
+    return np.concatenate([b for b, _ in parts]), np.cumsum(count) - count
+
+
+def _buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = b"".join(b"<%b>" % w for w in words)
     letters = np.frombuffer(marked, np.uint8).astype(np.uint64)
     lengths = np.array([len(w) + 2 for w in words])
@@ -63,7 +69,7 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner_all = np.concatenate(owner)
     order = np.argsort(owner_all, kind="stable")
     count = np.bincount(owner_all, minlength=len(words))
-    return np.concatenate(found)[order].astype(np.int64) % BUCKETS, np.cumsum(count) - count
+    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int32), count
 
 
 def word_scores(words: list[bytes], weight: np.ndarray) -> np.ndarray:
@@ -106,9 +112,10 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     if not len(texts) or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS), -50.0 if not len(texts) or not toxic.max() else 50.0)
     vocab: dict[bytes, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], int) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
     buckets, start = gram_buckets(list(vocab) or [b""])
     count = np.diff(np.append(start, len(buckets)))
+    del vocab
     rng = np.random.default_rng(SEED)
     embed = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE))
     spread = np.bincount(np.concatenate(docs), minlength=len(count))
@@ -185,16 +192,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         .join(F.broadcast(sample), "doc_id")
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
-        .toArrow()
-        .sort_by("doc_id")
     )
-    return train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() == 1).astype(int))
+    found = rows.coalesce(1).mapInArrow(_train, "weight binary, bias double").first()
+    return Model(np.frombuffer(found.weight, np.float32), found.bias)
+
+
+def _train(batches):
+    """The model of all rows (at most ``TOXIC_SAMPLE`` + ``CLEAN_SAMPLE``), in order of their ids."""
+    rows = sorted(
+        row
+        for batch in batches
+        for row in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "toxic", "text")))
+    )
+    toxic = np.array([t == 1 for _, t, _ in rows], int)
+    model = train([text for _, _, text in rows], toxic)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()),
+            pa.array([model.bias], pa.float64()),
+        ],
+        names=["weight", "bias"],
+    )
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The chance of toxicity of each text; ``BUCKETS`` numbers are broadcast."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
+    sent = spark.sparkContext.broadcast((model.weight, model.bias))
     return F.arrow_udf(_scorer(sent), DoubleType())(filled(text_col))
 
 
