@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dialwise.llm.ann import search
 from dialwise.llm.chat import digests, format_conversations
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
@@ -32,6 +33,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
@@ -95,6 +101,20 @@ ORACLE = {
                coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
                coalesce(spans, '') AS spans
         FROM d LEFT JOIN j USING (doc_id)""",
+    "op6_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+                   sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+            FROM embeddings),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.e, q.e) / (v.n * q.n) AS score
+            FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (
+                       PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s)
+        SELECT * FROM r WHERE rank <= 5""",
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h
