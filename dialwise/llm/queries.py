@@ -11,6 +11,7 @@ from dialwise.llm.exact_dedup import label_copies
 from dialwise.llm.html import extract
 from dialwise.llm.packing import pack
 from dialwise.llm.secrets import RULES, scan_secrets
+from dialwise.llm.sentencepiece import decode, encode
 from dialwise.llm.simhash import near_duplicates
 from dialwise.llm.toxicity import toxicity
 
@@ -33,6 +34,16 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    encoded = encode(table(spark, sf_dir, "documents"))
+    return encoded.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(decode("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_nearest_neighbours(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -60,6 +71,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
