@@ -9,6 +9,7 @@ from dialwise.llm.chat import digests, format_conversations
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
 from dialwise.llm.html import extract
+from dialwise.llm.lm import score
 from dialwise.llm.packing import pack
 from dialwise.llm.secrets import RULES, scan_secrets
 from dialwise.llm.sentencepiece import decode, encode
@@ -48,6 +49,10 @@ def op6_nearest_neighbours(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_lm_score(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
