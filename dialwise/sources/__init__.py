@@ -1,6 +1,7 @@
 """Parquet sources and sinks."""
 
 from dialwise.sources.parquet import (
+    AmbiguousTable,
     TableNotFound,
     find_table,
     read_dispatch,
@@ -10,6 +11,7 @@ from dialwise.sources.parquet import (
 )
 
 __all__ = [
+    "AmbiguousTable",
     "TableNotFound",
     "find_table",
     "read_dispatch",

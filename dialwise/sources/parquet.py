@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dialwise.schemas import DISPATCH, EVENTS, PHONE_DIM, check_contract
@@ -11,37 +12,61 @@ from dialwise.schemas import DISPATCH, EVENTS, PHONE_DIM, check_contract
 DISPATCH_TABLE = "base_disparo_mascarado"
 PHONE_TABLE = "dim_telefone_mascarado"
 
-_ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+# What may follow the name of a table in the name of a shard: -000, -new, _part1, _7, .3.
+_SHARD = re.compile(r"(-[^-/]*|[_.](part)?-?\d+)?(\.\w+)*$")
+
+_SPARK_FILE = re.compile(r"part-\d{4,}")
 
 
 class TableNotFound(FileNotFoundError):
     """No file below the folder belongs to the table."""
 
 
+class AmbiguousTable(ValueError):
+    """Files of several tables match the name."""
+
+
+def _table_of(part: str) -> str:
+    """The name of a file or folder without shard suffix and endings."""
+    return _SHARD.sub("", part, count=1)
+
+
+def _files(spark: SparkSession, root: str) -> list[str]:
+    """Every file below ``root``, at any depth; only names are read."""
+    below = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return [row["path"] for row in below.load(root).select("path").collect()]
+
+
 def find_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table ``name`` below ``root``, with all of its shards.
+    """The table ``name`` below ``root``, with all of its shards, however deep they lie.
 
-    Tried in turn: the file or folder ``root/name``; every file ``*name*.parquet`` below ``root``;
-    the folders and files with ``name`` in their own name, whatever it ends in, directly in ``root``
-    or else one or two levels below it.
+    A file belongs to it if its own name or that of a folder above it is the table's, apart from a
+    shard suffix and endings. If none does, names that contain ``name`` count, provided that they
+    all belong to one table; else the error lists what matched.
     """
     root = root.rstrip("/")
-    below = spark.read.option("recursiveFileLookup", "true")
-    attempts = [
-        lambda: spark.read.parquet(f"{root}/{name}"),
-        lambda: below.option("pathGlobFilter", f"*{name}*.parquet").parquet(root),
-        *[
-            lambda level=level: spark.read.parquet(f"{root}/{level}*{name}*")
-            for level in ("", "*/", "*/*/")
-        ],
-    ]
-    for attempt in attempts:
-        try:
-            return attempt()
-        except AnalysisException as failure:
-            if failure.getCondition() not in _ABSENT:
-                raise
-    raise TableNotFound(f"no Parquet file for table {name} below {root}")
+    exact: list[str] = []
+    near: dict[str, list[str]] = {}
+    # Paths are listed in full, so the part below the root begins where the root's own name ends.
+    tail = "/" + root.split("://", 1)[-1].split("/", 1)[-1].strip("/") + "/"
+    for path in _files(spark, root):
+        below = path.split(tail, 1)[-1] if tail in path else path.rsplit("/", 1)[-1]
+        *folders, own = below.split("/")
+        # Spark's own file names say nothing about the table.
+        named = folders if folders and _SPARK_FILE.match(own) else [*folders, own]
+        parts = [_table_of(part) for part in named]
+        if name in parts:
+            exact.append(path)
+            continue
+        found = next((part for part in parts if name in part), None)
+        if found is not None and not path.endswith((".yml", ".json", ".md", ".csv", ".txt")):
+            near.setdefault(found, []).append(path)
+    if not exact and len(near) > 1:
+        raise AmbiguousTable(f"{name} below {root} may be any of {sorted(near)}")
+    files = exact or [path for paths in near.values() for path in paths]
+    if not files:
+        raise TableNotFound(f"no Parquet file for table {name} below {root}")
+    return spark.read.parquet(*files)
 
 
 def read_dispatch(spark: SparkSession, root: str, name: str = DISPATCH_TABLE) -> DataFrame:

@@ -8,6 +8,7 @@ from dialwise.operators.attribution import attribute_system
 from dialwise.schemas import ContractError, PHONE_DIM, check_contract
 from dialwise.session import new_table_path, shared_folder
 from dialwise.sources import (
+    AmbiguousTable,
     TableNotFound,
     find_table,
     read_dispatch,
@@ -51,6 +52,35 @@ def test_folders_named_after_the_table_are_found_at_depth(spark, tmp_path):
     assert read_dispatch(spark, f"{tmp_path}").count() == 9
 
 
+def rows(spark, path, n):
+    _parent(path)
+    spark.range(n).toPandas().to_parquet(path)
+
+
+def test_no_shard_is_dropped_and_no_other_table_is_read(spark, tmp_path):
+    rows(spark, f"{tmp_path}/a/t-000.parquet", 4)
+    rows(spark, f"{tmp_path}/a/sub/t-001.parquet", 6)
+    assert find_table(spark, f"{tmp_path}/a", "t").count() == 10
+    rows(spark, f"{tmp_path}/b/base_disparo-000.parquet", 4)
+    spark.range(6).write.parquet(f"{tmp_path}/b/base_disparo-new")
+    assert find_table(spark, f"{tmp_path}/b", "base_disparo").count() == 10
+    rows(spark, f"{tmp_path}/c/1/2/3/4/tab_part7.parquet", 3)
+    assert find_table(spark, f"{tmp_path}/c", "tab").count() == 3
+    rows(spark, f"{tmp_path}/d/tab.parquet", 10)
+    rows(spark, f"{tmp_path}/d/old/tab_backup.parquet", 10)
+    assert find_table(spark, f"{tmp_path}/d", "tab").count() == 10
+    spark.range(5).write.parquet(f"{tmp_path}/e/part")
+    spark.range(7).write.parquet(f"{tmp_path}/e/partsupp")
+    assert find_table(spark, f"{tmp_path}/e", "part").count() == 5
+
+
+def test_names_of_several_tables_are_an_error(spark, tmp_path):
+    rows(spark, f"{tmp_path}/sales_2023x.parquet", 1)
+    rows(spark, f"{tmp_path}/sales_old.parquet", 1)
+    with pytest.raises(AmbiguousTable, match="sales_2023x.*sales_old"):
+        find_table(spark, str(tmp_path), "sales")
+
+
 def test_a_missing_table_is_an_error(spark, tmp_path):
     with pytest.raises(TableNotFound):
         find_table(spark, str(tmp_path), "nothing")
