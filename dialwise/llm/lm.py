@@ -35,7 +35,7 @@ from dialwise.llm.ngram_trie import BigramTrie, restored
 from dialwise.session import frozen
 
 ADD, MU = 0.1, 4.0
-CHUNK, SHARD = 2_000_000, 2_000_000
+CHUNK, SHARD = 700_000, 2_000_000
 END = xxhash.xxh64_intdigest(b"")
 BEGIN = (1 << 32) - 1
 
