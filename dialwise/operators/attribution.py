@@ -5,13 +5,11 @@ the latest; if there is none, take the latest of all.
 
 A left join on the phone followed by a choice per dispatch would build every pair of a phone's
 dispatches and appearances, which grows with the square of a busy phone. Here the appearances are
-first reduced to one row per phone and day, on the map side of their shuffle; one pass over a phone
-in order of days then answers all its dispatches, with one shuffle of the dispatches and no pairs.
-
-If some phone has too many dispatches for one task, the dispatches are reduced to one question per
-phone and send day as well, since the answer depends on nothing else, and the answers are joined
-back. No window partition is then larger than the calendar, and AQE splits a phone and day that holds
-many dispatches in the join.
+reduced to one row per phone and day, and the dispatches to one question per phone and send day (the
+answer depends on nothing else), both on the map side of their shuffle. One pass over a phone in order
+of days answers its questions; a window partition is never larger than the calendar. The answers are
+joined back, where AQE splits a phone and day that holds many dispatches. The plan is the same for all
+inputs, and no job runs before it.
 """
 
 from __future__ import annotations
@@ -24,8 +22,8 @@ from pyspark.sql import functions as F
 from dialwise.functions import delivered_flag
 from dialwise.schemas import EVENTS, PHONE_ATTRIBUTES
 
-# A phone with more dispatches than this is too much for one task of a window.
-BUSY_PHONE = 1_000_000
+# Stands for a system that is null in minima, where it comes first.
+_NO_SYSTEM = "-9223372036854775808"
 
 
 def with_send_day(dispatch: DataFrame) -> DataFrame:
@@ -52,73 +50,93 @@ CASE WHEN CAST(registro_data_atualizacao AS TIMESTAMP_NTZ)
 
 # Places appearances without a date before or after all others, if none was valid at the send.
 _LATEST_FIRST = {
-    "first": "-unix_date(CAST(registro_data_atualizacao AS DATE))",
-    "last": "coalesce(-unix_date(CAST(registro_data_atualizacao AS DATE)), 2147483647)",
+    "first": "coalesce(-unix_date(updated), -2147483647)",
+    "last": "coalesce(-unix_date(updated), 2147483647)",
 }
 
 
-def _best_per_day(
-    appearances: DataFrame, null_dates: str, attributes: Sequence[str]
-) -> DataFrame:
-    """Per phone and day: the best appearance that becomes usable that day, and their number.
+def _per_day(appearances: DataFrame) -> DataFrame:
+    """Per phone, first usable day and update day: the smallest system and the number of rows.
 
-    One more row per phone, without a day, holds the same for all of its appearances.
+    All columns have a fixed width, so this is a hash aggregation with map-side combine.
     """
-    if null_dates not in _LATEST_FIRST:
-        raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
-    # The smallest choice is the best one: latest day, then smallest system, then the phone's
-    # attributes, so that equal dates never leave the result open.
-    fields = [
-        f"{_LATEST_FIRST[null_dates]} AS latest_first",
-        "id_sistema_mask",
-        "CAST(registro_data_atualizacao AS DATE) AS registro_data_atualizacao",
-        *attributes,
-    ]
-    no_day = "CAST(NULL AS DATE)"
     return (
         appearances.where("telefone_mascarado IS NOT NULL")
         .selectExpr(
             "telefone_mascarado AS contato_telefone",
-            f"{_USABLE_FROM} AS usable_from",
-            f"struct({', '.join(fields)}) AS choice",
+            f"{_USABLE_FROM} AS dia",
+            "CAST(registro_data_atualizacao AS DATE) AS updated",
+            f"coalesce(id_sistema_mask, {_NO_SYSTEM}) AS system",
         )
-        .selectExpr(
-            "contato_telefone",
-            f"""explode(IF(usable_from IS NULL, array({no_day}), array(usable_from, {no_day})))
-                  AS dia""",
-            "choice",
-        )
-        .groupBy("contato_telefone", "dia")
-        .agg(F.min("choice").alias("choice"), F.count(F.lit(1)).alias("listed"))
+        .groupBy("contato_telefone", "dia", "updated")
+        .agg(F.min("system").alias("system"), F.count(F.lit(1)).alias("listed"))
+    )
+
+
+def _phone_attributes(appearances: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """The attributes of each phone, from the same row of it whichever are asked for."""
+    names = ", ".join(PHONE_ATTRIBUTES)
+    place = f"row_number() OVER (PARTITION BY telefone_mascarado ORDER BY {names})"
+    return (
+        appearances.where("telefone_mascarado IS NOT NULL")
+        .select("telefone_mascarado", *PHONE_ATTRIBUTES)
+        .withColumn("place", F.expr(place))
+        .where("place = 1")
+        .select(F.col("telefone_mascarado").alias("contato_telefone"), *attributes)
     )
 
 
-def _answered(best: DataFrame, asking: DataFrame) -> DataFrame:
-    """The rows of ``asking`` (contato_telefone, ask_day, …), each with what its phone's
-    appearances say about its day:
+def _answered(appearances: DataFrame, asking: DataFrame, null_dates: str) -> DataFrame:
+    """The rows of ``asking`` (contato_telefone, ask_day), each with what its phone's appearances
+    say about its day:
 
     ``choice``, the winning appearance (null if the phone is not in the dimension), ``prefer``,
     1 if it was valid that day, ``fan_out``, the number of appearances the phone has, and
-    ``valid_at_send``, how many of them were valid that day.
+    ``valid_at_send``, how many of them were valid that day. The choice is by latest update day,
+    then smallest system, among the valid ones and among all alike.
     """
-    best = best.withColumn("asked", F.lit(False))
-    board = best.unionByName(
-        asking.withColumn("dia", F.col("ask_day")).withColumn("asked", F.lit(True)),
-        allowMissingColumns=True,
+    if null_dates not in _LATEST_FIRST:
+        raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
+    board = (
+        _per_day(appearances)
+        .withColumn("asked", F.lit(False))
+        .unionByName(
+            asking.withColumn("dia", F.col("ask_day")).withColumn("asked", F.lit(True)),
+            allowMissingColumns=True,
+        )
+        .withColumn("choice", F.expr(f"struct({_LATEST_FIRST[null_dates]} AS first, system, updated)"))
+    )
+    phone = "PARTITION BY contato_telefone"
+    # A usable day sorts before the questions of that day; rows without a day are never valid.
+    so_far = f"""{phone} ORDER BY dia NULLS FIRST, asked
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"""
+    usable = "NOT asked AND dia IS NOT NULL"
+    return (
+        board.selectExpr(
+            *asking.columns,
+            "asked",
+            f"min(IF({usable}, choice, NULL)) OVER ({so_far}) AS valid",
+            f"min(IF(asked, NULL, choice)) OVER ({phone}) AS any",
+            f"coalesce(sum(IF({usable}, listed, NULL)) OVER ({so_far}), 0L) AS valid_at_send",
+            f"coalesce(sum(listed) OVER ({phone}), 0L) AS fan_out",
+        )
+        .where("asked")
+        .selectExpr(
+            *asking.columns,
+            "CAST(valid IS NOT NULL AS INT) AS prefer",
+            "fan_out",
+            "valid_at_send",
+            "coalesce(valid, any) AS won",
+        )
+        .withColumn(
+            "choice",
+            F.expr(
+                f"""struct(nullif(won.system, {_NO_SYSTEM}) AS id_sistema_mask,
+                           won.updated AS registro_data_atualizacao)"""
+            ),
+        )
+        .drop("won")
     )
-    # The row without a day sorts first, so it answers until the first usable day is reached. A
-    # later usable day never holds an earlier update, so the last day reached holds the latest.
-    so_far = """PARTITION BY contato_telefone ORDER BY dia NULLS FIRST, asked
-                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"""
-    answers = {
-        "choice": f"last_value(choice) IGNORE NULLS OVER ({so_far})",
-        "prefer": f"CAST(max(IF(asked, NULL, dia)) OVER ({so_far}) IS NOT NULL AS INT)",
-        "fan_out": f"max(IF(dia IS NULL, listed, NULL)) OVER ({so_far})",
-        "valid_at_send": f"sum(IF(dia IS NULL, NULL, listed)) OVER ({so_far})",
-    }
-    return board.selectExpr(
-        *asking.columns, "asked", *[f"{sql} AS {name}" for name, sql in answers.items()]
-    ).where("asked").drop("asked")
 
 
 def enrich_dispatch(
@@ -126,42 +144,26 @@ def enrich_dispatch(
     appearances: DataFrame,
     null_dates: str = "first",
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
-    busy_phones: bool = True,
 ) -> DataFrame:
-    """Each dispatch with its flag, its send day and the answers of its phone's appearances.
+    """Each dispatch with its flag, its send day, the answers of its phone's appearances and the
+    named attributes of the phone.
 
     Like a left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
-    ``busy_phones=False`` promises that the dispatches of every phone fit one task; it saves a
-    join, and is what :func:`attribute_system` plans after counting them.
+    Those without a phone take no part in the join, so that they don't meet in one task.
     """
     sent = with_send_day(dispatch).withColumn("ask_day", F.expr(_ASK_DAY))
-    best = _best_per_day(appearances, null_dates, attributes)
-    if busy_phones:
-        asking = sent.where("contato_telefone IS NOT NULL")
-        answers = _answered(best, asking.select("contato_telefone", "ask_day").distinct())
-        answered = sent.join(answers, ["contato_telefone", "ask_day"], "left")
-    else:
-        answers = _answered(best, sent.where("contato_telefone IS NOT NULL"))
-        answered = answers.unionByName(
-            sent.where("contato_telefone IS NULL"), allowMissingColumns=True
-        )
-    return answered.drop("ask_day").fillna(0, ["prefer", "fan_out", "valid_at_send"])
-
-
-def largest_groups(dispatch: DataFrame) -> tuple[int, int]:
-    """How often the most frequent id and the most frequent phone occur.
-
-    One job that reads and shuffles nothing but the two columns, counted before the shuffle.
-    """
-
-    def largest(key: str, rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return counts.agg(F.lit(key).alias("key"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-
-    phones = dispatch.where("contato_telefone IS NOT NULL")
-    found = largest("id_disparo", dispatch).union(largest("contato_telefone", phones)).collect()
-    sizes = {row["key"]: row["n"] for row in found}
-    return sizes["id_disparo"], sizes["contato_telefone"]
+    known, unknown = (sent.where(f"contato_telefone IS {x} NULL") for x in ("NOT", ""))
+    asking = known.select("contato_telefone", "ask_day").distinct()
+    answers = _answered(appearances, asking, null_dates)
+    if attributes:
+        of_phone = _phone_attributes(appearances, attributes)
+        answers = answers.join(of_phone, "contato_telefone", "left")
+    return (
+        known.join(answers, ["contato_telefone", "ask_day"], "left")
+        .unionByName(unknown, allowMissingColumns=True)
+        .drop("ask_day")
+        .fillna(0, ["prefer", "fan_out", "valid_at_send"])
+    )
 
 
 def attribute_system(
@@ -169,28 +171,21 @@ def attribute_system(
     appearances: DataFrame,
     null_dates: str = "first",
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
-    unique_ids: bool | None = None,
-    busy_phones: bool | None = None,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """The attributed events: one row per ``id_disparo``, with the winning system and its age.
 
     ``null_dates`` says where appearances without a date stand when no appearance was valid at
     the send: ``"first"`` (the default) prefers them to records dated after it, ``"last"`` does
-    not. ``attributes`` names the phone attributes to carry along; they take part in the choice,
-    so Spark cannot prune unused ones by itself.
+    not. ``attributes`` names the phone attributes to carry along.
 
-    Rows that share an id collapse into the one with the better attribution. That needs another
-    shuffle of whole events, so it is planned only where ids do repeat; likewise the join for busy
-    phones. ``unique_ids`` and ``busy_phones`` say so beforehand; ``None`` counts first.
+    Rows that share an id collapse into the one with the better attribution: a shuffle by id with
+    a group limit before it. ``unique_ids=True`` promises that ids don't repeat and saves it.
     """
-    if unique_ids is None or busy_phones is None:
-        same_id, same_phone = largest_groups(dispatch)
-        unique_ids = same_id <= 1 if unique_ids is None else unique_ids
-        busy_phones = same_phone > BUSY_PHONE if busy_phones is None else busy_phones
-    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes, busy_phones)
+    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes)
     if not unique_ids:
         chosen = _one_row_per_id(chosen, null_dates)
-    from_choice = ["id_sistema_mask", "registro_data_atualizacao", *attributes]
+    from_choice = ["id_sistema_mask", "registro_data_atualizacao"]
     left_out = set(PHONE_ATTRIBUTES) - set(attributes)
     return chosen.selectExpr(
         *[

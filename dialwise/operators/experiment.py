@@ -16,6 +16,8 @@ from dialwise.operators.ranking import roll_up
 from dialwise.session import frozen
 
 CONTROL, TREATMENT = "controle", "tratamento"
+# Tasks that share the replicates of a bootstrap.
+TASKS = 64
 
 
 # Planning
@@ -40,6 +42,13 @@ def baseline_segments(profile: DataFrame) -> DataFrame:
     )
 
 
+def citizen_baseline(events: DataFrame) -> DataFrame:
+    """Share of the people with a known outcome who got at least one message: one row."""
+    people = events.where(F.col("cpf").isNotNull() & F.col("delivered").isNotNull())
+    reached = people.groupBy("cpf").agg(F.max("delivered").alias("reached"))
+    return reached.agg(F.avg("reached").alias("baseline_p"))
+
+
 def with_sample_size(
     baselines: DataFrame,
     lift: float = 0.01,
@@ -104,8 +113,11 @@ def random_phones(candidates: DataFrame, k: int = 2, seed: int = 42) -> DataFram
 # Evaluation
 
 
-def last_outcomes(dispatch: DataFrame) -> DataFrame:
-    """Outcome of the latest dispatch per person and phone."""
+def last_outcomes(dispatch: DataFrame, picks: DataFrame | None = None) -> DataFrame:
+    """Outcome of the latest dispatch per person and phone, of the picked ones where given."""
+    if picks is not None:
+        pairs = picks.select("cpf", F.col("telefone").alias("contato_telefone"))
+        dispatch = dispatch.join(pairs, ["cpf", "contato_telefone"], "left_semi")
     last = F.max(
         F.struct("envio_datahora", "id_disparo", "status_disparo", "descricao_falha")
     ).alias("last")
@@ -203,22 +215,46 @@ def daily_metrics(tries: DataFrame, alpha: float = 0.05) -> DataFrame:
     return _person_rates(tries, ["arm", "envio_data"], alpha)
 
 
+def guardrails(tries: DataFrame, phones: DataFrame, valid: str = "VALIDO") -> DataFrame:
+    """Per arm and send day: attempts, those at phones whose validation speaks against them, and
+    the shares of these and of failures.
+
+    ``phones`` has ``telefone`` and ``validacao_telefone``, one row per phone.
+    """
+    invalid = F.sum(F.when(F.col("validacao_telefone") != valid, 1).otherwise(0))
+    failed = F.sum(F.when(F.col("delivered") == 0, 1).otherwise(0))
+    return (
+        tries.join(phones.select("telefone", "validacao_telefone"), "telefone", "left")
+        .groupBy("arm", "envio_data")
+        .agg(F.count(F.lit(1)).alias("tentativas"), invalid.alias("invalidas"), failed.alias("falhas"))
+        .select(
+            "arm",
+            "envio_data",
+            "tentativas",
+            "invalidas",
+            F.try_divide("invalidas", "tentativas").alias("taxa_invalidas"),
+            F.try_divide("falhas", "tentativas").alias("taxa_falhas"),
+        )
+    )
+
+
 def response_times(tries: DataFrame, responded: str) -> DataFrame:
-    """Median and 90 % point of seconds from send to response per arm, where a response exists."""
-    waited = (
-        F.unix_micros(F.col(responded).cast("timestamp"))
-        - F.unix_micros(F.col("envio_datahora").cast("timestamp"))
-    ) / F.lit(1e6)
-    # Counting equal waits first keeps the percentile's input short.
+    """Median and 90 % point of seconds from send to response per arm, where a response exists.
+
+    Exact, to the microsecond: equal waits are counted before the shuffle.
+    """
+    waited = F.unix_micros(F.col(responded).cast("timestamp")) - F.unix_micros(
+        F.col("envio_datahora").cast("timestamp")
+    )
     return (
         tries.where(F.col(responded).isNotNull())
-        .groupBy("arm", F.round(waited).alias("seconds"))
+        .groupBy("arm", waited.alias("micros"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("arm")
         .agg(
             F.sum("n").alias("respostas"),
-            F.percentile("seconds", F.lit(0.5), F.col("n")).alias("seconds_p50"),
-            F.percentile("seconds", F.lit(0.9), F.col("n")).alias("seconds_p90"),
+            (F.percentile("micros", F.lit(0.5), F.col("n")) / 1e6).alias("seconds_p50"),
+            (F.percentile("micros", F.lit(0.9), F.col("n")) / 1e6).alias("seconds_p90"),
         )
     )
 
@@ -252,8 +288,12 @@ def bootstrap_rate_diff(
             F.sum(F.when(here, F.col("w") * F.col("n"))),
         )
 
+    # The sums, at most two rows per bucket, go to every task as one value; the replicates are dealt.
+    held = sums.agg(F.collect_list(F.struct("arm", "bucket", "y", "n")).alias("sums"))
     diffs = (
-        sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        units.sparkSession.range(1, n_boot + 1, 1, TASKS)
+        .select(F.col("id").alias("rep"), held.scalar().alias("sums"))
+        .select("rep", F.inline("sums"))
         .withColumn("w", weight)
         .groupBy("rep")
         .agg((mean_of(arm_a) - mean_of(arm_b)).alias("diff"))

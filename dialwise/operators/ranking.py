@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.functions import clamp_age, posterior_mean, volume_shrinkage
@@ -23,7 +23,7 @@ class ScoreParams:
 
     prior_alpha: float = 2.0
     prior_beta: float = 2.0
-    half_life_days: float = 365.0
+    half_life_days: float | Column = 365.0
     volume_k: float = 500.0
     area_min_n: int = 200
     area_low: float = 0.2

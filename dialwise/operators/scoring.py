@@ -9,8 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialwise.functions import clamp_age, recency_weight, whole_days_between
 from dialwise.operators.ranking import ScoreParams
@@ -135,39 +138,56 @@ def rank_in_groups(df: DataFrame, group: str, order: list[Column], name: str) ->
     """Number the rows of each group 1..n by ``order``, however large a group is.
 
     A window would sort a whole group in one task. Instead the rows are sorted globally by group
-    and ``order``: the range exchange spreads a large group over several partitions. The sorted
-    rows are frozen, and a group that ended up in one partition is numbered by a plain window.
-    Groups that span partitions are at most one per partition boundary; for those, a small
-    table tells how many rows lie in the partitions before. ``group`` must not be null.
+    and ``order``: the range exchange spreads a large group over several partitions. While they
+    stream by, the rows are numbered within their group and partition, and then frozen: the one
+    shuffle of the rows. Groups that span partitions are at most one per partition boundary; a
+    small table tells how many rows of them lie in the partitions before. ``group`` must not be
+    null.
     """
-    placed = frozen(
-        df.orderBy(group, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_spot", F.monotonically_increasing_id())
+    sorted_rows = df.orderBy(group, *order)
+    numbered = sorted_rows.mapInArrow(
+        _number_runs(group, name), T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     )
+    placed = frozen(numbered.withColumn("_part", F.spark_partition_id()), "ranked")
     in_group = Window.partitionBy(group)
     before = in_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most two rows per partition of `placed`: its first group and its last one.
+    edges = placed.groupBy("_part").agg(F.min(group).alias("first"), F.max(group).alias("last"))
+    # At most two groups per partition reach its edges: its first one and its last one.
+    at_edge = edges.select("_part", F.explode(F.array_distinct(F.array("first", "last"))).alias(group))
     spanning = (
-        placed.groupBy(group, "_part")
-        .agg(F.min("_spot").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_parts", F.count(F.lit(1)).over(in_group))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .where("_parts > 1")
-        .select(group, "_part", "_first", "_before")
+        placed.join(F.broadcast(at_edge), ["_part", group])
+        .groupBy(group, "_part")
+        .agg(F.max(name).alias("_rows"))
+        .withColumn("_before", F.sum("_rows").over(before))
+        .where("_before > 0")
+        .select(group, "_part", "_before")
     )
-    spanning = frozen(spanning)
-    large = (
-        placed.join(F.broadcast(spanning), [group, "_part"])
-        .withColumn(name, F.col("_spot") - F.col("_first") + F.col("_before") + 1)
+    return (
+        placed.join(F.broadcast(frozen(spanning, "spanning")), [group, "_part"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .select(*df.columns, name)
     )
-    small = (
-        placed.join(F.broadcast(spanning.select(group).distinct()), group, "left_anti")
-        .withColumn(name, F.row_number().over(in_group.orderBy("_part", "_spot")))
-        .select(*df.columns, F.col(name).cast("bigint").alias(name))
-    )
-    return large.unionByName(small)
+
+
+def _number_runs(group: str, name: str):
+    """Number the rows of each run of equal groups from 1, batch by batch."""
+
+    def run(batches):
+        last, so_far = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(group).dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            place = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code)))) + 1
+            if codes.dictionary[int(code[0])] == last:
+                place[: starts[1] if len(starts) > 1 else len(code)] += so_far
+            last, so_far = codes.dictionary[int(code[-1])], int(place[-1])
+            columns = [*batch.columns, pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
+
+    return run
 
 
 def score_phones(

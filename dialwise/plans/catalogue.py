@@ -24,9 +24,14 @@ from dialwise.operators import ranking as rk
 from dialwise.operators import rates as rt
 from dialwise.operators import scoring as sc
 from dialwise.plans import tables as t
-from dialwise.plans.choice import choose_phones, experiment_picks, learned_tables
+from dialwise.plans.choice import (
+    choose_phones,
+    experiment_picks,
+    fitted_half_life,
+    learned_tables,
+)
 from dialwise.schemas import PHONE_ATTRIBUTES
-from dialwise.session import new_table_path
+from dialwise.session import frozen, new_table_path
 from dialwise.sources import find_table, read_events, write_events
 
 
@@ -50,7 +55,12 @@ def scan_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_phone_dim(spark: SparkSession, d: str) -> DataFrame:
-    listed = F.expr("coalesce(size(telefone_aparicoes), -1)")
+    # As text, so that the contents of the lists are compared, in whatever order they are.
+    listed = F.expr(
+        """array_join(array_sort(transform(telefone_aparicoes, x -> concat_ws('|', x.id_sistema,
+             coalesce(date_format(x.registro_data_atualizacao, 'yyyy-MM-dd HH:mm:ss'), '-'), x.cpf))),
+             ',')"""
+    )
     return t.phone_dim(spark, d).withColumn("telefone_aparicoes", listed)
 
 
@@ -114,7 +124,7 @@ def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.count("delivered").alias("n"), rt.success_total("delivered").alias("successes"))
         .select("contato_telefone", "n", "successes", low.alias("ci_low"), high.alias("ci_high"))
         # A phone without a known outcome has no interval (NaN on both sides).
-        .select("contato_telefone", "n", "successes", *[
+        .select("contato_telefone", "n", "successes", F.isnan("ci_low").alias("no_interval"), *[
             F.when(F.isnan(c), None).otherwise(F.round(c, 9)).alias(c) for c in ("ci_low", "ci_high")
         ])
     )
@@ -275,6 +285,13 @@ def top2_phones(spark: SparkSession, d: str) -> DataFrame:
     return _choice(spark, d, 2).select(*_scored(), "rank")
 
 
+def top2_phones_fitted(spark: SparkSession, d: str) -> DataFrame:
+    fitted = rk.ScoreParams(half_life_days=fitted_half_life(t.decaying_events(spark, d)))
+    ranking, bonus = learned_tables(_events_with_area(spark, d))
+    chosen = sc.score_phones(_candidates(spark, d), ranking, t.NOW, fitted, bonus, top=2)
+    return chosen.select(*_scored(), "rank")
+
+
 def top2_phones_agg(spark: SparkSession, d: str) -> DataFrame:
     ranking, bonus = learned_tables(_events_with_area(spark, d))
     scored = sc.score_candidates(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
@@ -338,6 +355,11 @@ def sample_size(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sample_size_citizen(spark: SparkSession, d: str) -> DataFrame:
+    planned = ex.with_sample_size(ex.citizen_baseline(t.events(spark, d)))
+    return planned.select(_r("baseline_p"), _r("p_t"), "n_per_group")
+
+
 def test_duration(spark: SparkSession, d: str) -> DataFrame:
     planned = ex.with_sample_size(rk.baseline_rate(t.events(spark, d)))
     people = ex.daily_people(t.dispatch(spark, d)).scalar()
@@ -355,7 +377,7 @@ def bootstrap_rate_diff(spark: SparkSession, d: str) -> DataFrame:
         ex.arm_of(F.col("cpf")).alias("arm"),
         F.col("delivered").alias("y"),
     )
-    diff = ex.bootstrap_rate_diff(units, n_boot=1000)
+    diff = ex.bootstrap_rate_diff(units)
     return diff.select(_r("diff_mean"), _r("ci_low"), _r("ci_high"))
 
 
@@ -379,8 +401,10 @@ def ab_treatment_pick(spark: SparkSession, d: str) -> DataFrame:
 
 def _attempts(spark: SparkSession, d: str) -> DataFrame:
     ranking, bonus = learned_tables(_events_with_area(spark, d))
-    picks = experiment_picks(_candidates(spark, d), ranking, t.NOW, bonus=bonus)
-    return ex.attempts(picks, ex.last_outcomes(t.dispatch(spark, d)))
+    # Candidates once for both arms; picks once for the log and the attempts.
+    candidates = frozen(_candidates(spark, d), "candidates")
+    picks = frozen(experiment_picks(candidates, ranking, t.NOW, bonus=bonus), "picks")
+    return ex.attempts(picks, ex.last_outcomes(t.dispatch(spark, d), picks))
 
 
 def ab_primary(spark: SparkSession, d: str) -> DataFrame:
@@ -398,6 +422,22 @@ def ab_failures(spark: SparkSession, d: str) -> DataFrame:
     return result.select("arm", "descricao_falha", "falhas", _r("share"))
 
 
+def ab_guardrails(spark: SparkSession, d: str) -> DataFrame:
+    phones = t.phones(spark, d).withColumnRenamed("telefone_numero", "telefone")
+    return ex.guardrails(_attempts(spark, d), phones).select(
+        "arm", "envio_data", "tentativas", "invalidas", _r("taxa_invalidas"), _r("taxa_falhas")
+    )
+
+
+def response_times(spark: SparkSession, d: str) -> DataFrame:
+    """From the send to the first shipment, which stands for the response."""
+    shipped = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id_disparo"))
+    first = shipped.agg(F.min("l_shipdate").alias("shipped"))
+    tries = t.dispatch(spark, d).join(first, "id_disparo").withColumn("arm", ex.arm_of(F.col("cpf")))
+    waits = ex.response_times(tries, "shipped")
+    return waits.select("arm", "respostas", _r("seconds_p50", 6), _r("seconds_p90", 6))
+
+
 def ab_daily(spark: SparkSession, d: str) -> DataFrame:
     return ex.daily_metrics(_attempts(spark, d)).select(
         "arm",
@@ -443,6 +483,7 @@ QUERIES = {
     "score_phones": score_phones,
     "score_phones_one": score_phones_one,
     "top2_phones": top2_phones,
+    "top2_phones_fitted": top2_phones_fitted,
     "top2_phones_agg": top2_phones_agg,
     "top2_invariant": top2_invariant,
     "cpfs_multi": cpfs_multi,
@@ -453,6 +494,7 @@ QUERIES = {
     "decay_glm": decay_glm,
     "half_life": half_life,
     "sample_size": sample_size,
+    "sample_size_citizen": sample_size_citizen,
     "test_duration": test_duration,
     "bootstrap_rate_diff": bootstrap_rate_diff,
     "ab_assign": ab_assign,
@@ -462,4 +504,6 @@ QUERIES = {
     "ab_secondary": ab_secondary,
     "ab_failures": ab_failures,
     "ab_daily": ab_daily,
+    "ab_guardrails": ab_guardrails,
+    "response_times": response_times,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.operators.appearances import candidates
@@ -35,10 +35,10 @@ def learned_tables(
     return ranking, area_bonus(area_rates_of_profile(profile, params), params)
 
 
-def fitted_half_life(events: DataFrame, fallback_days: float = 365.0) -> float:
-    """The half-life to score with, fitted to the events: one number of a one-row result."""
+def fitted_half_life(events: DataFrame, fallback_days: float = 365.0) -> Column:
+    """The half-life to score with, fitted to the events: a scalar subquery, so no job runs here."""
     fit = decay_fit(decay_bins(aged_events(events)))
-    return half_life(fit, fallback_days).first()["half_life_days"]
+    return half_life(fit, fallback_days).select("half_life_days").scalar()
 
 
 def choose_phones(

@@ -47,33 +47,42 @@ _ORDER = _bucket("age_days", list(range(len(AGE_BUCKETS))))
 _TABLES = """
 people AS (SELECT greatest(1, count(*) // 5) AS k FROM customer),
 dispatch AS (
-  SELECT o_orderkey AS id_disparo, o_custkey % k AS cpf, o_custkey AS contato_telefone,
-         o_orderdate AS envio_datahora, CAST(o_orderdate AS DATE) AS envio_data,
+  SELECT o_orderkey AS id_disparo, o_custkey % k AS cpf,
+         CASE WHEN again = 1 THEN o_custkey + 1
+              WHEN o_orderkey % 97 = 0 THEN NULL
+              WHEN o_orderkey % 10 = 0 THEN 1
+              ELSE o_custkey END AS contato_telefone,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER))
+              ELSE o_orderdate END AS envio_datahora,
+         CAST(o_orderdate AS DATE) AS envio_data,
          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
               WHEN o_orderstatus = 'F' THEN 'delivered'
               WHEN o_orderstatus = 'O' THEN 'READ'
               ELSE 'failed' END AS status_disparo,
          CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS descricao_falha,
          CAST(lower(status_disparo) IN ('delivered', 'read') AS INTEGER) AS delivered
-  FROM orders, people),
+  FROM (SELECT *, unnest(CASE WHEN o_orderkey % 101 = 0 THEN [0, 1] ELSE [0] END) AS again
+        FROM orders), people),
 listings AS (
   SELECT DISTINCT o_custkey AS telefone_numero, CAST(s_nationkey AS BIGINT) AS id_sistema,
-         l_shipdate AS registro_data_atualizacao, o_custkey % k AS cpf
+         CASE WHEN (o_custkey + s_nationkey) % 53 = 0 THEN NULL
+              WHEN (o_custkey + s_nationkey) % 11 = 0 THEN l_shipdate + INTERVAL 10 HOURS
+              ELSE l_shipdate END AS registro_data_atualizacao,
+         o_custkey % k AS cpf
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey,
-       people
-  WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+       people),
 phones AS (
   SELECT c_custkey AS telefone_numero, '55' AS telefone_ddi,
          CAST(c_nationkey AS VARCHAR) AS telefone_ddd, c_mktsegment AS telefone_tipo,
          CASE WHEN c_acctbal < 0 THEN 'RUIM' ELSE 'BOA' END AS telefone_qualidade,
-         'VALIDO' AS validacao_telefone
+         CASE WHEN c_acctbal < -500 THEN 'INVALIDO' ELSE 'VALIDO' END AS validacao_telefone
   FROM customer),
 appearances AS (
   SELECT p.*, id_sistema AS id_sistema_mask, registro_data_atualizacao AS registro,
          cpf AS cpf_aparicao
   FROM phones p LEFT JOIN listings USING (telefone_numero)),
 phone_counts AS (
-  SELECT telefone_numero, count(registro) AS aparicoes, count(DISTINCT cpf_aparicao) AS donos,
+  SELECT telefone_numero, count(id_sistema_mask) AS aparicoes, count(DISTINCT cpf_aparicao) AS donos,
          count(DISTINCT id_sistema_mask) AS sistemas
   FROM appearances GROUP BY 1),
 joined AS (
@@ -123,7 +132,12 @@ area_bonus AS (
   WHERE rate >= q_high OR rate <= q_low),
 """
 
-_SCORES = f"""
+_FITTED = """(SELECT CASE WHEN isfinite(half_life_odds) THEN half_life_odds ELSE 365.0::DOUBLE END
+                  FROM odds)"""
+
+
+def _scores(half_life: str) -> str:
+    return f"""
 candidates AS (
   SELECT cpf_aparicao AS cpf, telefone_numero AS telefone, id_sistema_mask,
          registro AS registro_data_atualizacao, telefone_ddd
@@ -139,14 +153,15 @@ weighted AS (
          CAST(date_sub('day', registro_data_atualizacao, TIMESTAMP '2002-01-01') AS DOUBLE)
            AS age_days
   FROM candidates),
+days AS (SELECT {half_life} AS half_life),
 scored AS (
   SELECT w.*, coalesce(r.score, 0.0) AS system_score,
          coalesce(b.ddd_bonus, 0.0::DOUBLE) AS ddd_bonus,
-         exp(CAST(-{_LN2} AS DOUBLE) * (w.age_days / 365.0::DOUBLE)) AS recency_weight,
+         exp(CAST(-{_LN2} AS DOUBLE) * (w.age_days / half_life)) AS recency_weight,
          coalesce(r.score, 0.0) * recency_weight AS base_score,
          coalesce(r.score, 0.0) * recency_weight * (1 + coalesce(b.ddd_bonus, 0.0::DOUBLE))
            AS final_score
-  FROM weighted w LEFT JOIN ranking r USING (id_sistema_mask)
+  FROM (SELECT * FROM weighted, days) w LEFT JOIN ranking r USING (id_sistema_mask)
        LEFT JOIN area_bonus b USING (telefone_ddd)),
 best AS (
   SELECT * FROM scored
@@ -167,6 +182,8 @@ top2_checked AS (
   SELECT cpf, count(DISTINCT telefone) AS telefones FROM candidates GROUP BY 1),
 """
 
+_SCORES = _scores("365.0::DOUBLE")
+
 _PICKS = f"""
 arms AS (
   SELECT DISTINCT cpf, {_uniform("cpf")} AS u,
@@ -286,7 +303,7 @@ bucket_sums AS (
   SELECT arm, bucket, CAST(sum(y) AS DOUBLE) AS y, count(*) AS n FROM units GROUP BY 1, 2),
 replicates AS (
   SELECT rep, arm, y, n, {_uniform("arm", "bucket", "rep")} AS u
-  FROM bucket_sums, range(1, 1001) r(rep)),
+  FROM bucket_sums, range(1, 5001) r(rep)),
 diffs AS (
   SELECT rep,
          sum(({_STEPS}) * y) FILTER (arm = 'tratamento')
@@ -346,11 +363,14 @@ ORACLE = {
     "scan_dispatch": _sql("SELECT * EXCLUDE (envio_data, delivered) FROM dispatch"),
     "scan_phone_dim": _sql(
         """SELECT p.* , 'BR' AS telefone_nacionalidade,
-             CAST(CASE WHEN aparicoes = 0 THEN -1 ELSE aparicoes END AS INTEGER)
-               AS telefone_aparicoes,
+             lista AS telefone_aparicoes,
              aparicoes AS telefone_aparicoes_quantidade,
              donos AS telefone_proprietarios_quantidade, sistemas AS telefone_sistemas_quantidade
-           FROM phones p JOIN phone_counts USING (telefone_numero)"""
+           FROM phones p JOIN phone_counts USING (telefone_numero) LEFT JOIN (
+             SELECT telefone_numero, string_agg(x, ',' ORDER BY x) AS lista FROM (
+               SELECT telefone_numero, id_sistema || '|' || coalesce(
+                        strftime(registro_data_atualizacao, '%Y-%m-%d %H:%M:%S'), '-')
+                      || '|' || cpf AS x FROM listings) GROUP BY 1) USING (telefone_numero)"""
     ),
     "scan_discovered": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "events_roundtrip": _sql(f"SELECT {_EVENT_COLUMNS} FROM ev"),
@@ -376,7 +396,7 @@ ORACLE = {
     ),
     "wilson_ci": _sql(
         f"""SELECT contato_telefone, n, successes,
-              CASE WHEN n > 0 THEN round({_LOW}, 9) END AS ci_low,
+              n = 0 AS no_interval, CASE WHEN n > 0 THEN round({_LOW}, 9) END AS ci_low,
               CASE WHEN n > 0 THEN round({_HIGH}, 9) END AS ci_high
             FROM (SELECT contato_telefone, count(delivered) AS n,
                     CAST(coalesce(sum(delivered), 0) AS BIGINT) AS successes
@@ -439,6 +459,9 @@ ORACLE = {
         f"SELECT {_SCORED}, rank FROM ranked WHERE cpf = (SELECT cpf FROM person)", _RATES, _SCORES
     ),
     "top2_phones": _sql(f"SELECT {_SCORED}, rank FROM ranked WHERE rank <= 2", _RATES, _SCORES),
+    "top2_phones_fitted": _sql(
+        f"SELECT {_SCORED}, rank FROM ranked WHERE rank <= 2", _RATES, _DECAY, _scores(_FITTED)
+    ),
     "top2_phones_agg": _sql(
         """SELECT cpf, telefone, w.s AS id_sistema_mask, registro_data_atualizacao,
              w.d AS telefone_ddd, round(final_score, 9) AS final_score
@@ -487,6 +510,16 @@ ORACLE = {
              n_per_group FROM planned""",
         _SEGMENTS,
     ),
+    "sample_size_citizen": _sql(
+        """SELECT round(baseline_p, 9) AS baseline_p, round(p_t, 9) AS p_t, n_per_group
+           FROM planned""",
+        _plan(
+            """SELECT avg(reached) AS baseline_p FROM (
+                 SELECT cpf, max(delivered) AS reached FROM ev
+                 WHERE cpf IS NOT NULL AND delivered IS NOT NULL GROUP BY 1)""",
+            "baseline_p",
+        ),
+    ),
     "test_duration": _sql(
         """SELECT n_per_group, round(v, 6) AS pessoas_por_dia, round(2 * n_per_group / v, 6) AS dias
            FROM planned, (SELECT avg(c) AS v FROM (
@@ -534,5 +567,24 @@ ORACLE = {
         _SCORES,
         _PICKS,
     ),
+    "response_times": _sql(
+        f"""SELECT arm, count(*) AS respostas, round(quantile_cont(s, 0.5), 6) AS seconds_p50,
+              round(quantile_cont(s, 0.9), 6) AS seconds_p90
+            FROM (SELECT CASE WHEN {_uniform("cpf")} < 0.5 THEN 'controle' ELSE 'tratamento' END
+                           AS arm, epoch(shipped - envio_datahora) AS s
+                  FROM dispatch JOIN (SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem
+                                      GROUP BY 1) ON id_disparo = l_orderkey)
+            GROUP BY 1"""
+    ),
+    "ab_guardrails": _sql(
+        """SELECT arm, envio_data, count(*) AS tentativas,
+             count(*) FILTER (validacao_telefone <> 'VALIDO') AS invalidas,
+             round(count(*) FILTER (validacao_telefone <> 'VALIDO') / count(*), 9) AS taxa_invalidas,
+             round(count(*) FILTER (delivered = 0) / count(*), 9) AS taxa_falhas
+           FROM tries LEFT JOIN phones ON contato_telefone = telefone_numero GROUP BY 1, 2""",
+        _RATES,
+        _SCORES,
+        _PICKS,
+    ),
     "ab_daily": _sql(_person_rates("arm, envio_data"), _RATES, _SCORES, _PICKS),
 }

@@ -1,8 +1,9 @@
 """Dispatch log and phone dimension derived from the order tables.
 
-Every order is a dispatch to its customer's phone; every returned first line of an order is an
-appearance of that phone in the system of the supplier's nation; a fifth as many people as
-customers own the phones. All of it grows with the tables.
+Every order is a dispatch to its customer's phone; every line of an order is an appearance of that
+phone in the system of the supplier's nation; a fifth as many people as customers own the phones. All
+of it grows with the tables. Unusual inputs are set by the keys: some dispatches repeat an id, have no
+phone or a time of day, and a tenth go to one phone; some updates have no date or a time of day.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ _SCHEMAS = {
         " o_orderpriority string"
     ),
     "lineitem": (
-        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string,"
-        " l_shipdate timestamp_ntz"
+        "l_orderkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz"
     ),
 }
 
@@ -44,22 +44,31 @@ def _people(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = table(spark, sf_dir, "orders").selectExpr(
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "again", F.expr("explode(IF(o_orderkey % 101 = 0, array(0, 1), array(0)))")
+    )
+    sent = orders.selectExpr(
         "o_orderkey AS id_disparo",
-        "o_custkey AS contato_telefone",
-        "o_orderdate AS envio_datahora",
+        "o_custkey",
+        """CASE WHEN again = 1 THEN o_custkey + 1
+                WHEN o_orderkey % 97 = 0 THEN NULL
+                WHEN o_orderkey % 10 = 0 THEN 1
+                ELSE o_custkey END AS contato_telefone""",
+        """IF(o_orderkey % 3 = 0,
+              o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT)), o_orderdate)
+             AS envio_datahora""",
         """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
                 WHEN o_orderstatus = 'F' THEN 'delivered'
                 WHEN o_orderstatus = 'O' THEN 'READ'
                 ELSE 'failed' END AS status_disparo""",
         "CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS descricao_falha",
     )
-    return sent.withColumn("cpf", F.col("contato_telefone") % _people(spark, sf_dir))
+    return sent.withColumn("cpf", F.col("o_custkey") % _people(spark, sf_dir)).drop("o_custkey")
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone, system, update date and owner of every appearance; copies add nothing."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_returnflag = 'R'")
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
     suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
     return (
@@ -68,21 +77,23 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "o_custkey AS telefone_numero",
             "CAST(s_nationkey AS BIGINT) AS id_sistema",
-            "l_shipdate AS registro_data_atualizacao",
+            """CASE WHEN (o_custkey + s_nationkey) % 53 = 0 THEN NULL
+                    WHEN (o_custkey + s_nationkey) % 11 = 0 THEN l_shipdate + INTERVAL 10 HOURS
+                    ELSE l_shipdate END AS registro_data_atualizacao""",
         )
         .distinct()
         .withColumn("cpf", F.col("telefone_numero") % _people(spark, sf_dir))
     )
 
 
-def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS telefone_numero",
         "'55' AS telefone_ddi",
         "CAST(c_nationkey AS STRING) AS telefone_ddd",
         "c_mktsegment AS telefone_tipo",
         "CASE WHEN c_acctbal < 0 THEN 'RUIM' ELSE 'BOA' END AS telefone_qualidade",
-        "'VALIDO' AS validacao_telefone",
+        "CASE WHEN c_acctbal < -500 THEN 'INVALIDO' ELSE 'VALIDO' END AS validacao_telefone",
     )
 
 
@@ -102,7 +113,7 @@ def phone_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return (
-        _phones(spark, sf_dir)
+        phones(spark, sf_dir)
         .join(lists, "telefone_numero", "left")
         .selectExpr(
             "*",
@@ -125,7 +136,7 @@ def phone_system_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count_distinct("id_sistema").alias("systems"))
     )
     return (
-        _phones(spark, sf_dir)
+        phones(spark, sf_dir)
         .join(systems, "telefone_numero", "left")
         .selectExpr(
             "telefone_numero", "coalesce(systems, 0) AS telefone_sistemas_quantidade"
@@ -136,7 +147,7 @@ def phone_system_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dimension in flat form, as ``explode_appearances`` gives it, without building lists."""
     return (
-        _phones(spark, sf_dir)
+        phones(spark, sf_dir)
         .join(_listings(spark, sf_dir), "telefone_numero", "left")
         .withColumnsRenamed(
             {

@@ -5,7 +5,6 @@ import pytest
 from frames import appearances, attribute_by_hand, dispatch, some_time
 from pyspark.sql import functions as F
 
-from dialwise.operators import attribution
 from dialwise.operators.appearances import candidates, explode_appearances, people_with_phones
 from dialwise.operators.attribution import attribute_system, enrich_dispatch
 from dialwise.schemas import EVENTS, PHONE_DIM
@@ -80,44 +79,45 @@ def test_repeated_ids_collapse_into_the_better_attribution(spark):
     rows = attributed(spark, sent, listed)
     assert len(rows) == 2
     assert rows[1]["id_sistema_mask"] == 2 and rows[None]["id_sistema_mask"] == 2
-    forced = attributed(spark, sent, listed, unique_ids=False)
-    assert forced == rows
     kept = attribute_system(
         dispatch(spark, sent), appearances(spark, listed), unique_ids=True
     )
     assert kept.count() == 4
 
 
-def test_busy_phones_are_counted_before_the_join_is_planned(spark, monkeypatch):
+def test_a_shuffle_by_id_is_saved_by_promise_only(spark):
     listed = appearances(spark, [(10, "21", 1, datetime(2024, 1, 1), 7)])
-    sent = dispatch(spark, [(i, 7, 10, datetime(2024, 3, 10), "read") for i in range(5)])
-
-    def joins():
-        plan = attribute_system(sent, listed)._jdf.queryExecution()
-        return "LeftOuter" in plan.executedPlan().toString()
-
-    assert not joins()
-    monkeypatch.setattr(attribution, "BUSY_PHONE", 4)
-    assert joins()
-    assert attribution.largest_groups(sent) == (1, 5)
-    assert attribution.largest_groups(sent.limit(0)) == (0, 0)
+    sent = dispatch(spark, [(1, 7, 10, datetime(2024, 3, 10), "read")])
 
+    def shuffles_by_id(**promise):
+        plan = attribute_system(sent, listed, **promise)._jdf.queryExecution()
+        return "hashpartitioning(id_disparo" in plan.executedPlan().toString()
 
-def test_ids_are_checked_before_a_shuffle_by_id_is_planned(spark):
-    listed = appearances(spark, [(10, "21", 1, datetime(2024, 1, 1), 7)])
+    assert shuffles_by_id() and not shuffles_by_id(unique_ids=True)
 
-    def shuffles_by_id(rows):
-        plan = attribute_system(dispatch(spark, rows), listed)._jdf.queryExecution()
-        return "hashpartitioning(id_disparo" in plan.executedPlan().toString()
 
-    one = [(1, 7, 10, datetime(2024, 3, 10), "read"), (2, 7, 10, datetime(2024, 3, 10), "read")]
-    assert not shuffles_by_id(one)
-    assert shuffles_by_id([*one, one[0]])
+def test_attributes_of_a_phone_do_not_depend_on_those_asked_for(spark):
+    listed = appearances(
+        spark,
+        [(10, "99", 1, datetime(2024, 1, 1), 7), (10, "11", 1, datetime(2024, 1, 1), 7)],
+    ).withColumn("telefone_ddi", F.when(F.col("telefone_ddd") == "99", "1").otherwise("55"))
+    sent = dispatch(spark, [(1, 7, 10, datetime(2024, 3, 10), "read")])
+    whole = attribute_system(sent, listed).first()["telefone_ddd"]
+    alone = attribute_system(sent, listed, attributes=["telefone_ddd"]).first()["telefone_ddd"]
+    assert whole == alone == "99"
+
+
+def test_of_updates_on_one_day_the_smaller_system_wins(spark):
+    day, later = datetime(2024, 3, 1), datetime(2024, 3, 1, 15)
+    listed = [(10, "21", 5, later, 7), (10, "21", 4, day, 7), (11, "21", 5, day, 7), (11, "21", 4, later, 7)]
+    sent = [(i, 7, phone, when, "read") for i, (phone, when) in enumerate(
+        (p, w) for p in (10, 11) for w in (datetime(2024, 2, 1), datetime(2024, 3, 9)))]
+    rows = attributed(spark, sent, listed)
+    assert [rows[i]["id_sistema_mask"] for i in range(4)] == [4, 4, 4, 4]
 
 
-@pytest.mark.parametrize("busy", [False, True])
 @pytest.mark.parametrize("seed,null_dates", [(1, "first"), (2, "last"), (3, "first")])
-def test_agrees_with_building_every_pair(spark, seed, null_dates, busy):
+def test_agrees_with_building_every_pair(spark, seed, null_dates):
     rng = random.Random(seed)
     phones = [*range(8), None]
     sent = [
@@ -134,13 +134,11 @@ def test_agrees_with_building_every_pair(spark, seed, null_dates, busy):
         for _ in range(60)
     ]
     want = attribute_by_hand(sent, listed, null_dates)
-    rows = attributed(spark, sent, listed, null_dates=null_dates, busy_phones=busy)
+    rows = attributed(spark, sent, listed, null_dates=null_dates)
     assert {k: (r["id_sistema_mask"], r["registro_data_atualizacao"]) for k, r in rows.items()} == {
         k: v[:2] for k, v in want.items()
     }
-    enriched = enrich_dispatch(
-        dispatch(spark, sent), appearances(spark, listed), null_dates, busy_phones=busy
-    )
+    enriched = enrich_dispatch(dispatch(spark, sent), appearances(spark, listed), null_dates)
     assert enriched.count() == len(sent)
     for row in enriched.collect():
         mine = [a for a in listed if a[0] == row["contato_telefone"] and a[0] is not None]
@@ -199,7 +197,7 @@ def test_a_phone_with_a_third_of_all_rows_builds_no_pairs(spark):
         day(F.col("id") * 3, 1400).alias("registro_data_atualizacao"),
         F.lit(1).cast("bigint").alias("cpf_aparicao"),
     )
-    events = attribute_system(sent, listed, busy_phones=True)
+    events = attribute_system(sent, listed, unique_ids=True)
     assert events.count() == n
     busy = events.where("contato_telefone = 0").collect()
     assert len(busy) == hot

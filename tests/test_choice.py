@@ -77,13 +77,16 @@ def test_result_of_scoring_one_person_is_that_of_scoring_all(spark):
 
 def test_half_life_flows_from_the_fit(spark):
     sent, listed = small_world(spark)
-    assert fitted_half_life(attribute_system(sent, listed).limit(0)) == 365.0
+    def value(events):
+        return spark.range(1).select(fitted_half_life(events)).first()[0]
+
+    assert value(attribute_system(sent, listed).limit(0)) == 365.0
     ages = spark.range(0, 400_000).select(
         F.col("id"), (F.col("id") % 1500).cast("double").alias("age_days")
     )
     chance = 1 / (1 + F.exp(-(2.0 - 0.002 * F.col("age_days"))))
     decaying = ages.withColumn("delivered", (F.rand(5) < chance).cast("int"))
-    found = fitted_half_life(decaying)
+    found = value(decaying)
     assert found == pytest.approx(math.log(2) / 0.002, rel=0.05)
 
 

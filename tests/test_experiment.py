@@ -1,5 +1,5 @@
 import math
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +100,31 @@ def test_response_times(spark):
     assert [tuple(r) for r in found] == [("controle", 5, 30.0, 46.0)]
 
 
+def test_response_times_below_a_second_are_exact(spark):
+    sent = datetime(2024, 1, 1)
+    rows = [("controle", sent, sent + timedelta(milliseconds=ms)) for ms in (100, 200, 400)]
+    frame = spark.createDataFrame(
+        rows, "arm string, envio_datahora timestamp_ntz, respondido timestamp_ntz"
+    )
+    (row,) = ex.response_times(frame, "respondido").collect()
+    assert row["seconds_p50"] == pytest.approx(0.2) and row["seconds_p90"] == pytest.approx(0.36)
+
+
+def test_guardrails_and_citizen_baseline(spark):
+    tries = spark.createDataFrame(
+        [("controle", 1, date(2024, 1, 1), 10, 1), ("controle", 1, date(2024, 1, 1), 11, 0),
+         ("tratamento", 2, date(2024, 1, 1), 12, None)],
+        "arm string, cpf bigint, envio_data date, telefone bigint, delivered int",
+    )
+    phones = spark.createDataFrame(
+        [(10, "VALIDO"), (11, "INVALIDO")], "telefone bigint, validacao_telefone string"
+    )
+    found = {r["arm"]: r for r in ex.guardrails(tries, phones).collect()}
+    assert found["controle"]["taxa_invalidas"] == 0.5 and found["controle"]["taxa_falhas"] == 0.5
+    assert found["tratamento"]["invalidas"] == 0
+    assert ex.citizen_baseline(tries).first()[0] == 1.0
+
+
 def test_duration(spark):
     rows = [
         (i, i % 3, 1, datetime(2024, 1, 1 + i % 2, i % 24), "read", None) for i in range(12)
