@@ -157,7 +157,8 @@ def _forest(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         at = at[anchor[at] == anchor[at + step]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= BITS]
+        apart = (fp[at] ^ fp[at + step]).view(np.uint64)  # bits of signed numbers lack the sign
+        near = at[np.bitwise_count(apart) <= BITS]
         if len(near):
             held.append((near, near + step))
         if sum(len(x) for x, _ in held) > 1_000_000:
