@@ -194,6 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.min("text").alias("text"))
     )
     found = rows.coalesce(1).mapInArrow(_train, "weight binary, bias double").first()
+    if found is None:  # no row, no task
+        return train([], np.zeros(0, int))
     return Model(np.frombuffer(found.weight, np.float32), found.bias)
 
 
