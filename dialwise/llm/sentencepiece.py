@@ -33,7 +33,8 @@ from dialwise.llm.common import filled
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Bounds of what a worker keeps between texts, and of the texts whose words are sorted together.
-CACHED_WORDS, CACHED_PAIRS, TOGETHER = 400_000, 500_000, 1000
+CACHED_WORDS, CACHED_PAIRS, TOGETHER = 200_000, 300_000, 500
+DECODED_TOGETHER = 100
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -189,7 +190,9 @@ def decode(ids: str | Column, path: str = MODEL) -> Column:
     """The text that a list of ids stands for."""
 
     def run(lists: pa.Array) -> pa.Array:
-        known = vocabulary(path)
-        return pa.array([known.decode(x) for x in lists.to_pylist()], pa.string())
+        known, out = vocabulary(path), []
+        for begin in range(0, len(lists), DECODED_TOGETHER):
+            out += map(known.decode, lists[begin : begin + DECODED_TOGETHER].to_pylist())
+        return pa.array(out, pa.string())
 
     return F.arrow_udf(run, StringType())(ids)
