@@ -33,7 +33,7 @@ from dialwise.llm.common import filled
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Bounds of what a worker keeps between texts, and of the texts whose words are sorted together.
-CACHED_WORDS, CACHED_PAIRS, TOGETHER = 200_000, 300_000, 500
+CACHED_WORDS, CACHED_PAIRS, TOGETHER = 250_000, 500_000, 1000
 DECODED_TOGETHER = 100
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -62,6 +62,9 @@ class Vocabulary:
         self.sizes = {pair: sorted(found, reverse=True) for pair, found in sizes.items()}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, array] = {}
+        self.before: dict[str, array] = {}
+        # The pieces that the encoding of their own text is; only these are ever returned.
+        self.whole = {text for text in self.ids if len(text) < 2 or self.merge(text) == [text]}
 
     def merge(self, text: str) -> list[str]:
         """The segmentation by merging the best neighbours, first ones first, until none is left."""
@@ -87,46 +90,55 @@ class Vocabulary:
     def segment(self, words: list[str]):
         """Pieces of each word of a sorted list; prefixes of the word before are not passed again."""
         last: list[str] = [""]  # by length of the prefix, its last piece
-        before, apart, ids, sizes, one = "", self.apart, self.ids, self.sizes, [1]
+        before, apart, whole, sizes, one = "", self.apart, self.whole, self.sizes, (1,)
         for word in words:
-            common = min(len(word), len(before))
-            if word[:common] != before[:common]:
-                common = next(i for i in range(common) if word[i] != before[i])
+            common, n = 0, len(word)
+            for common, (x, y) in enumerate(zip(word, before)):
+                if x != y:
+                    break
+            else:
+                common = min(n, len(before))
             del last[common + 1 :]
-            for end in range(common + 1, len(word) + 1):
-                for size in sizes.get(word[max(0, end - 2) : end], one):
-                    begin = end - size
-                    if begin < 0:
+            for end in range(common + 1, n + 1):
+                for size in sizes.get(word[end - 2 : end], one) if end > 1 else one:
+                    if size > end:
                         continue
+                    begin = end - size
                     piece = word[begin:end]
-                    if size > 1:
-                        if piece not in ids:
-                            continue
-                        alone = apart.get(("", piece))
-                        if not (self.stay_apart("", piece) if alone is None else alone):
-                            continue
+                    if size > 1 and piece not in whole:
+                        continue
                     if begin:
-                        free = apart.get((last[begin], piece))
-                        if not (self.stay_apart(last[begin], piece) if free is None else free):
+                        pair = last[begin], piece
+                        free = apart.get(pair)
+                        if not (self.stay_apart(*pair) if free is None else free):
                             continue
                     last.append(piece)
                     break
-            pieces, end = [], len(word)
+            pieces, end = [], n
             while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            yield pieces[::-1]
+                piece = last[end]
+                pieces.append(piece)
+                end -= len(piece)
+            pieces.reverse()
+            yield pieces
             before = word
 
     def encode(self, texts: list[str]) -> list[array]:
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted({w for words in split for w in words if w not in self.known})
-        found = {w: self.ids_of(p) for w, p in zip(new, self.segment(new))}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            found |= {w: self.known[w] for words in split for w in words if w in self.known}
-            self.known.clear()
-        self.known.update(found)
-        known, out = self.known, []
+        if len(self.known) > CACHED_WORDS:  # what is not used again until the next time is dropped
+            self.before, self.known = self.known, {}
+        known, before, new = self.known, self.before, []
+        for word in set().union(*split):
+            if word not in known:
+                held = before.get(word)
+                if held is None:
+                    new.append(word)
+                else:
+                    known[word] = held
+        new.sort()
+        for word, pieces in zip(new, self.segment(new)):
+            known[word] = self.ids_of(pieces)
+        out = []
         for words in split:
             ids = array("i")
             for word in words:
@@ -135,11 +147,14 @@ class Vocabulary:
         return out
 
     def ids_of(self, pieces: list[str]) -> array:
-        ids = array("i")
-        for piece in pieces:
-            found = self.ids.get(piece)
-            ids.extend([found] if found is not None else [self.byte_ids[b] for b in piece.encode()])
-        return ids
+        try:
+            return array("i", [self.ids[piece] for piece in pieces])
+        except KeyError:  # a character that no piece holds
+            ids = array("i")
+            for piece in pieces:
+                held = self.ids.get(piece)
+                ids.extend([self.byte_ids[b] for b in piece.encode()] if held is None else [held])
+            return ids
 
     def decode(self, ids: list[int]) -> str:
         parts, raw = [], bytearray()
