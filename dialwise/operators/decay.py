@@ -15,6 +15,8 @@ from dialwise.operators.rates import success_total
 
 MAX_AGE = 2000
 _TINY = 1e-12
+# A last Newton step beyond this means that the fit did not converge.
+_SETTLED = 1e-6
 
 
 def decay_histogram(events: DataFrame, max_age: int = MAX_AGE) -> DataFrame:
@@ -110,7 +112,8 @@ def decay_fit(bins: DataFrame, ridge: float = 1e-4, steps: int = 25) -> DataFram
 
     Minimises the mean negative log-likelihood over the bins plus ``ridge``/2 times the squared
     coefficients, the constant included. Newton steps run as an expression over the bins (at most
-    a few dozen), so the fit is part of the plan and fetches nothing to the driver.
+    a few dozen), so the fit is part of the plan and fetches nothing to the driver. ``last_step`` is
+    the length of the last one: large if the steps did not converge.
     """
     points = F.transform(
         "bins",
@@ -121,20 +124,24 @@ def decay_fit(bins: DataFrame, ridge: float = 1e-4, steps: int = 25) -> DataFram
         ),
     )
     start = F.struct(F.lit(0.0).alias("const"), F.lit(0.0).alias("slope"))
-    fitted = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
+    all_but_last = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(steps - 1, 1))),
         start,
         lambda at, _: _newton_step(F.col("points"), at, ridge),
     )
     return (
         _with_scale(bins)
         .withColumn("points", points)
-        .withColumn("fit", fitted)
+        .withColumn("before", all_but_last)
+        .withColumn("fit", _newton_step(F.col("points"), F.col("before"), ridge))
         .select(
             F.col("fit.const").alias("const"),
             F.col("fit.slope").alias("age_scaled"),
             "age_mean",
             "age_std",
+            F.hypot(
+                F.col("fit.const") - F.col("before.const"), F.col("fit.slope") - F.col("before.slope")
+            ).alias("last_step"),
         )
     )
 
@@ -142,8 +149,10 @@ def decay_fit(bins: DataFrame, ridge: float = 1e-4, steps: int = 25) -> DataFram
 def half_life(fit: DataFrame, fallback_days: float = 365.0) -> DataFrame:
     """Slope per day and days until the odds halve; infinite without decay.
 
-    ``half_life_days`` is the value to score with: the fallback where the odds do not halve.
+    ``half_life_days`` is the value to score with: the fallback where the odds do not halve. Both are
+    null where the fit did not converge, so that a failed fit is never taken for an answer.
     """
+    settled = ~F.coalesce(F.col("last_step") > _SETTLED, F.lit(False))
     per_day = F.col("age_scaled") / F.greatest(F.col("age_std"), F.lit(_TINY))
     odds = F.when(F.col("b_per_day") >= 0, F.lit(float("inf"))).otherwise(
         F.lit(math.log(0.5)) / F.col("b_per_day")
@@ -151,10 +160,13 @@ def half_life(fit: DataFrame, fallback_days: float = 365.0) -> DataFrame:
     known = F.col("half_life_odds").isNotNull() & ~F.isnan("half_life_odds")
     finite = known & (F.abs("half_life_odds") < float("inf"))
     return (
-        fit.select(per_day.alias("b_per_day"))
+        fit.select(F.when(settled, per_day).alias("b_per_day"), settled.alias("settled"))
         .withColumn("half_life_odds", odds)
         .withColumn(
             "half_life_days",
-            F.when(finite, F.col("half_life_odds")).otherwise(F.lit(fallback_days)),
+            F.when(finite, F.col("half_life_odds")).otherwise(
+                F.when(F.col("settled"), F.lit(fallback_days))
+            ),
         )
+        .drop("settled")
     )

@@ -118,3 +118,14 @@ def test_scaled_bins_have_mean_zero_and_unit_spread(spark):
     assert mean == pytest.approx(0, abs=1e-12) and spread == pytest.approx(1)
     one = dc.decay_bins_scaled(logit_bins(spark, 1.0, -0.001).limit(1)).first()
     assert one["age_scaled"] == 0.0
+
+
+def test_a_fit_that_did_not_converge_has_no_half_life(spark):
+    fit = spark.createDataFrame(
+        [(0.1, -0.5, 100.0, 50.0, 1e-9), (0.1, -0.5, 100.0, 50.0, 3.0), (None, None, None, None, None)],
+        "const double, age_scaled double, age_mean double, age_std double, last_step double",
+    )
+    good, bad, none = dc.half_life(fit).collect()
+    assert good["half_life_days"] == good["half_life_odds"] > 0
+    assert bad["half_life_days"] is None and bad["half_life_odds"] is None
+    assert none["half_life_days"] == 365.0
