@@ -12,7 +12,7 @@ from dialwise.llm.html import extract
 from dialwise.llm.lm import score
 from dialwise.llm.packing import pack
 from dialwise.llm.secrets import RULES, scan_secrets
-from dialwise.llm.sentencepiece import decode, encode
+from dialwise.llm.sentencepiece import encode
 from dialwise.llm.simhash import near_duplicates
 from dialwise.llm.toxicity import toxicity
 
@@ -36,13 +36,8 @@ def op4_best_fit_packing(spark, sf_dir):
 
 
 def op5_sentencepiece(spark, sf_dir):
-    encoded = encode(table(spark, sf_dir, "documents"))
-    return encoded.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.sha2(decode("ids"), 256).alias("decoded_sha256"),
-    )
+    encoded = encode(table(spark, sf_dir, "documents"), check=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "decoded_sha256")
 
 
 def op6_nearest_neighbours(spark, sf_dir):

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import cache
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +34,10 @@ from dialwise.llm.common import filled
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Bounds of what a worker keeps between texts, and of the texts whose words are sorted together.
-CACHED_WORDS, CACHED_PAIRS, TOGETHER = 250_000, 500_000, 1000
+CACHED_WORDS, CACHED_PAIRS, TOGETHER = 250_000, 400_000, 1000
 DECODED_TOGETHER = 100
+#: Stands for the byte pieces beyond ASCII; a text that holds it itself is only decoded more slowly.
+BYTE = "\ue000"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -48,23 +51,28 @@ class Vocabulary:
         self.texts = [model.id_to_piece(i) for i in range(model.vocab_size())]
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.shown = list(self.texts)
+        for byte, i in enumerate(self.byte_ids):
+            self.shown[i] = chr(byte) if byte < 128 else BYTE
         self.ids = {
             text: i
             for i, text in enumerate(self.texts)
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))
         }
         self.score = {text: model.get_score(i) for text, i in self.ids.items()}
-        # The lengths of the pieces that end with two characters, longest first, and last of all one.
-        sizes: dict[str, set[int]] = {}
-        for text in self.ids:
-            if len(text) > 1:
-                sizes.setdefault(text[-2:], {1}).add(len(text))
-        self.sizes = {pair: sorted(found, reverse=True) for pair, found in sizes.items()}
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, array] = {}
         self.before: dict[str, array] = {}
         # The pieces that the encoding of their own text is; only these are ever returned.
         self.whole = {text for text in self.ids if len(text) < 2 or self.merge(text) == [text]}
+        # By their last three characters, the lengths of these pieces, longest first.
+        sizes: dict[str, set[int]] = {}
+        for text in self.whole:
+            if len(text) > 2:
+                sizes.setdefault(text[-3:], {1}).add(len(text))
+        for end, found in sizes.items():
+            found |= {2} if end[1:] in self.whole else set()
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
 
     def merge(self, text: str) -> list[str]:
         """The segmentation by merging the best neighbours, first ones first, until none is left."""
@@ -90,7 +98,7 @@ class Vocabulary:
     def segment(self, words: list[str]):
         """Pieces of each word of a sorted list; prefixes of the word before are not passed again."""
         last: list[str] = [""]  # by length of the prefix, its last piece
-        before, apart, whole, sizes, one = "", self.apart, self.whole, self.sizes, (1,)
+        before, apart, whole, sizes, two, one = "", self.apart, self.whole, self.sizes, (2, 1), (1,)
         for word in words:
             common, n = 0, len(word)
             for common, (x, y) in enumerate(zip(word, before)):
@@ -100,7 +108,8 @@ class Vocabulary:
                 common = min(n, len(before))
             del last[common + 1 :]
             for end in range(common + 1, n + 1):
-                for size in sizes.get(word[end - 2 : end], one) if end > 1 else one:
+                found = sizes.get(word[end - 3 : end]) if end > 2 else None
+                for size in found or (two if end > 1 else one):
                     if size > end:
                         continue
                     begin = end - size
@@ -156,20 +165,23 @@ class Vocabulary:
                 ids.extend([self.byte_ids[b] for b in piece.encode()] if held is None else [held])
             return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
+        text = "".join(map(self.shown.__getitem__, ids))
+        if BYTE in text:
+            text = self.with_bytes(ids)
+        text = text.replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
+
+    def with_bytes(self, ids) -> str:
+        """The pieces' texts, runs of bytes decoded together."""
         parts, raw = [], bytearray()
-        byte_of, texts = self.byte_of, self.texts
         for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
+            if i in self.byte_of:
+                raw.append(self.byte_of[i])
                 continue
-            if raw:
-                parts.append(raw.decode(errors="replace"))
-                raw.clear()
-            parts.append(texts[i])
-        parts.append(raw.decode(errors="replace"))
-        text = "".join(parts).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+            parts += [raw.decode(errors="replace"), self.texts[i]]
+            raw.clear()
+        return "".join([*parts, raw.decode(errors="replace")])
 
 
 @cache
@@ -177,28 +189,36 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(path: str):
+def _encode(path: str, check: bool):
     def run(batches):
         for batch in batches:
             for begin in range(0, len(batch), TOGETHER):
-                part = batch.slice(begin, TOGETHER)
-                encoded = vocabulary(path).encode(part.column(1).to_pylist())
+                part, known = batch.slice(begin, TOGETHER), vocabulary(path)
+                encoded = known.encode(part.column(1).to_pylist())
                 flat = array("i")
                 for ids in encoded:
                     flat.extend(ids)
                 ends = np.cumsum([0, *map(len, encoded)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+                columns, names = [part.column(0), lists], ["doc_id", "ids"]
+                if check:
+                    digests = [sha256(known.decode(ids).encode()).hexdigest() for ids in encoded]
+                    columns.append(pa.array(digests, pa.string()))
+                    names.append("decoded_sha256")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL
-) -> DataFrame:
-    """doc_id and ids of every row."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL,
+    check: bool = False,
+) -> DataFrame:
+    """doc_id and ids of every row; with ``check`` also decoded_sha256, the digest of the text that
+    the ids decode to."""
     texts = docs.select(F.col(id_col).alias("doc_id"), filled(text_col).alias("text"))
-    return texts.mapInArrow(_encode(path), "doc_id long, ids array<int>")
+    more = ", decoded_sha256 string" if check else ""
+    return texts.mapInArrow(_encode(path, check), f"doc_id long, ids array<int>{more}")
 
 
 def decode(ids: str | Column, path: str = MODEL) -> Column:
