@@ -7,7 +7,9 @@ extracted again with its host's winning path; a page that has no text there uses
 and one without any container the whole body.
 
 Left out everywhere: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments, by tag or by words in class, id or role.
+reader comments, by tag or by words in class, id or role. Words decide only where they name a part of
+the page, not where a wrapper of the text mentions one (see ``_left_out``); if they would leave
+nothing, only the tags count.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs to a host of its own
 kind (the text before the path, or the empty host); repeated rows give repeated results; an empty table
@@ -57,17 +59,70 @@ _AGAINST = frozenset(
     " sponsored subscribe toolbar topbar widget contentinfo complementary search".split()
 )
 _FOR = frozenset("article body content entry main post story text".split())
+# A name that begins so ("no-sidebar", "has-comments") tells what the element has, not what it is.
+_HAVING = frozenset("no has with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _names(attributes: str) -> tuple[str, set[str]]:
-    """The first class, and all words of class, id and role."""
-    first, words = "", set()
+def _names(attributes: str) -> tuple[str, set[str], bool, bool, bool]:
+    """The first class and all words of class, id and role; whether a word speaks against the element,
+    whether a name ends with such a word ("post-comments", not "comments-wrap"), whether it is the main role."""
+    first, words, against, named, main = "", set(), False, False, False
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "class" and value.split():
-            first = value.split()[0]
-        words |= set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return first, words
+        names = (m[2] or m[3] or m[4] or "").split()
+        if m[1].lower() == "class" and names:
+            first = names[0]
+        main |= m[1].lower() == "role" and "main" in names
+        for name in names:
+            parts = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            words.update(parts)
+            if parts and not (len(parts) > 1 and parts[0] in _HAVING):
+                against |= not _AGAINST.isdisjoint(parts)
+                named |= parts[-1] in _AGAINST
+    return first, words, against, named, main
+
+
+class _Part:
+    """The page, a main, an article, or an element with a word that speaks against it."""
+
+    def __init__(self, above=None, tag="", against=False, named=False, for_=False, main=False):
+        self.above, self.tag, self.against, self.named = above, tag, against, named
+        self.for_, self.main, self.out = for_, main, False
+        # Characters: all, those in no part with a word against it, and of these those that speak for
+        # themselves and those in a main or an article further down (headings count in the first only).
+        self.all = self.plain = self.speaks = self.sections = 0
+        self.has_main = self.has_article = False
+
+
+def _left_out(parts: list[_Part]) -> None:
+    """Mark the parts that are left out for their names; ``parts`` in the order of the page.
+
+    A part with a word against it stays if it holds a main; or if it holds most of the text of the part
+    around it, or the article there, and no other text there is a better candidate: text in another
+    main or article, and for a part that is named so or has no word for it, any that speaks for itself.
+    """
+    for p in reversed(parts[1:]):
+        up = p.above
+        up.all += p.all
+        up.has_main |= p.has_main or p.main and p.all > 0
+        up.has_article |= p.has_article or p.tag == "article" and not p.against and p.all > 0
+        if not p.against:
+            up.plain += p.plain
+            up.sections += p.plain
+            up.speaks += p.speaks
+    for p in parts[1:]:
+        up = p.above
+        if up.out or not p.against:
+            p.out = up.out
+            continue
+        loose = not p.named or p.tag == "article" and p.for_
+        most = 2 * p.all > up.all
+        rival = up.sections if loose and p.for_ else up.speaks
+        p.out = not (
+            p.has_main
+            or (most or loose and p.has_article) and not rival
+            or loose and p.for_ and p.has_article and most
+        )
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
@@ -77,34 +132,37 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
     spaces, the share of it inside links, and whether a name around it speaks for it.
     """
     found: list = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, for
+    stack: list[tuple[str, bool, bool, _Part]] = []  # tag, left out, for, part around it
     paths: list[str] = []
-    dropped, links, speaks = 0, 0, 0
-    parts: list[str] = []
-    linked = at = 0
+    dropped, links, speaks, headings = 0, 0, 0, 0
+    pieces: list[tuple[str, _Part, bool]] = []
+    page = part = _Part()
+    parts = [page]
+    at = 0
 
     def flush():
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            found.append((tuple(paths), text, min(1.0, linked / len(text)), speaks > 0))
-        parts.clear()
-        linked = 0
+        if pieces:
+            found.append((tuple(paths), pieces.copy(), speaks > 0))
+            pieces.clear()
 
     def text_until(end: int):
-        nonlocal linked
         if end > at and not dropped:
             piece = html[at:end]
             piece = unescape(piece) if "&" in piece else piece
-            parts.append(piece)
-            linked += len(piece) if links else 0
+            pieces.append((piece, part, links > 0))
+            n = len(piece.strip())
+            part.all += n
+            if not headings:
+                part.plain += n
+                part.speaks += n if speaks else 0
 
     def pop():
-        nonlocal dropped, links, speaks
-        tag, out, for_ = stack.pop()
+        nonlocal dropped, links, speaks, headings, part
+        tag, out, for_, part = stack.pop()
         dropped -= out
         speaks -= for_
         links -= tag == "a"
+        headings -= tag in _HEADINGS
         if tag in _CONTAINERS:
             paths.pop()
 
@@ -118,14 +176,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
         if not tag:
             continue
         if tag == "br":
-            parts.append(" ") if not dropped else None
+            pieces.append((" ", part, False)) if not dropped else None
             continue
         if tag in _BLOCKS and not dropped:
             flush()
         if m[1]:
             open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if open_at is not None and (
-                tag in _BLOCKS or not any(t in _BLOCKS for t, _, _ in stack[open_at:])
+                tag in _BLOCKS or not any(t[0] in _BLOCKS for t in stack[open_at:])
             ):
                 while len(stack) > open_at:
                     pop()
@@ -149,18 +207,37 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
         if tag == "body":
             while stack:
                 pop()
-        first, words = _names(m[3]) if "=" in m[3] else ("", set())
-        out = (tag in _DROPPED or bool(words & _AGAINST)) and tag not in ("html", "body", "main")
+        first, words, against, named, main = _names(m[3]) if "=" in m[3] else ("", set(), *[False] * 3)
+        out = tag in _DROPPED
         for_ = tag in ("article", "main") or bool(words & _FOR)
         if tag in _CONTAINERS:
             name = f"{tag}.{re.sub(r'[0-9]+', '#', first)}" if first else tag
             paths.append(f"{paths[-1]}/{name}" if paths else name)
-        stack.append((tag, out, for_))
+        stack.append((tag, out, for_, part))
         dropped += out
         speaks += for_
         links += tag == "a"
+        headings += tag in _HEADINGS
+        main |= tag == "main"
+        against &= tag not in ("html", "body") and not main
+        if not dropped and (against or main or tag == "article"):
+            part = _Part(part, tag, against, named, bool(words & _FOR), main)
+            parts.append(part)
     flush()
-    return found
+    _left_out(parts)
+    return _kept(found, False) or _kept(found, True)
+
+
+def _kept(found: list, everything: bool) -> list[tuple[tuple[str, ...], str, float, bool]]:
+    """The blocks that have text outside the parts left out, or with it."""
+    kept = []
+    for paths, pieces, speaks in found:
+        inside = [(piece, linked) for piece, part, linked in pieces if everything or not part.out]
+        text = " ".join("".join(piece for piece, _ in inside).split())
+        if text:
+            linked = sum(len(piece) for piece, linked in inside if linked)
+            kept.append((paths, text, min(1.0, linked / len(text)), speaks))
+    return kept
 
 
 def best_path(found: list) -> str | None:

@@ -299,3 +299,44 @@ def test_bounds_hold_for_nearly_all_vectors():
     true = ann.cosine(vectors, query)
     assert ((low <= true) & (true <= high)).mean() > 0.999
     assert (high - low).mean() < 1.5
+
+
+STORY = "<h1>Title</h1><p>" + "The story goes on. " * 20 + "</p><p>Its end.</p>"
+WHOLE = " ".join(["Title", *["The story goes on."] * 20, "Its end."])
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"),
+        ('<div class="content no-sidebar">', "</div>"),
+        ('<article class="post has-comments">', "</article>"),
+        ('<div id="content-header-wrap">', "</div>"),
+        ('<div id="content-header-wrap"><article>', '</article><div class="sidebar">Side</div></div>'),
+        ('<div class="sidebar-layout">', '<div class="sidebar">Side</div></div><div class="notice">We</div>'),
+        ('<article><div class="entry-share-wrap">', "</div></article>"),
+        ('<div class="widget">', "</div>"),
+    ],
+)
+def test_a_wrapper_that_mentions_a_part_keeps_its_text(before, after):
+    side = '<div class="comments"><p>Great!</p></div><nav>Home</nav>'
+    assert html.main_text(f"<body>{before}{STORY}{after}{side}</body>", None) == WHOLE
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><p>Short.</p><div class="comments">{}</div></article>',
+        '<article><p>Short.</p><ol class="comment-list"><li><article>{}</article></ol></article>',
+        '<main><article><p>Short.</p></article><div id="comments-area"><article>{}</article></div></main>',
+        '<div class="post"><p>Short.</p></div><div class="post-comments">{}</div>',
+        '<article><p>Sh<span class="ad">{}</span>ort.</p></article>',
+    ],
+)
+def test_long_comments_stay_out(page):
+    assert html.main_text(f"<body>{page.format('Great! ' * 50)}</body>", None) == "Short."
+
+
+def test_names_do_not_empty_a_page():
+    page = '<body><div class="promo">One</div><div class="widget">Two</div></body>'
+    assert [text for _, text, _, _ in html.blocks(page)] == ["One", "Two"]
