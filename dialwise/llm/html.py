@@ -1,8 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Every page's containers are scored by the text they hold (less inside links, more in elements whose
-name or class speaks for an article) and the page votes for the best one's path: the tags from the
-body down, with their classes, digits generalised. Spark counts the votes per host. Each page is then
+name or class speaks for an article), from the best one the page climbs to the whole article around it,
+and votes for that path: the tags from the body down, with their classes, digits generalised. A table
+cell is no container: a table is part of its article. Spark counts the votes per host. Each page is then
 extracted again with its host's winning path; a page that has no text there uses its own best path,
 and one without any container the whole body.
 
@@ -44,7 +45,7 @@ _DROPPED = frozenset(
     "nav header footer aside form button select menu dialog noscript template svg math head"
     " canvas object audio video".split()
 )
-_CONTAINERS = frozenset("body main article section div td".split())
+_CONTAINERS = frozenset("body main article section div".split())
 _BLOCKS = frozenset(
     "address article blockquote body caption center dd details dialog div dl dt fieldset figcaption"
     " figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section"
@@ -62,6 +63,8 @@ _FOR = frozenset("article body content entry main post story text".split())
 # A name that begins so ("no-sidebar", "has-comments") tells what the element has, not what it is.
 _HAVING = frozenset("no has with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a page's text that makes a container its main one where there is no article or main.
+NEARLY_ALL = 0.95
 
 
 def _names(attributes: str) -> tuple[str, set[str], bool, bool, bool]:
@@ -241,14 +244,39 @@ def _kept(found: list, everything: bool) -> list[tuple[tuple[str, ...], str, flo
 
 
 def best_path(found: list) -> str | None:
-    """The path of the container with the best score: a block counts half as much at each level up."""
+    """The path of the whole text around the container with the best score.
+
+    A block counts half as much at each level up, so the best container may be a part of the article.
+    """
     score: dict[str, float] = defaultdict(float)
     for paths, text, linked, speaks in found:
         worth = len(text) * (1 - linked) * (1.5 if speaks else 1)
         for path in reversed(paths):
             score[path] += worth
             worth /= 2
-    return max(score, key=lambda p: (score[p], p)) if score else None
+    if not score:
+        return None
+    best = max(score, key=lambda p: (score[p], p))
+    return _whole(found, next(paths[: paths.index(best) + 1] for paths, *_ in found if best in paths))
+
+
+def _whole(found: list, chain: tuple[str, ...]) -> str:
+    """Of the last path of ``chain`` and those around it: the outermost article, else the innermost
+    main, else the innermost one that holds nearly all text, and the ones right around that whose
+    class speaks for them."""
+    steps = [path[len(up) :].lstrip("/") for up, path in zip(("", *chain), chain)]
+    tags = [step.partition(".")[0] for step in steps]
+    if "article" in tags:
+        return chain[tags.index("article")]
+    if "main" in tags:
+        return chain[len(tags) - 1 - tags[::-1].index("main")]
+    least = NEARLY_ALL * sum(len(text) for _, text, _, _ in found)
+    at = len(chain) - 1
+    while at and sum(len(text) for paths, text, _, _ in found if chain[at] in paths) < least:
+        at -= 1
+    while at and not _FOR.isdisjoint(_WORD.findall(steps[at - 1].partition(".")[2].lower())):
+        at -= 1
+    return chain[at]
 
 
 def main_text(html: str, path: str | None) -> str:

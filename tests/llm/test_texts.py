@@ -340,3 +340,38 @@ def test_long_comments_stay_out(page):
 def test_names_do_not_empty_a_page():
     page = '<body><div class="promo">One</div><div class="widget">Two</div></body>'
     assert [text for _, text, _, _ in html.blocks(page)] == ["One", "Two"]
+
+
+LONG_PART = "<p>" + "Much more of it. " * 40 + "</p>"
+PARTS = [
+    '<article><h1>T</h1><p>Lead.</p><div class="entry-content">{}</div></article>',
+    "<article><section class=intro><p>T</p><p>Lead.</p></section><section class=body>{}</section></article>",
+    "<article><h1>T</h1><p>Lead.</p><table><tr><td>{}</td></tr></table></article>",
+    "<main><h1>T</h1><div><p>Lead.</p></div><div><div>{}</div></div></main>",
+    '<div class="post"><h1>T</h1><p>Lead.</p><div class="entry-content">{}</div></div>',
+]
+SECTIONS = (
+    "<article><section class=intro><p>T Lead.</p></section><section class=body>{}</section>"
+    "<section class=end><p>End.</p></section></article>"
+)
+
+
+@pytest.mark.parametrize("page", PARTS)
+def test_the_whole_article_is_taken(page):
+    page = f"<body><div class=box>Other</div>{page.format(LONG_PART)}</body>"
+    assert html.main_text(page, None) == " ".join(["T Lead.", *["Much more of it."] * 40])
+
+
+def test_all_sections_of_a_host_are_taken(spark):
+    rows = [(i, "http://a.example", SECTIONS.format(LONG_PART * i), "h") for i in (1, 2, 3)]
+    rows.append((4, "http://a.example", "<article><section class=body>Short</section>" + LONG_PART + "</article>", "h"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
+    found = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for i in (1, 2, 3):
+        assert found[i] == " ".join(["T Lead.", *["Much more of it."] * 40 * i, "End."])
+    assert found[4] == " ".join(["Short", *["Much more of it."] * 40])
+
+
+def test_text_of_several_boxes_is_kept():
+    page = f"<body><div class=a>{LONG_PART * 3}</div><div class=b>{LONG_PART}</div><div class=c>End.</div></body>"
+    assert html.main_text(page, None) == " ".join([*["Much more of it."] * 160, "End."])
