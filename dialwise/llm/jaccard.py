@@ -1,0 +1,180 @@
+"""Links of texts whose sets of word shingles are alike, by MinHash bands and exact verification.
+
+A text's set is that of its shingles of ``words`` words (a shorter text is one shingle). Two sets of
+the wanted similarity share one of the bands with a chance of at least 1 - ``MISS``; every pair that
+is linked was verified with the Jaccard similarity of the whole sets.
+
+First each set is compared with the smallest one of each of its bands, so that a large group of copies
+takes one comparison a member and band. Then only bands whose members are not all connected are
+looked at again, all pairs of members not connected; where these are more than ``PAIRS`` for each
+member, every member meets ``PAIRS`` others, spread evenly (a documented bound).
+
+Defined cases: a text without words has no set and no links; a null id is an id like any other here.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
+
+from dialwise.llm.common import filled
+from dialwise.llm.components import components
+from dialwise.session import frozen
+
+SEED, ROWS, MISS = 42, 4, 1e-6
+PAIRS, CHUNK = 256, 4096
+_SET = StructType().add("s", LongType()).add("bands", ArrayType(LongType()))
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The sorted hashes of the text's different shingles."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]).tolist()
+    n = max(1, len(found) - words + 1)
+    starts, stops = [0, *ends[: n - 1]], ends[min(words, len(found)) - 1 :]
+    hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, stops)]
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def n_bands(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log1p(-min(similarity, 0.999) ** ROWS))
+
+
+def band_keys(shingles: np.ndarray, bands: int) -> np.ndarray:
+    rng = np.random.default_rng(SEED)
+    turn, factor = rng.integers(0, 2**63, (2, bands * ROWS, 1), dtype=np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(bands * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), CHUNK):
+        mixed = shingles[i : i + CHUNK] ^ turn
+        mixed *= factor
+        least = np.minimum(least, mixed.min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def set_of(text: Column, words: int, bands: int) -> Column:
+    """A number for the set of each text, null without words, and the keys of its bands."""
+
+    def run(text: pa.Array) -> pa.Array:
+        numbers, keys = [], []
+        for t in text.to_pylist():
+            shingles = shingle_set(t, words)
+            number = xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - 2**63
+            numbers.append(number if len(shingles) else None)
+            keys.append(band_keys(shingles, bands) if len(shingles) and bands else [])
+        arrays = [pa.array(numbers, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, ["s", "bands"])
+
+    return F.arrow_udf(run, _SET)(text)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float):
+    """The pairs (a, b) of sets that are alike; ``docs`` has id and text."""
+    pairs = frozen(pairs.where("a != b").distinct(), "candidates")
+    asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    owners = sets.join(asked, sets["s"] == asked["a"], "left_semi").select(F.col("id").alias("owner"))
+    rows = docs.join(owners.distinct(), F.col("id").eqNullSafe(F.col("owner")), "left_semi")
+    texts = rows.select(set_of("text", words, 0)["s"].alias("s"), "text")
+    texts = frozen(texts.where("s IS NOT NULL").groupBy("s").agg(F.min("text").alias("text")), "texts")
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([jaccard(shingle_set(x, words), shingle_set(y, words)) for x, y in both], pa.float64())
+
+    first = texts.select(F.col("s").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("s").alias("b"), F.col("text").alias("text_b"))
+    likeness = F.arrow_udf(alike, DoubleType())("text_a", "text_b")
+    found = pairs.join(first, "a").join(second, "b").withColumn("likeness", likeness)
+    return frozen(found.where(F.col("likeness") >= similarity).select("a", "b"), "alike")
+
+
+def cross_pairs(s: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of one band with different roots: all, or ``PAIRS`` for each member."""
+    n = len(s)
+    if n > 2 * PAIRS:
+        steps = np.unique(np.linspace(1, n // 2, PAIRS).astype(int))
+    else:
+        steps = np.arange(1, n // 2 + 1)
+    a, b = [], []
+    for step in steps:
+        other = np.roll(np.arange(n), -step)
+        apart = root != root[other]
+        a.append(s[apart])
+        b.append(s[other[apart]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _pairs(batches):
+    """Rows (key, s, root) sorted by key in, candidate pairs out."""
+
+    def out(s, root):
+        a, b = cross_pairs(s, root)
+        for i in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
+
+    held = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        held = np.hstack([held, [c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+        cuts = np.flatnonzero(np.diff(held[0])) + 1
+        *whole, held = np.split(held, cuts, axis=1)
+        for group in whole:
+            if group.shape[1] > 1:
+                yield from out(group[1], group[2])
+    if held.shape[1] > 1:
+        yield from out(held[1], held[2])
+
+
+def alike_links(
+    docs: DataFrame, prints: DataFrame, near: DataFrame, words: int, similarity: float
+) -> DataFrame:
+    """(a, b): links of fingerprints whose texts are alike.
+
+    ``docs`` has id and text (no nulls), ``prints`` s, bands, id and fp of its rows, ``near`` the other
+    links of fingerprints, which need no second finding.
+    """
+    prints = prints.where("s IS NOT NULL")
+    sets = frozen(
+        prints.groupBy("s").agg(F.min_by("id", "fp").alias("id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")),
+        "sets",
+    )
+    same = prints.select("s", F.col("fp").alias("b")).join(sets.select("s", F.col("fp").alias("a")), "s")
+    same = same.where("a != b").select("a", "b").distinct()
+    keys = sets.select("s", "fp", F.explode("bands").alias("key"))
+    least = keys.groupBy("key").agg(F.min("s").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = frozen(keys.join(least, "key").select("key", "s", "fp", "b"), "bands")
+    stars = _verified(keys.select(F.col("s").alias("a"), "b"), sets, docs, words, similarity)
+
+    def by_print(pairs: DataFrame) -> DataFrame:
+        of = sets.select("s", "fp")
+        a = of.select(F.col("s").alias("a"), F.col("fp").alias("fa"))
+        b = of.select(F.col("s").alias("b"), F.col("fp").alias("fb"))
+        return pairs.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    known = by_print(stars).unionByName(same)
+    roots = components(near.unionByName(known)).select(F.col("node").alias("fp"), "root")
+    placed = keys.join(roots, "fp", "left").select("key", "s", F.coalesce("root", "fp").alias("root"))
+    placed = frozen(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    left = placed.join(mixed.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    rest = left.select("key", "s", "root").mapInArrow(_pairs, "a long, b long")
+    rest = _verified(rest, sets, docs, words, similarity)
+    return known.unionByName(by_print(rest))

@@ -30,6 +30,7 @@ from pyspark.sql.types import LongType
 
 from dialwise.llm.common import filled, fresh
 from dialwise.llm.components import components
+from dialwise.llm.jaccard import alike_links, n_bands, set_of
 from dialwise.session import frozen
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -223,10 +224,16 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.where("b IS NOT NULL").unionByName(_by_middle_words(crowded))
 
 
-def component_of_fingerprints(prints: DataFrame) -> DataFrame:
-    """fp, root and component_id (smallest doc_id of the component) from rows of doc_id and fp."""
+def component_of_fingerprints(prints: DataFrame, more=None) -> DataFrame:
+    """fp, root and component_id (smallest doc_id of the component) from rows of doc_id and fp.
+
+    ``more`` gives further links of fingerprints from these."""
     classes = frozen(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes)).select(F.col("node").alias("fp"), "root")
+    near = links(classes)
+    if more:
+        near = frozen(near, "near")
+        near = near.unionByName(more(near))
+    roots = components(near).select(F.col("node").alias("fp"), "root")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return frozen(placed.select("fp", "root").join(whole, "root"), "groups")
@@ -244,18 +251,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, of equal ids the smallest
-    fingerprint, then text. All columns are kept."""
+    fingerprint, then text. All columns are kept.
+
+    With ``words`` and ``similarity``, texts whose sets of shingles of so many words have at least that
+    Jaccard similarity are linked too."""
     key, place = fresh(docs, "fp", "place")
     marked = docs.withColumn(key, fingerprint_of(filled(text_col)))
-    prints = frozen(
-        marked.select(F.col(id_col).alias("doc_id"), F.col(key).alias("fp")), "fingerprints"
-    )
+    columns, more = [F.col(id_col).alias("doc_id"), F.col(key).alias("fp")], None
+    if similarity:
+        columns.append(set_of(filled(text_col), words, n_bands(similarity)).alias("set"))
+        texts = docs.select(F.col(id_col).alias("id"), filled(text_col).alias("text"))
+
+        def more(near: DataFrame) -> DataFrame:
+            sets = prints.select(F.col("doc_id").alias("id"), "fp", "set.s", "set.bands")
+            return alike_links(texts, sets, near, words, similarity)
+
+    prints = frozen(marked.select(*columns), "fingerprints")
     kept_id, kept_fp = fresh(marked, "kept_id", "kept_fp")
     chosen = (
-        prints.join(component_of_fingerprints(prints), "fp")
+        prints.select("doc_id", "fp").join(component_of_fingerprints(prints, more), "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "component_id")
         .agg(F.min("fp").alias(kept_fp))
