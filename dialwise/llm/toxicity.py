@@ -3,8 +3,9 @@
 A word is the mean of the embeddings of its character n-grams (3 to 5 bytes of ``<word>``, hashed), so
 unseen misspellings and endings share vectors with the words they resemble. A passage of ``WINDOW``
 words is the mean of its words, and a linear softmax on it gives the chance of toxicity. A document
-scores as its most toxic passage (passages overlap by half and cover the whole text), so that a few
-insults are not averaged away in a long text. Embeddings and softmax are trained jointly with Adagrad.
+scores as its most toxic passage, so that a few insults are not averaged away in a long text. Passages
+overlap by half and run over the first place of every different word: words that come again form no
+further passage, however dense they stand there. Embeddings and softmax are trained jointly with Adagrad.
 
 Learning takes a bounded sample of labelled rows, ``TOXIC_SAMPLE`` toxic and ``CLEAN_SAMPLE`` clean
 ones (documented bounds; the smallest hashes of the ids), with their whole texts, in one task. Scoring reads every
