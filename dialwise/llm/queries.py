@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialwise.llm.ann import search
 from dialwise.llm.chat import digests, format_conversations
+from dialwise.llm.collocations import collocations
 from dialwise.llm.common import table
 from dialwise.llm.exact_dedup import label_copies
 from dialwise.llm.html import extract
@@ -15,6 +16,8 @@ from dialwise.llm.secrets import RULES, scan_secrets
 from dialwise.llm.sentencepiece import encode
 from dialwise.llm.simhash import near_duplicates
 from dialwise.llm.toxicity import toxicity
+from dialwise.llm.vector_codes import code_table
+from dialwise.llm.warc import archive_and_read
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -66,6 +69,19 @@ def op10_exact_dedup(spark, sf_dir):
     return label_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark, sf_dir):
+    records = archive_and_read(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash": op2_simhash,
@@ -77,8 +93,64 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
 
+
+
+def _vector_codes_sql(positions=8, entries=16, rounds=6):
+    """The rounds written out, one pair of common tables each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT vec_id, label, pos, x, CAST(m % {entries} AS INTEGER) AS e, CAST(m // {entries} AS BIGINT) AS d
+            FROM (SELECT p.vec_id, p.label, p.pos, any_value(p.x) AS x, min(CAST(list_sum(list_transform(
+                      range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))) AS HUGEINT)
+                      * {entries} + c.e) AS m
+                  FROM p JOIN c{r} AS c USING (pos) GROUP BY p.vec_id, p.label, p.pos))""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (
+            SELECT pos, e, i, CAST(floor_of.s AS BIGINT) AS s, n FROM (
+                SELECT pos, e, i, sum(x[i]) AS s, count(*) AS n
+                FROM a{r}, (SELECT unnest(range(1, w + 1)) AS i FROM (SELECT any_value(len(x)) AS w FROM p))
+                GROUP BY pos, e, i) AS floor_of),
+        c{r + 1} AS MATERIALIZED (
+            SELECT c.pos, c.e, coalesce(u.x, c.x) AS x
+            FROM c{r} AS c LEFT JOIN (
+                SELECT pos, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY pos, e
+            ) AS u USING (pos, e))""")
+    last = rounds
+    return f"""
+        WITH k AS (
+            SELECT vec_id, label,
+                   list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        p AS MATERIALIZED (
+            SELECT vec_id, label, CAST(pos AS INTEGER) AS pos,
+                   v[pos * (len(v) // {positions}) + 1 : (pos + 1) * (len(v) // {positions})] AS x
+            FROM k, range({positions}) AS t(pos)),
+        c0 AS MATERIALIZED (
+            SELECT pos, CAST(place - 1 AS INTEGER) AS e, x
+            FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM k) USING (vec_id)
+            WHERE place <= {entries}),{",".join(steps)},
+        b AS (
+            SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY pos, e, i)) AS h
+            FROM (SELECT pos, e, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM c{last})),
+        o AS (
+            SELECT vec_id, any_value(label) AS label, CAST(sum(d) AS BIGINT) AS error,
+                   string_agg(printf('%02x', e), '' ORDER BY pos) AS code
+            FROM a{last} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT h FROM b) AS codebooks_sha256
+        FROM o"""
+
+
 _ASSIGN = RULES[0].pattern.replace("'", "''")
 
 ORACLE = {
@@ -135,4 +207,60 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h)""",
+    "op11_collocations": r"""
+        WITH w AS (
+            SELECT d, coalesce(lang, 'und') AS lang, place, list_filter(
+                       string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+            FROM (SELECT row_number() OVER () AS d, lang, unnest(pieces) AS piece,
+                         unnest(range(len(pieces))) AS place
+                  FROM (SELECT lang, string_split_regex(
+                            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+                        FROM documents))),
+        f AS MATERIALIZED (
+            SELECT lang, k, phrase, count(*) AS a
+            FROM (SELECT lang, k, unnest(list_transform(
+                             range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+                  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)
+            GROUP BY lang, k, phrase),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND a >= 10),
+        e AS (
+            SELECT lang, k, phrase, a, cut, array_to_string(p[1:cut], ' ') AS first,
+                   array_to_string(p[cut + 1:], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        s AS (
+            SELECT e.lang, e.k, e.phrase, e.a, g.a AS l, h.a AS r, cut,
+                   CAST(CAST(e.a AS HUGEINT) * e.a * 1000000 // (CAST(g.a AS HUGEINT) * h.a) AS BIGINT) AS score
+            FROM e JOIN f AS g ON g.lang = e.lang AND g.phrase = e.first
+            JOIN f AS h ON h.lang = e.lang AND h.phrase = e.rest),
+        b AS (
+            SELECT * FROM s
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        t AS (
+            SELECT lang, phrase, max(a) AS longest
+            FROM (SELECT lang, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS phrase, a
+                  FROM c WHERE k = 3)
+            GROUP BY lang, phrase)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank,
+               b.phrase, a, l, r, n.n, score
+        FROM b JOIN n ON n.lang = b.lang
+        LEFT JOIN t ON t.lang = b.lang AND t.phrase = b.phrase
+        WHERE b.k = 3 OR longest IS NULL OR 100 * longest < 50 * a
+        QUALIFY rank <= 2000""",
+    "op12_vector_codes": _vector_codes_sql(),
+    "op13_warc": """
+        WITH d AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (
+            SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, h,
+                   max(page_id) OVER (PARTITION BY t) AS kept
+            FROM d),
+        q AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || h[5 * i + 1 : 5 * i + 5] AS BIGINT)) AS v FROM g)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i:
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)]), '')
+                   AS payload_digest,
+               CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN kept <> page_id THEN kept END AS refers_to
+        FROM q""",
 }
