@@ -95,11 +95,11 @@ class _Numbers(dict):
         return number
 
 
-def _sections(raw: bytes):
-    """``raw`` in sections that end where a piece ends."""
+def _sections(raw: bytes, size: int):
+    """``raw`` in sections of at least ``size`` bytes that end where a piece ends."""
     start = 0
-    while len(raw) - start > SECTION:
-        ends = [at for b in BREAKS if (at := raw.find(bytes([b]), start + SECTION)) >= 0]
+    while len(raw) - start > size:
+        ends = [at for b in BREAKS if (at := raw.find(bytes([b]), start + size)) >= 0]
         if not ends:
             break
         yield raw[start : min(ends) + 1]
@@ -131,23 +131,28 @@ class _Held:
         return pa.RecordBatch.from_pylist([row], pa.schema(_CHUNK_FIELDS))
 
 
-def _chunks(batches):
-    held: dict[str, _Held] = {}
-    total = number = 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for section in _sections(text.as_buffer().to_pybytes()):
-                own = held.setdefault(lang, _Held())
-                total += own.add(section)
-                if own.size >= CHUNK or total >= HELD:
-                    lang_out = lang if own.size >= CHUNK else max(held, key=lambda x: held[x].size)
-                    out = held.pop(lang_out)
-                    total -= out.size
-                    yield out.chunk(lang_out, number)
-                    number += 1
-    for lang, own in held.items():
-        yield own.chunk(lang, number)
-        number += 1
+def _chunks(size: int, most: int, section: int):
+    """Texts (lang, text) to chunks of about ``size`` tokens of a language; a task holds ``most``."""
+
+    def run(batches):
+        held: dict[str, _Held] = {}
+        total = number = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for part in _sections(text.as_buffer().to_pybytes(), section):
+                    own = held.setdefault(lang, _Held())
+                    total += own.add(part)
+                    if own.size >= size or total >= most:
+                        full = lang if own.size >= size else max(held, key=lambda x: held[x].size)
+                        out = held.pop(full)
+                        total -= out.size
+                        yield out.chunk(full, number)
+                        number += 1
+        for lang, own in held.items():
+            yield own.chunk(lang, number)
+            number += 1
+
+    return run
 
 
 # N-grams of a chunk.
@@ -335,7 +340,7 @@ def frequent_phrases(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         filled(text_col).cast("binary").alias("text"),
     )
-    chunks = texts.mapInArrow(_chunks, _CHUNK).withColumn("part", F.spark_partition_id())
+    chunks = texts.mapInArrow(_chunks(CHUNK, HELD, SECTION), _CHUNK).withColumn("part", F.spark_partition_id())
     chunks = frozen(chunks, "chunks")
     sizes = frozen(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0"), "languages")
     mass = words * (chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
@@ -402,6 +407,14 @@ def collocations(
     percent of their occurrences or more.
     """
     known, sizes = frequent_phrases(docs, text_col, lang_col, words, least)
+    return scored_phrases(known, sizes, words, share, top, hot)
+
+
+def scored_phrases(
+    known: DataFrame, sizes: DataFrame, words: int = WORDS, share: int = SHARE, top: int | None = TOP,
+    hot: int = HOT,
+) -> DataFrame:
+    """The ranking of :func:`collocations` from counted phrases and the sizes of languages."""
     candidates = known.where("size > 1")
     parts = frozen(_parts(candidates, words), "parts")
     sides = _counted(parts, known, hot).groupBy("lang", "phrase").agg(
