@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from dialwise.llm.common import filled
 from dialwise.session import frozen, new_table_path
 
-#: Uncompressed bytes of a frame, compressed bytes of a bundle, groups of copies that are broadcast.
-FRAME, BUNDLE, HOT = 1 << 20, 64 << 20, 50_000
+#: Uncompressed bytes of a frame, compressed bytes of a bundle and of what a task reads, groups of copies
+#: that are broadcast.
+FRAME, BUNDLE, TASK, HOT = 1 << 20, 64 << 20, 4 << 20, 50_000
 LEVEL = 3
 
 #: The seekable format's skippable frame, footer, and the WARC profile of a revisit.
@@ -183,7 +184,8 @@ def _opened(path: str):
 class _Bundle:
     """A file being written: frames, and the index rows of the records in them."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, frame: int):
+        self.frame = frame
         self.path = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
         system, name = pafs.FileSystem.from_uri(self.path)
         self.out = system.open_output_stream(name, compression=None)
@@ -191,7 +193,7 @@ class _Bundle:
         self.held, self.held_bytes, self.waiting = [], 0, []
 
     def add(self, page_id, own: str, kind: str, whole: bytes) -> None:
-        if self.held and self.held_bytes + len(whole) > FRAME:
+        if self.held and self.held_bytes + len(whole) > self.frame:
             self.end_frame()
         self.waiting.append((own, page_id, kind, self.held_bytes, len(whole)))
         self.held.append(whole)
@@ -221,17 +223,17 @@ class _Bundle:
         return pa.RecordBatch.from_pylist(self.index, pa.schema(_INDEX_FIELDS))
 
 
-def _write_bundles(folder: str):
+def _write_bundles(folder: str, frame: int, size: int):
     def run(batches):
         bundle = None
         for batch in batches:
             for row, page_id, url, payload, kept_row, kept_id, kept_url in zip(
                 *(c if k == 3 else c.to_pylist() for k, c in enumerate(batch.columns))
             ):
-                bundle = bundle or _Bundle(folder)
+                bundle = bundle or _Bundle(folder, frame)
                 content = payload.as_buffer().to_pybytes()
                 bundle.add(page_id, *record(row, page_id, url, content, kept_row, kept_id, kept_url))
-                if bundle.size >= BUNDLE:
+                if bundle.size >= size:
                     yield bundle.close()
                     bundle = None
         if bundle:
@@ -262,7 +264,7 @@ def _kept(pages: DataFrame, least: int, hot: int) -> tuple[DataFrame, DataFrame]
 
 def write_archive(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    least: int = 0, hot: int = HOT,
+    least: int = 0, hot: int = HOT, frame: int = FRAME, bundle: int = BUNDLE,
 ) -> DataFrame:
     """Write a record per row to bundles in ``folder`` and return the index.
 
@@ -294,7 +296,7 @@ def write_archive(
     )
     system, name = pafs.FileSystem.from_uri(folder)
     system.create_dir(name, recursive=True)
-    return frozen(ready.mapInArrow(_write_bundles(folder), _INDEX), "index")
+    return frozen(ready.mapInArrow(_write_bundles(folder, frame, bundle), _INDEX), "index")
 
 
 def _read_frames(batches) -> Iterator[pa.RecordBatch]:
@@ -332,10 +334,14 @@ def _list_frames(batches) -> Iterator[pa.RecordBatch]:
 def read_archive(files: DataFrame) -> DataFrame:
     """All records of the bundles named in ``files`` (column ``file``), a task's work being some frames.
 
-    The seek tables at the ends of the files say where the frames are.
+    The seek tables at the ends of the files say where the frames are. A row of them is small and
+    stands for much work, so the number of tasks follows the bytes of the frames.
     """
     frames = files.select("file").distinct().mapInArrow(_list_frames, "file string, start long, bytes long")
-    return frames.repartition("file", F.expr("start div 8388608")).mapInArrow(_read_frames, _RECORD)
+    frames = frozen(frames, "frames")
+    size, count = frames.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, min(count, size // TASK + 1))
+    return frames.repartition(tasks, "file", "start").mapInArrow(_read_frames, _RECORD)
 
 
 def _fetch(batches) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,114 @@
+import base64
+import hashlib
+import io
+
+import pyarrow.fs as pafs
+import pytest
+import zstandard
+from cases import LONG, SF_DIR
+from oracle_check import compare, connect
+
+from dialwise.llm import warc
+from dialwise.llm.queries import ORACLE, QUERIES
+from dialwise.session import new_table_path
+
+PAGES = "page_id long, url string, html string, row string, digest string, kept string, size int, file int"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "a", "b", "c", 1, 2) for r in rows], PAGES)
+
+
+def by_hand(rows, least=0):
+    """(page_id, payload_bytes, digest, type, refers_to, payload), as the rule is written."""
+    out, stays = [], {}
+    for i, _, html in rows:
+        key = html or ""
+        if key not in stays or (i is not None and (stays[key] is None or i > stays[key])):
+            stays[key] = i
+    taken = set()
+    for i, _, html in rows:
+        key, raw = html or "", (html or "").encode()
+        first = stays[key] == i and key not in taken or len(raw) < least
+        taken |= {key} if first else set()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        kind = "response" if first else "revisit"
+        out.append((i, len(raw), digest, kind, None if first else stays[key], raw if first else None))
+    return sorted(out, key=repr)
+
+
+def found(frame):
+    rows = frame.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+    return sorted([(*r[:5], None if r[5] is None else bytes(r[5])) for r in rows.collect()], key=repr)
+
+
+ROWS = [
+    (1, "http://a.example/x?y=1&z=%20", "<p>one</p>"), (2, "http://a.example/é b\r\nInjected: yes", "<p>one</p>"),
+    (3, None, "<p>one</p>"), (4, "http://a.example/", None), (5, "", ""), (6, "u", "WARC/1.1\r\n\r\n\r\n"),
+    (7, "u", LONG * 6), (8, "u", "\x00😀\r\n\r\n" * 5), (9, "u", "<p>Two</p>"), (9, "v", "<p>Two</p>"),
+    (None, "w", "<p>none</p>"), (None, "w", "<p>none</p>"), (10, "w", "<p>none</p>"), (11, "w", LONG * 6),
+]
+
+
+def test_query_matches_duckdb(spark):
+    query = QUERIES["op13_warc"](spark, SF_DIR)
+    assert query.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert compare(connect(SF_DIR), ORACLE["op13_warc"], query) is None
+
+
+@pytest.mark.parametrize(("hot", "least", "frame"), [(50_000, 0, 1 << 20), (1, 0, 40), (0, 9, 300)])
+def test_round_trip_of_odd_rows(spark, hot, least, frame):
+    table = pages(spark, ROWS).repartition(3)
+    got = found(warc.archive_and_read(spark, table, hot=hot, least=least, frame=frame, bundle=frame * 3))
+    assert got == by_hand(ROWS, least)
+
+
+def test_a_large_group_of_copies(spark):
+    rows = [(i, f"u{i}", "<p>same</p>") for i in range(700)] + [(1000 + i, "u", f"<p>{i % 300}</p>") for i in range(600)]
+    for hot in (50_000, 5):
+        got = warc.archive_and_read(spark, pages(spark, rows), hot=hot)
+        assert found(got) == by_hand(rows)
+
+
+def test_an_empty_table(spark):
+    assert warc.archive_and_read(spark, pages(spark, ROWS).limit(0)).count() == 0
+
+
+def test_any_zstandard_reader_sees_one_warc_stream(spark):
+    index = warc.write_archive(pages(spark, ROWS).coalesce(1), new_table_path(spark, "warc"))
+    (path,) = {r["file"] for r in index.collect()}
+    system, name = pafs.FileSystem.from_uri(path)
+    raw = system.open_input_file(name).read()
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    rows, at = [], 0
+    while at < len(whole):
+        row, at = warc.parsed(whole, at)
+        rows.append(row)
+    assert len(rows) == len(ROWS) and b"\r\nInjected" not in whole
+    frames = warc.read_seek_table(system.open_input_file(name))
+    assert sum(f[2] for f in frames) == len(whole) and frames[0][0] == 0
+    kinds = [r["record_type"] for r in rows]
+    assert kinds.count("response") == len({t or "" for _, _, t in ROWS})
+
+
+def test_records_are_fetched_by_identifier_from_their_frames(spark):
+    table = pages(spark, [(i, f"http://a.example/{i}", f"<p>{i}</p>" * 9) for i in range(300)])
+    index = warc.write_archive(table, new_table_path(spark, "warc"), frame=200)
+    assert index.select("record_id").distinct().count() == 300
+    assert index.agg({"frame": "max"}).first()[0] > 3
+    wanted = index.where("page_id IN (3, 77, 299)")
+    got = warc.fetch(index, wanted)
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got.collect()) == [
+        (i, f"<p>{i}</p>" * 9) for i in (3, 77, 299)
+    ]
+    assert warc.fetch(index, wanted.limit(0)).count() == 0
+
+
+def test_damage_is_noticed():
+    _, _, whole = warc.record(1, 5, "u", b"payload", 1, 5, "u")
+    row, end = warc.parsed(whole)
+    assert end == len(whole) and row["page_id"] == 5
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parsed(whole.replace(b"payload", b"pAyload"))
+    with pytest.raises(ValueError, match="no WARC record"):
+        warc.parsed(b"HTTP/1.1" + whole)
