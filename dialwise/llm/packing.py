@@ -10,7 +10,8 @@ Pieces, not texts, are dealt by a hash of their row into shards of about ``SHARD
 their document; a task packs one shard, so a shard leaves about one bin unfilled among thousands.
 Full pieces are sequences of their own and are not dealt at all.
 
-Defined cases: a null or empty text is its end id alone; a null id is kept as it is; repeated rows are
+Defined cases: a null or empty text is its end id alone; a text may be of any length and hold runs of
+white space of any length; a null id is kept as it is; repeated rows are
 packed each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ import re
 import zlib
 from array import array
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +30,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from dialwise.llm.common import filled
 from dialwise.session import frozen
@@ -40,6 +43,10 @@ WEIGHTS = (1.0, 0.01, 0.01)
 SHARD = 16384
 
 _TWO_SPACES = re.compile(r"\s\s")
+#: The look-ahead of the rule for runs of white space fails on runs near a million characters; texts with
+#: runs beyond this go to the ``tokenizers`` library, which gives the same ids more slowly.
+LONG_RUN = 50_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,10 +66,21 @@ def _encoders(path: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
     )
 
 
+@cache
+def _library(path: str) -> Tokenizer:
+    """The ``tokenizers`` model that lies beside a rank file, under the same name."""
+    tokenizer = Tokenizer.from_file(str(Path(path).with_suffix(".json")))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def token_ids(text: str, path: str = VOCABULARY) -> list[int]:
     """The ids of a text; strings of special tokens in it are ordinary text."""
-    whole, plain = _encoders(path)
-    return (whole if _TWO_SPACES.search(text) else plain).encode_ordinary(text)
+    if not _TWO_SPACES.search(text):
+        return _encoders(path)[1].encode_ordinary(text)
+    if _LONG_RUN.search(text):
+        return _library(path).encode(text, add_special_tokens=False).ids
+    return _encoders(path)[0].encode_ordinary(text)
 
 
 def cut(length: int, most: int = TOKENS) -> list[tuple[int, int]]:
