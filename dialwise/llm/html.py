@@ -20,6 +20,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from html import unescape
 
@@ -30,11 +31,9 @@ from pyspark.sql.types import StringType
 
 from dialwise.session import broadcast_if_small, frozen
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
+# The start of a comment, a declaration, or a tag with its name.
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -128,24 +127,124 @@ def _left_out(parts: list[_Part]) -> None:
         )
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
-    """The page's blocks of text outside what is left out, in order.
+class _Tags:
+    """Where tags end: at the next ``>`` outside quotes.
+
+    Every quote is followed once, whichever tags lead to it, so that a page of tags without an end
+    takes no longer than others.
+    """
 
-    Of each: the generalised paths of the containers around it (outermost first), its text with single
-    spaces, the share of it inside links, and whether a name around it speaks for it.
+    def __init__(self, html: str):
+        self.html = html
+        self.after: dict[int, int] = {}
+        self.special = (-1, -1)
+
+    def _next_special(self, at: int) -> int:
+        start, place = self.special
+        if not start <= at <= place:
+            m = _SPECIAL.search(self.html, at)
+            place = m.start() if m else len(self.html)
+            self.special = (at, place)
+        return place
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes start at ``at``, -1 without one."""
+        html, seen, found = self.html, [], -1
+        while True:
+            place = self._next_special(at)
+            if place == len(html):
+                break
+            if html[place] == ">":
+                found = place
+                break
+            if place in self.after:
+                found = self.after[place]
+                break
+            seen.append(place)
+            close = html.find(html[place], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for place in seen:
+            self.after[place] = found
+        return found
+
+
+class _Paths:
+    """The different paths of a page's containers as a tree: parent, own name, check sum and length."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, str], int] = {}
+        self.parent, self.name, self.sum, self.length = [], [], [], []
+
+    def below(self, parent: int, name: str) -> int:
+        at = self.known.get((parent, name))
+        if at is None:
+            at = self.known[parent, name] = len(self.parent)
+            raw = name.encode("utf-8", "surrogatepass")
+            whole = raw if parent < 0 else b"/" + raw
+            self.sum.append(zlib.crc32(whole, self.sum[parent] if parent >= 0 else 0))
+            self.length.append(len(whole) + (self.length[parent] if parent >= 0 else 0))
+            self.parent.append(parent)
+            self.name.append(name)
+        return at
+
+    def chain(self, at: int) -> list[int]:
+        """The containers from the outermost one to ``at``."""
+        steps = []
+        while at >= 0:
+            steps.append(at)
+            at = self.parent[at]
+        return steps[::-1]
+
+    def path(self, at: int) -> str:
+        return "/".join(self.name[i] for i in self.chain(at))
+
+    def find(self, path: str) -> int:
+        """The container with a path, -1 without one."""
+        raw = path.encode("utf-8", "surrogatepass")
+        want = (zlib.crc32(raw), len(raw))
+        for at, have in enumerate(zip(self.sum, self.length)):
+            if have == want and self.path(at) == path:
+                return at
+        return -1
+
+    def summed(self, own: dict[int, float], share: float = 1.0) -> list[float]:
+        """Per container its own value and ``share`` of those right below it, all the way up."""
+        total = [float(own.get(i, 0)) for i in range(len(self.parent))]
+        for at in range(len(total) - 1, -1, -1):
+            if self.parent[at] >= 0:
+                total[self.parent[at]] += share * total[at]
+        return total
+
+
+class Blocks(list):
+    """The blocks of a page: (container, text, share of it inside links, whether a name speaks for it).
+
+    ``paths`` is the tree of containers; a block outside of all has container -1.
     """
+
+    def __init__(self, rows, paths: _Paths):
+        super().__init__(rows)
+        self.paths = paths
+
+
+def blocks(html: str) -> Blocks:
+    """The page's blocks of text outside what is left out, in order, in time linear in the page."""
     found: list = []
     stack: list[tuple[str, bool, bool, _Part]] = []  # tag, left out, for, part around it
-    paths: list[str] = []
+    opened: dict[str, list[int]] = defaultdict(list)  # the places in the stack of each tag
+    blocky: list[int] = []  # the places in the stack of blocks
+    paths, inside = _Paths(), [-1]
     dropped, links, speaks, headings = 0, 0, 0, 0
     pieces: list[tuple[str, _Part, bool]] = []
     page = part = _Part()
-    parts = [page]
-    at = 0
+    parts, tags = [page], _Tags(html)
+    at = searched = 0
 
     def flush():
         if pieces:
-            found.append((tuple(paths), pieces.copy(), speaks > 0))
+            found.append((inside[-1], pieces.copy(), speaks > 0))
             pieces.clear()
 
     def text_until(end: int):
@@ -162,60 +261,74 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
     def pop():
         nonlocal dropped, links, speaks, headings, part
         tag, out, for_, part = stack.pop()
+        opened[tag].pop()
         dropped -= out
         speaks -= for_
         links -= tag == "a"
         headings -= tag in _HEADINGS
+        if tag in _BLOCKS or tag in _CONTAINERS:
+            blocky.pop()
         if tag in _CONTAINERS:
-            paths.pop()
+            inside.pop()
 
     while True:
-        m = _TOKEN.search(html, at)
+        m = _OPEN.search(html, searched)
+        if m and m[4] is not None:
+            end = tags.end(m.end())
+            if end < 0:
+                # Not a tag: its characters are text.
+                searched = m.end()
+                continue
         text_until(m.start() if m else len(html))
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m[4] is None:
+            close, width = ("-->", 3) if m[1] else (">", 1)
+            end = html.find(close, m.end() if m[1] else m.start())
+            at = searched = end + width if end >= 0 else len(html)
             continue
+        attributes = html[m.end() : end]
+        at = searched = end + 1
+        tag = m[4].lower()
         if tag == "br":
             pieces.append((" ", part, False)) if not dropped else None
             continue
         if tag in _BLOCKS and not dropped:
             flush()
-        if m[1]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if open_at is not None and (
-                tag in _BLOCKS or not any(t[0] in _BLOCKS for t in stack[open_at:])
-            ):
-                while len(stack) > open_at:
+        if m[3]:
+            if opened[tag] and (tag in _BLOCKS or not blocky or opened[tag][-1] > blocky[-1]):
+                start = opened[tag][-1]
+                while len(stack) > start:
                     pop()
             continue
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = searched = end + 1 if end >= 0 else len(html)
             continue
         if tag in _BLOCKS:
             # A paragraph ends where another block begins, a list item where the next one does.
             for own in ("p", tag) if tag in ("li", "dt", "dd", "tr", "td", "th") else ("p",):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == own:
-                        while len(stack) > i:
-                            pop()
-                        break
-                    if stack[i][0] in _BLOCKS:
-                        break
+                if blocky and stack[blocky[-1]][0] == own:
+                    start = blocky[-1]
+                    while len(stack) > start:
+                        pop()
         if tag == "body":
             while stack:
                 pop()
-        first, words, against, named, main = _names(m[3]) if "=" in m[3] else ("", set(), *[False] * 3)
+        first, words, against, named, main = (
+            _names(attributes) if "=" in attributes else ("", set(), *[False] * 3)
+        )
         out = tag in _DROPPED
         for_ = tag in ("article", "main") or bool(words & _FOR)
         if tag in _CONTAINERS:
             name = f"{tag}.{re.sub(r'[0-9]+', '#', first)}" if first else tag
-            paths.append(f"{paths[-1]}/{name}" if paths else name)
+            inside.append(paths.below(inside[-1], name))
+        if tag in _BLOCKS or tag in _CONTAINERS:
+            blocky.append(len(stack))
+        opened[tag].append(len(stack))
         stack.append((tag, out, for_, part))
         dropped += out
         speaks += for_
@@ -228,62 +341,74 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, bool]]:
             parts.append(part)
     flush()
     _left_out(parts)
-    return _kept(found, False) or _kept(found, True)
+    return Blocks(_kept(found, False) or _kept(found, True), paths)
 
 
-def _kept(found: list, everything: bool) -> list[tuple[tuple[str, ...], str, float, bool]]:
+def _kept(found: list, everything: bool) -> list[tuple[int, str, float, bool]]:
     """The blocks that have text outside the parts left out, or with it."""
     kept = []
-    for paths, pieces, speaks in found:
+    for container, pieces, speaks in found:
         inside = [(piece, linked) for piece, part, linked in pieces if everything or not part.out]
         text = " ".join("".join(piece for piece, _ in inside).split())
         if text:
             linked = sum(len(piece) for piece, linked in inside if linked)
-            kept.append((paths, text, min(1.0, linked / len(text)), speaks))
+            kept.append((container, text, min(1.0, linked / len(text)), speaks))
     return kept
 
 
-def best_path(found: list) -> str | None:
+def best_path(found: Blocks) -> str | None:
     """The path of the whole text around the container with the best score.
 
     A block counts half as much at each level up, so the best container may be a part of the article.
+    Of equally good ones the last in the page counts.
     """
-    score: dict[str, float] = defaultdict(float)
-    for paths, text, linked, speaks in found:
-        worth = len(text) * (1 - linked) * (1.5 if speaks else 1)
-        for path in reversed(paths):
-            score[path] += worth
-            worth /= 2
-    if not score:
+    worth: dict[int, float] = defaultdict(float)
+    for container, text, linked, speaks in found:
+        worth[container] += len(text) * (1 - linked) * (1.5 if speaks else 1)
+    worth.pop(-1, None)
+    if not worth:
         return None
-    best = max(score, key=lambda p: (score[p], p))
-    return _whole(found, next(paths[: paths.index(best) + 1] for paths, *_ in found if best in paths))
-
-
-def _whole(found: list, chain: tuple[str, ...]) -> str:
-    """Of the last path of ``chain`` and those around it: the outermost article, else the innermost
-    main, else the innermost one that holds nearly all text, and the ones right around that whose
-    class speaks for them."""
-    steps = [path[len(up) :].lstrip("/") for up, path in zip(("", *chain), chain)]
-    tags = [step.partition(".")[0] for step in steps]
+    score = found.paths.summed(worth, 0.5)
+    held = found.paths.summed(dict.fromkeys(worth, 1))
+    return _whole(found, max((i for i, n in enumerate(held) if n), key=lambda i: (score[i], i)))
+
+
+def _whole(found: Blocks, best: int) -> str:
+    """Of ``best`` and the containers around it: the outermost article, else the innermost main, else
+    the innermost one that holds nearly all text, and the ones right around that whose class speaks for
+    them."""
+    paths = found.paths
+    chain = paths.chain(best)
+    tags = [paths.name[i].partition(".")[0] for i in chain]
     if "article" in tags:
-        return chain[tags.index("article")]
+        return paths.path(chain[tags.index("article")])
     if "main" in tags:
-        return chain[len(tags) - 1 - tags[::-1].index("main")]
-    least = NEARLY_ALL * sum(len(text) for _, text, _, _ in found)
+        return paths.path(chain[len(tags) - 1 - tags[::-1].index("main")])
+    sizes: dict[int, float] = defaultdict(float)
+    for container, text, _, _ in found:
+        sizes[container] += len(text)
+    least = NEARLY_ALL * sum(sizes.values())
+    total = paths.summed(sizes)
     at = len(chain) - 1
-    while at and sum(len(text) for paths, text, _, _ in found if chain[at] in paths) < least:
+    while at and total[chain[at]] < least:
         at -= 1
-    while at and not _FOR.isdisjoint(_WORD.findall(steps[at - 1].partition(".")[2].lower())):
+    while at and not _FOR.isdisjoint(_WORD.findall(paths.name[chain[at - 1]].partition(".")[2].lower())):
         at -= 1
-    return chain[at]
+    return paths.path(chain[at])
 
 
 def main_text(html: str, path: str | None) -> str:
     """The blocks below the path; else below the page's own best path; else all."""
     found = blocks(html)
     for chosen in (path, best_path(found)):
-        inside = [text for paths, text, _, _ in found if chosen in paths]
+        top = found.paths.find(chosen) if chosen is not None else -1
+        if top < 0:
+            continue
+        # Containers come after those around them.
+        below = [i == top for i in range(len(found.paths.parent))]
+        for i in range(top + 1, len(below)):
+            below[i] |= found.paths.parent[i] >= 0 and below[found.paths.parent[i]]
+        inside = [text for container, text, _, _ in found if container >= 0 and below[container]]
         if inside:
             return " ".join(inside)
     return " ".join(text for _, text, _, _ in found)
