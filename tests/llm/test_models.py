@@ -9,8 +9,9 @@ import pytest
 from cases import ODD, SF_DIR, docs, texts
 
 from dialwise.llm import lm, toxicity
-from dialwise.llm.ngram_trie import LOWEST, BigramTrie, EliasFano, quantise, restored
+from dialwise.llm.ngram_trie import LOWEST, Bigrams, EliasFano, Unigrams, open_arrays, quantise, restored
 from dialwise.llm.queries import QUERIES
+from dialwise.session import new_table_path
 
 STEMS = ("vermlo", "quazbi", "drimpf", "zolthu")
 
@@ -72,38 +73,64 @@ def test_a_long_text_scores_by_its_worst_passage():
     assert model.chance(value) > 0.99 > 0.1 > model.chance(toxicity.worst_passages(scores[:100])[0])
 
 
-@pytest.mark.parametrize("n,top", [(0, 1), (1, 0), (5, 9), (1000, 10**6), (3000, 2**50), (2000, 2001)])
+@pytest.mark.parametrize(
+    "n,top",
+    [(0, 1), (1, 0), (5, 9), (1000, 10**6), (3000, 2**50), (2000, 2001), (700, 2**64 - 1), (3, 2**64 - 1)],
+)
 def test_elias_fano_finds_every_value_and_no_other(n, top):
     rng = np.random.default_rng(n)
-    values = np.unique(rng.integers(0, top + 1, n))
+    values = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
     level = EliasFano.of(values)
-    assert level.all().tolist() == values.tolist()
-    asked = np.concatenate([values, rng.integers(0, top + 50, 300)])
+    assert level.at(np.arange(len(values))).tolist() == values.tolist()
+    asked = np.concatenate([values, rng.integers(0, top, 300, dtype=np.uint64, endpoint=True)])
     place = level.find(asked)
     assert ((place >= 0) == np.isin(asked, values)).all()
     assert (values[place[place >= 0]] == asked[place >= 0]).all()
 
 
-def test_trie_answers_from_its_file(tmp_path):
+def test_elias_fano_keeps_equal_neighbours_and_few_bits():
+    values = np.sort(np.random.default_rng(2).integers(0, 500, 4000)).astype(np.uint64)
+    assert EliasFano.of(values).at(np.arange(4000)).tolist() == values.tolist()
+    wide = np.unique(np.random.default_rng(3).integers(0, 2**40, 100_000)).astype(np.uint64)
+    level = EliasFano.of(wide)
+    size = 8 * sum(x.nbytes for x in level.arrays("x").values()) / len(wide)
+    # 40 bits a number as they are; log2(2^40 / n) + 2 bits, and the directory.
+    assert size < 40 - math.log2(len(wide)) + 2 + 4
+
+
+def test_levels_answer_from_their_files(tmp_path):
     rng = np.random.default_rng(1)
     pairs = np.unique(rng.integers(0, 60, (800, 2)), axis=0)
     log10 = -rng.random(len(pairs)) * 9
-    with open(tmp_path / "trie", "w+b") as file:
-        placed = BigramTrie.write(file, pairs[:, 0], pairs[:, 1], log10)
-        trie = BigramTrie.open(file, placed)
-        codes = trie.find(pairs[:, 0], pairs[:, 1])
-        assert np.abs(np.log10(restored(codes)) - log10).max() <= -LOWEST / 254 / 2 + 1e-9
-        there = {tuple(p) for p in pairs.tolist()}
-        a, b = rng.integers(0, 90, 2000), rng.integers(0, 90, 2000)
-        assert [c > 0 for c in trie.find(a, b)] == [p in there for p in zip(a.tolist(), b.tolist())]
-    with open(tmp_path / "empty", "w+b") as file:
-        none = np.zeros(0, np.int64)
-        trie = BigramTrie.open(file, BigramTrie.write(file, none, none, np.zeros(0)))
-        assert trie.find(np.array([0]), np.array([0])).tolist() == [0]
+    Bigrams.write(f"{tmp_path}/b", pairs[:, 0], pairs[:, 1], log10)
+    trie = Bigrams.open(f"{tmp_path}/b")
+    assert isinstance(trie.successors.high.base, np.memmap) and isinstance(trie.codes.base, np.memmap)
+    codes = trie.find(pairs[:, 0], pairs[:, 1])
+    assert np.abs(np.log10(restored(codes)) - log10).max() <= -LOWEST / 254 / 2 + 1e-9
+    there = {tuple(p) for p in pairs.tolist()}
+    a, b = rng.integers(0, 90, 2000), rng.integers(0, 90, 2000)
+    assert [c > 0 for c in trie.find(a, b)] == [p in there for p in zip(a.tolist(), b.tolist())]
+    words = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    counts = rng.integers(1, 10**12, len(words))
+    Unigrams.write(f"{tmp_path}/u", words, counts)
+    level = Unigrams.open(f"{tmp_path}/u")
+    rank, found = level.find(np.concatenate([words, words + np.uint64(1)]))
+    assert rank[: len(words)].tolist() == list(range(len(words))) and (rank[len(words) :] == -1).all()
+    assert found.tolist() == counts.tolist() + [0] * len(words)
+    for level in (Bigrams.open(f"{tmp_path}/none"), Bigrams.open(_empty(f"{tmp_path}/e"))):
+        assert level.find(np.array([0]), np.array([0])).tolist() == [0]
+    assert open_arrays(f"{tmp_path}/none") is None
+    assert Unigrams.open(f"{tmp_path}/none").find(words[:3])[0].tolist() == [-1] * 3
     assert quantise(np.array([0.0, LOWEST])).tolist() == [255, 1]
 
 
-def scores_by_hand(rows, mu=lm.MU):
+def _empty(path):
+    none = np.zeros(0, np.int64)
+    Bigrams.write(path, none, none, np.zeros(0))
+    return path
+
+
+def scores_by_hand(rows, mu=lm.MU, train=None):
     def tokens(text):
         return (text or "").encode().lower().split() + ["end"]
 
@@ -111,8 +138,8 @@ def scores_by_hand(rows, mu=lm.MU):
         return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
 
     count, pairs, begins = Counter(), Counter(), 0
-    for i, text in rows:
-        if not out(i):
+    for i, text in rows if train is None else train:
+        if train is not None or not out(i):
             own = tokens(text)
             count.update(own)
             pairs.update(zip(["begin", *own], own))
@@ -155,6 +182,32 @@ def test_scores_do_not_depend_on_chunks_and_shards(spark, monkeypatch):
     check_scores(lm.score(table).collect(), scores_by_hand(rows))
 
 
+def test_a_kept_model_scores_other_texts_without_counting(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 1500)
+    rows = [(i, f"a b c d{i % 7} e{i} the the cat {'x ' * (i % 30)}") for i in range(300)]
+    folder = new_table_path(spark, "model")
+    lm.train(docs(spark, rows), folder, fold=-1)
+    model = lm.Model.open(folder)
+    assert model.shards > 2 and model.tokens == sum(len(t.split()) + 1 for _, t in rows)
+    other = [(1000 + i, t) for i, t in enumerate(["the cat", "", "a b unseen words c d3", "x " * 99, None])]
+    own = {r[0]: r for r in lm.score(docs(spark, rows + other), fold=-1, model=model).collect()}
+    again = {r[0]: r for r in lm.score(docs(spark, rows), fold=-1).collect()}
+    for i, row in again.items():
+        assert own[i] == row
+    by_hand = scores_by_hand([(i, t) for i, t in rows + other], train=rows)
+    for i, _, n, known, total, base, whole in by_hand:
+        got = own[i]
+        assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (n, known, total)
+        assert got["base_score"] == pytest.approx(base, rel=1e-9)
+        assert abs(got["score"] - whole) <= 0.03 * n + 1e-9
+
+
+def test_long_texts_are_split_in_sections():
+    text = b"one two\tthree " * 50 + b"x" * 500 + b" end"
+    for size in (1, 7, 64, 1 << 22):
+        assert [w for part in lm._split_words(text, size) for w in part] == text.split()
+
+
 def test_without_training_rows_and_without_rows(spark):
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
     rows = [(i, "only held out words") for i in held]
