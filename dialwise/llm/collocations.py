@@ -1,19 +1,21 @@
 """Phrase collocations: frequent word sequences found by mergeable Misra-Gries summaries, then counted.
 
-First pass. Texts become chunks of one language (distinct words and word numbers, in the shared folder).
-A chunk's distinct n-grams of 1 to ``words`` words, with their counts, are a Misra-Gries summary that is
-not full; n-grams are dealt to hash partitions, and each partition merges its summaries. Its capacity
-exceeds its mass (all occurrences dealt to it) divided by the threshold, so what a merge takes off every
-counter stays below the threshold, and every n-gram that reaches it survives. A summary holds 32 bits of
-an n-gram's hash beside its partition: two n-grams that share them are counted as one, which may let one
-more survive and never loses one.
+Texts become chunks of one language (distinct words and word numbers, a bucketed table in the shared
+folder, so that answers come to the chunks and chunks are never shuffled). A chunk's distinct n-grams of
+1 to ``words`` words, with their counts, are a Misra-Gries summary that is not full yet. Its shares go to
+hash partitions of n-grams, each a row of sorted hashes, packed.
 
-Second pass. Each chunk gets a bit per n-gram, reads its words again and hands on its survivors as
-phrases; they are counted exactly, as text. What stays below the threshold goes.
+First pass: a hash partition merges its shares. Its capacity exceeds its mass (all occurrences dealt to
+it) divided by the threshold, so what merging takes off every counter stays below the threshold, and
+every n-gram that reaches it survives. Second pass: the partition counts the survivors exactly. Those
+that do reach the threshold are spelled out once: the partition asks the first chunk that has one for
+its words. So text moves once per frequent n-gram, whatever the number of chunks that hold it.
 
-A row of the first exchange is a chunk's share of a partition: sorted hashes, packed. It holds at least
-one n-gram, so there are never more rows than distinct n-grams of chunks, at any size of corpus. A word
-sequence in a third of all texts is one counter of each chunk.
+N-grams are told apart by a partition and 64 bits, from two hashes of each word. A partition holds some
+millions of n-grams, so one in 10^12 frequent n-grams would be counted together with another one.
+
+A row of the exchange holds at least one n-gram, so there are never more rows than distinct n-grams of
+chunks, at any size of corpus. A word sequence in a third of all texts is one counter of each chunk.
 
 The score of a phrase is its lowest over all cuts into two parts (ties: the shorter first part):
 floor(1,000,000 a a / (l r)) in decimals, exact up to counts of 10^15. Counts of parts are joined by
@@ -35,11 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialwise.llm.common import filled
-from dialwise.session import frozen
+from dialwise.session import bucketed, frozen
 
 WORDS, LEAST, TOP, SHARE = 3, 10, 2000, 50
-#: Tokens of a chunk, tokens held by a task, n-gram occurrences of a hash partition, broadcast parts.
-CHUNK, HELD, MASS, HOT = 1_500_000, 3_000_000, 16_000_000, 4096
+#: Tokens of a chunk, tokens held by a task, n-gram occurrences of a hash partition, broadcast parts,
+#: groups of the first ranking.
+CHUNK, HELD, MASS, HOT, SPREAD = 1_500_000, 3_000_000, 16_000_000, 4096, 32
 #: Texts longer than this are read in sections that end where a piece ends.
 SECTION = 1 << 22
 
@@ -49,21 +52,21 @@ _TABLE = bytes.maketrans(
     BREAKS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"." * len(BREAKS) + b"abcdefghijklmnopqrstuvwxyz"
 )
 
-_CHUNK = "part int, number int, lang string, words binary, tokens binary, n_words long"
+_CHUNK = "number int, lang string, words binary, tokens binary, n_words long"
 _CHUNK_FIELDS = [
-    ("part", pa.int32()), ("number", pa.int32()), ("lang", pa.string()), ("words", pa.binary()),
-    ("tokens", pa.binary()), ("n_words", pa.int64()),
+    ("number", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("tokens", pa.binary()),
+    ("n_words", pa.int64()),
 ]
-_SUMMARY = "bucket long, part int, number int, hashes binary, counts binary, mass long"
-_SUMMARY_FIELDS = [
-    ("bucket", pa.int64()), ("part", pa.int32()), ("number", pa.int32()), ("hashes", pa.binary()),
-    ("counts", pa.binary()), ("mass", pa.int64()),
+_SHARE = "bucket long, chunk long, hashes binary, counts binary, mass long"
+_SHARE_FIELDS = [
+    ("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()),
+    ("mass", pa.int64()),
 ]
-_KEPT = "bucket long, part int, number int, survives binary"
-_KEPT_FIELDS = [*_SUMMARY_FIELDS[:3], ("survives", pa.binary())]
-_PHRASES = "lang string, size int, phrase string, n long"
+_KEPT = "bucket long, chunk long, spell binary, totals binary"
+_KEPT_FIELDS = [*_SHARE_FIELDS[:2], ("spell", pa.binary()), ("totals", pa.binary())]
+_PHRASES = "lang string, size int, phrase string, a long"
 _PHRASE_FIELDS = [
-    ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())
+    ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())
 ]
 
 
@@ -125,7 +128,7 @@ class _Held:
         words = pa.compress(b" ".join(self.numbers), codec="zstd", asbytes=True)
         length = sum(map(len, self.numbers)) + len(self.numbers) - 1
         row = {
-            "part": 0, "number": number, "lang": lang, "words": length.to_bytes(8, "little") + words,
+            "number": number, "lang": lang, "words": length.to_bytes(8, "little") + words,
             "tokens": pack(tokens), "n_words": int(np.count_nonzero(tokens)),
         }
         return pa.RecordBatch.from_pylist([row], pa.schema(_CHUNK_FIELDS))
@@ -171,60 +174,56 @@ class _Chunk:
         size = int.from_bytes(raw[:8], "little")
         self.words = pa.decompress(raw[8:], size, codec="zstd", asbytes=True).split(b" ")
         tokens = unpack(row["tokens"], np.int32).astype(np.int64)
-        seed = xxhash.xxh64_intdigest(row["lang"].encode())
-        of_word = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
-        self.levels, hashes = [], []
-        # ``rank`` numbers the distinct n-grams that start at ``start``; longer ones extend them.
+        lang = xxhash.xxh64_intdigest(row["lang"].encode())
+        seeds = (lang, lang ^ 0x5DEECE66D)
+        of_word = [np.array([xxhash.xxh64_intdigest(w, s) for w in self.words], np.uint64) for s in seeds]
+        self.levels, hashes = [], ([], [])
+        # ``place`` numbers the distinct n-grams that start at ``start``; longer ones extend them.
         start = np.flatnonzero(tokens)
-        rank = tokens[start]
-        grams, counts = np.unique(rank, return_counts=True)
-        place = np.searchsorted(grams, rank)
-        columns, own = [grams], _mixed(of_word[grams])
+        grams, place, counts = np.unique(tokens[start], return_inverse=True, return_counts=True)
+        columns, own = [grams], [_mixed(h[grams]) for h in of_word]
         for size in range(1, words + 1):
             if size > 1:
                 ends = np.minimum(start + size - 1, len(tokens) - 1)
                 word = np.where(start + size - 1 < len(tokens), tokens[ends], 0)
                 inside = word > 0
                 start, place, word = start[inside], place[inside], word[inside]
-                keys, place_, counts = np.unique(
+                keys, place, counts = np.unique(
                     place * len(self.words) + word, return_inverse=True, return_counts=True
                 )
                 first, word = keys // len(self.words), keys % len(self.words)
                 columns = [c[first] for c in columns] + [word]
-                own = _mixed(own[first] * np.uint64(3) + of_word[word])
-                place = place_
+                own = [_mixed(o[first] * np.uint64(3) + h[word]) for o, h in zip(own, of_word)]
             self.levels.append((columns, counts))
-            hashes.append(own)
+            for all_, level in zip(hashes, own):
+                all_.append(level)
         self.counts = np.concatenate([c for _, c in self.levels])
-        self.hashes = np.concatenate(hashes)
-        low = self.hashes & np.uint64(0xFFFFFFFF)
-        bucket = (self.hashes >> np.uint64(32)) % np.uint64(buckets)
-        self.dealt = bucket << np.uint64(32) | low
-        self.order = np.argsort(self.dealt, kind="stable")
+        self.hashes, dealt = map(np.concatenate, hashes)
+        self.bucket = (dealt % np.uint64(buckets)).astype(np.int32)
+        self.order = np.lexsort((self.hashes, self.bucket))
 
     def shares(self):
         """(bucket, hashes in order, counts) for every hash partition that gets something."""
-        dealt, counts = self.dealt[self.order], self.counts[self.order]
-        bucket = (dealt >> np.uint64(32)).astype(np.int64)
+        hashes, counts, bucket = (x[self.order] for x in (self.hashes, self.counts, self.bucket))
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             if b > a:
-                yield int(bucket[a]), (dealt[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[a:b]
+                yield int(bucket[a]), hashes[a:b], counts[a:b]
 
 
-def _summaries(buckets: int, words: int):
+def _shares(buckets: int, words: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = [
                     {
-                        "bucket": bucket, "part": row["part"], "number": row["number"],
-                        "hashes": pack(np.diff(hashes, prepend=np.uint32(0))),
+                        "bucket": bucket, "chunk": row["chunk"],
+                        "hashes": pack(np.diff(hashes, prepend=np.uint64(0))),
                         "counts": pack(counts.astype(np.uint32)), "mass": int(counts.sum()),
                     }
                     for bucket, hashes, counts in _Chunk(row, buckets, words).shares()
                 ]
-                yield pa.RecordBatch.from_pylist(out, pa.schema(_SUMMARY_FIELDS))
+                yield pa.RecordBatch.from_pylist(out, pa.schema(_SHARE_FIELDS))
 
     return run
 
@@ -239,7 +238,7 @@ class MisraGries:
     (0 if it has none) and its counter plus ``off``, and ``off`` * (capacity + 1) is at most the mass.
     """
 
-    def __init__(self, capacity: int, kind=np.uint32):
+    def __init__(self, capacity: int, kind=np.uint64):
         self.capacity, self.off = capacity, 0
         self.keys, self.counts = np.zeros(0, kind), np.zeros(0, np.int64)
 
@@ -264,54 +263,72 @@ class MisraGries:
         return self.keys[self.counts + self.off >= least]
 
 
-def _survivors(least: int):
-    """Merge the summaries of one hash partition, and tell each chunk which of its n-grams survive."""
+def _frequent(least: int):
+    """Merge the shares of one hash partition, count its survivors, and ask chunks to spell them out."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["bucket", "part", "number"]).to_pylist()
-        capacity = int(pc.sum(table["mass"]).as_py()) // least + 1
-        summary = MisraGries(capacity)
-        waiting: list[tuple] = []
+        # In the order of chunks, so that a repeated task asks the same ones.
+        table = table.sort_by("chunk")
+        rows = table.select(["bucket", "chunk"]).to_pylist()
 
         def shares():
             for hashes, counts in zip(table["hashes"], table["counts"]):
-                keys = np.cumsum(unpack(hashes.as_py(), np.uint32), dtype=np.uint32)
+                keys = np.cumsum(unpack(hashes.as_py(), np.uint64), dtype=np.uint64)
                 yield keys, unpack(counts.as_py(), np.uint32)
 
+        capacity = int(pc.sum(table["mass"]).as_py()) // least + 1
+        summary, waiting, held = MisraGries(capacity), [], 0
         for keys, counts in shares():
             waiting.append((keys, counts))
-            if sum(len(k) for k, _ in waiting) > capacity:
+            held += len(keys)
+            if held > capacity:
                 summary.merge(*(np.concatenate(x) for x in zip(*waiting)))
-                waiting = []
+                waiting, held = [], 0
         if waiting:
             summary.merge(*(np.concatenate(x) for x in zip(*waiting)))
         alive = summary.reaching(least)
+        totals = np.zeros(len(alive) + 1, np.int64)
+
+        def placed(keys):
+            """The place of each key among the survivors, the last place for others."""
+            at = np.searchsorted(alive, keys)
+            return np.where(np.append(alive, 0)[at] == keys, at, len(alive)) if len(alive) else at
+
+        for keys, counts in shares():
+            np.add.at(totals, placed(keys), counts)
+        open_ = totals >= least
+        open_[-1] = False
         for row, (keys, _) in zip(rows, shares()):
-            at = np.minimum(np.searchsorted(alive, keys), max(len(alive) - 1, 0))
-            found = alive[at] == keys if len(alive) else np.zeros(len(keys), bool)
-            row["survives"] = len(keys).to_bytes(8, "little") + np.packbits(found).tobytes()
+            at = placed(keys)
+            spell = open_[at]
+            open_[at] = False
+            row["spell"] = len(keys).to_bytes(8, "little") + np.packbits(spell).tobytes()
+            row["totals"] = pack(totals[at[spell]])
         return pa.Table.from_pylist(rows, pa.schema(_KEPT_FIELDS))
 
     return run
 
 
 def _phrases(buckets: int, words: int):
-    """The surviving n-grams of each chunk as phrases with their counts in it."""
+    """The frequent n-grams that each chunk is asked for, as phrases with their total counts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _Chunk(row, buckets, words)
-                bits = []
+                spell, totals = [], []
                 for kept in sorted(row["kept"], key=lambda k: k["bucket"]):
-                    n = int.from_bytes(kept["survives"][:8], "little")
-                    bits.append(np.unpackbits(np.frombuffer(kept["survives"], np.uint8, offset=8), count=n))
-                survives = np.zeros(len(chunk.order), bool)
-                survives[chunk.order] = np.concatenate(bits).astype(bool)
+                    n = int.from_bytes(kept["spell"][:8], "little")
+                    spell.append(np.unpackbits(np.frombuffer(kept["spell"], np.uint8, offset=8), count=n))
+                    totals.append(unpack(kept["totals"], np.int64))
+                asked = chunk.order[np.concatenate(spell).astype(bool)]
+                total = np.zeros(len(chunk.order), np.int64)
+                total[asked] = np.concatenate(totals)
                 texts = pa.array(chunk.words, pa.binary()).cast(pa.string())
                 done = 0
                 for size, (columns, counts) in enumerate(chunk.levels, 1):
-                    own = np.flatnonzero(survives[done : done + len(counts)])
+                    of_level = total[done : done + len(counts)]
+                    own = np.flatnonzero(of_level)
                     done += len(counts)
                     for at in range(0, len(own), 100_000):
                         some = own[at : at + 100_000]
@@ -322,7 +339,7 @@ def _phrases(buckets: int, words: int):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([row["lang"]] * n, pa.string()), pa.array(np.full(n, size, np.int32)),
-                                phrase, pa.array(counts[some].astype(np.int64)),
+                                phrase, pa.array(of_level[some]),
                             ],
                             schema=pa.schema(_PHRASE_FIELDS),
                         )
@@ -340,21 +357,21 @@ def frequent_phrases(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         filled(text_col).cast("binary").alias("text"),
     )
-    chunks = texts.mapInArrow(_chunks(CHUNK, HELD, SECTION), _CHUNK).withColumn("part", F.spark_partition_id())
-    chunks = frozen(chunks, "chunks")
+    chunk = (F.spark_partition_id().cast("long") * (1 << 32) + F.col("number")).alias("chunk")
+    chunks = texts.mapInArrow(_chunks(CHUNK, HELD, SECTION), _CHUNK).select(chunk, "*").drop("number")
+    chunks = bucketed(chunks, "chunk", "chunks")
     sizes = frozen(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0"), "languages")
     mass = words * (chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
     buckets = mass // MASS + 1
     kept = (
-        chunks.mapInArrow(_summaries(buckets, words), _SUMMARY)
+        chunks.mapInArrow(_shares(buckets, words), _SHARE)
         .groupBy("bucket")
-        .applyInArrow(_survivors(least), _KEPT)
-        .groupBy("part", "number")
-        .agg(F.collect_list(F.struct("bucket", "survives")).alias("kept"))
+        .applyInArrow(_frequent(least), _KEPT)
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("bucket", "spell", "totals")).alias("kept"))
     )
-    phrases = chunks.join(kept, ["part", "number"]).mapInArrow(_phrases(buckets, words), _PHRASES)
-    counted = phrases.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return frozen(counted, "phrases"), sizes
+    phrases = chunks.join(kept, "chunk").mapInArrow(_phrases(buckets, words), _PHRASES)
+    return frozen(phrases, "phrases"), sizes
 
 
 # Scores.
@@ -446,8 +463,15 @@ def scored_phrases(
         .where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a")))
         .select("lang", "phrase", "a", "lowest.l", "lowest.r", "lowest.score")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+
+    def placed(rows: DataFrame, *keys) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*order))
+        rows = rows.withColumn("rank", place.cast("long"))
+        return rows if top is None else rows.where(F.col("rank") <= top)
+
     if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
+        # However many tasks there are, at most ``SPREAD`` times ``top`` rows of a language meet.
+        scored = placed(scored, F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).drop("rank")
+    ranked = placed(scored)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

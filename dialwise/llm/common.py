@@ -29,3 +29,4 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         names.append(name)
     return names
+
