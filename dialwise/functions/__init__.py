@@ -13,6 +13,8 @@ from dialwise.functions.rates import (
     error_extents,
     normal_quantile,
     sample_size,
+    two_proportion_z,
+    upper_tail,
     wilson_bounds,
 )
 from dialwise.functions.weights import posterior_mean, recency_weight, volume_shrinkage
@@ -29,7 +31,9 @@ __all__ = [
     "posterior_mean",
     "recency_weight",
     "sample_size",
+    "two_proportion_z",
     "uniform",
+    "upper_tail",
     "volume_shrinkage",
     "whole_days_between",
     "wilson_bounds",

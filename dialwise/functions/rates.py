@@ -64,3 +64,48 @@ def sample_size(
         F.when(~inside, F.lit(0).cast("bigint"))
         .when(inside & (gap != 0), F.ceil(spread * spread / (gap * gap)).cast("bigint"))
     )
+
+
+# Coefficients, highest power first, of the published rational approximation to the normal
+# distribution (Hart 1968; double precision), and the point from which a continued fraction is used.
+NORMAL_TOP = [
+    0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+    221.213596169931, 220.206867912376,
+]
+NORMAL_BOTTOM = [
+    0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+    637.333633378831, 793.826512519948, 440.413735824752,
+]
+NORMAL_FAR = 7.07106781186547
+
+
+def upper_tail(z: Column) -> Column:
+    """The chance that a standard normal value exceeds ``z``, to about 15 digits."""
+    x = F.abs(z)
+
+    def power_sum(factors: list[float]) -> Column:
+        total = F.lit(factors[0])
+        for factor in factors[1:]:
+            total = total * x + F.lit(factor)
+        return total
+
+    fraction = x + F.lit(0.65)
+    for step in (4.0, 3.0, 2.0, 1.0):
+        fraction = x + F.lit(step) / fraction
+    far = F.exp(-x * x / 2) / fraction / F.lit(2.506628274631)
+    near = F.exp(-x * x / 2) * power_sum(NORMAL_TOP) / power_sum(NORMAL_BOTTOM)
+    tail = F.when(x < NORMAL_FAR, near).otherwise(far)
+    return F.when(z < 0, 1 - tail).otherwise(tail)
+
+
+def two_proportion_z(
+    successes_a: Column, n_a: Column, successes_b: Column, n_b: Column
+) -> Column:
+    """The statistic of the difference a - b of two proportions, with pooled variance.
+
+    Null where an arm is empty or all outcomes are the same.
+    """
+    pooled = F.try_divide(successes_a + successes_b, n_a + n_b)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n_a) + F.try_divide(F.lit(1.0), n_b))
+    gap = F.try_divide(successes_a, n_a) - F.try_divide(successes_b, n_b)
+    return F.when(spread > 0, gap / F.sqrt(spread))

@@ -4,12 +4,13 @@ The rule, per dispatch: among the appearances of its phone updated on or before
 the latest; if there is none, take the latest of all.
 
 A left join on the phone followed by a choice per dispatch would build every pair of a phone's
-dispatches and appearances, which grows with the square of a busy phone. Here the appearances are
-reduced to one row per phone and day, and the dispatches to one question per phone and send day (the
-answer depends on nothing else), both on the map side of their shuffle. One pass over a phone in order
-of days answers its questions; a window partition is never larger than the calendar. The answers are
-joined back, where AQE splits a phone and day that holds many dispatches. The plan is the same for all
-inputs, and no job runs before it.
+dispatches and appearances, which grows with the square of a busy phone. Here each table is read once.
+The appearances of a phone become its history: one state per day on which its answer changes (the best
+record so far, and how many were usable), sorted and cut into blocks. That is one row per phone, never
+longer than the calendar. Dispatches join it by phone, one row to one row, and each looks up the block
+and then the state of its send day. A phone that holds most dispatches is one history and many rows of
+the other side, which AQE splits; dispatches without a phone spread by chance. The plan is the same for
+all inputs, and no job runs before it.
 """
 
 from __future__ import annotations
@@ -36,9 +37,6 @@ def with_send_day(dispatch: DataFrame) -> DataFrame:
     )
 
 
-# A dispatch without a send date has no valid appearance: it asks for a day before all of them.
-_ASK_DAY = "coalesce(envio_data, DATE'0001-01-01')"
-
 # An update during a day is not on or before the midnight that starts this day, so it can serve
 # only from the next day on.
 _USABLE_FROM = """
@@ -55,88 +53,86 @@ _LATEST_FIRST = {
 }
 
 
-def _per_day(appearances: DataFrame) -> DataFrame:
+# States per block of a history: a lookup reads the first days of all blocks, then one block.
+_BLOCK = 64
+# Dispatches without a phone fall into as many groups, so that they don't meet in one task.
+_NO_PHONE = 1024
+
+
+def _per_day(appearances: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Per phone, first usable day and update day: the smallest system and the number of rows.
 
-    All columns have a fixed width, so this is a hash aggregation with map-side combine.
+    Without attributes all columns have a fixed width, so this is a hash aggregation with map-side
+    combine. The attributes are those of the smallest row of all attributes, whichever are asked for.
     """
+    best = [F.min(F.struct(*PHONE_ATTRIBUTES)).alias("of_phone")] if attributes else []
     return (
         appearances.where("telefone_mascarado IS NOT NULL")
         .selectExpr(
-            "telefone_mascarado AS contato_telefone",
+            "telefone_mascarado AS phone",
             f"{_USABLE_FROM} AS dia",
             "CAST(registro_data_atualizacao AS DATE) AS updated",
             f"coalesce(id_sistema_mask, {_NO_SYSTEM}) AS system",
+            *(PHONE_ATTRIBUTES if attributes else ()),
         )
-        .groupBy("contato_telefone", "dia", "updated")
-        .agg(F.min("system").alias("system"), F.count(F.lit(1)).alias("listed"))
+        .groupBy("phone", "dia", "updated")
+        .agg(F.min("system").alias("system"), F.count(F.lit(1)).alias("listed"), *best)
     )
 
 
-def _phone_attributes(appearances: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """The attributes of each phone, from the same row of it whichever are asked for."""
-    names = ", ".join(PHONE_ATTRIBUTES)
-    place = f"row_number() OVER (PARTITION BY telefone_mascarado ORDER BY {names})"
-    return (
-        appearances.where("telefone_mascarado IS NOT NULL")
-        .select("telefone_mascarado", *PHONE_ATTRIBUTES)
-        .withColumn("place", F.expr(place))
-        .where("place = 1")
-        .select(F.col("telefone_mascarado").alias("contato_telefone"), *attributes)
-    )
-
-
-def _answered(appearances: DataFrame, asking: DataFrame, null_dates: str) -> DataFrame:
-    """The rows of ``asking`` (contato_telefone, ask_day), each with what its phone's appearances
-    say about its day:
+def phone_histories(
+    appearances: DataFrame, null_dates: str = "first", attributes: Sequence[str] = ()
+) -> DataFrame:
+    """One row per phone of the dimension:
 
-    ``choice``, the winning appearance (null if the phone is not in the dimension), ``prefer``,
-    1 if it was valid that day, ``fan_out``, the number of appearances the phone has, and
-    ``valid_at_send``, how many of them were valid that day. The choice is by latest update day,
-    then smallest system, among the valid ones and among all alike.
+    ``any``, its best appearance when none is valid, ``fan_out``, the number of its appearances,
+    ``blocks``, its states in order of days (``day``, ``usable``, the number of appearances valid from
+    that day on, and ``valid``, the best of them), and the named attributes. The choice is by latest
+    update day, then smallest system, among the valid ones and among all alike.
     """
     if null_dates not in _LATEST_FIRST:
         raise ValueError(f"null_dates must be 'first' or 'last', not {null_dates!r}")
-    board = (
-        _per_day(appearances)
-        .withColumn("asked", F.lit(False))
-        .unionByName(
-            asking.withColumn("dia", F.col("ask_day")).withColumn("asked", F.lit(True)),
-            allowMissingColumns=True,
-        )
-        .withColumn("choice", F.expr(f"struct({_LATEST_FIRST[null_dates]} AS first, system, updated)"))
-    )
-    phone = "PARTITION BY contato_telefone"
-    # A usable day sorts before the questions of that day; rows without a day are never valid.
-    so_far = f"""{phone} ORDER BY dia NULLS FIRST, asked
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"""
-    usable = "NOT asked AND dia IS NOT NULL"
-    return (
-        board.selectExpr(
-            *asking.columns,
-            "asked",
-            f"min(IF({usable}, choice, NULL)) OVER ({so_far}) AS valid",
-            f"min(IF(asked, NULL, choice)) OVER ({phone}) AS any",
-            f"coalesce(sum(IF({usable}, listed, NULL)) OVER ({so_far}), 0L) AS valid_at_send",
-            f"coalesce(sum(listed) OVER ({phone}), 0L) AS fan_out",
-        )
-        .where("asked")
+    phone = "PARTITION BY phone"
+    so_far = f"{phone} ORDER BY dia NULLS FIRST, updated ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    choice = f"struct({_LATEST_FIRST[null_dates]} AS first, system, updated)"
+    states = (
+        _per_day(appearances, attributes)
+        .withColumn("choice", F.expr(choice))
         .selectExpr(
-            *asking.columns,
-            "CAST(valid IS NOT NULL AS INT) AS prefer",
-            "fan_out",
-            "valid_at_send",
-            "coalesce(valid, any) AS won",
-        )
-        .withColumn(
-            "choice",
-            F.expr(
-                f"""struct(nullif(won.system, {_NO_SYSTEM}) AS id_sistema_mask,
-                           won.updated AS registro_data_atualizacao)"""
-            ),
+            "*",
+            # Rows without a day are never valid.
+            f"sum(IF(dia IS NULL, 0L, listed)) OVER ({so_far}) AS usable",
+            f"min(IF(dia IS NULL, NULL, choice)) OVER ({so_far}) AS valid",
+            f"(row_number() OVER ({phone} ORDER BY dia NULLS FIRST, updated) - 1) div {_BLOCK} AS block",
         )
-        .drop("won")
     )
+    best = [F.min("of_phone").alias("of_phone")] if attributes else []
+    state = F.when(F.col("dia").isNotNull(), F.struct(F.col("dia").alias("day"), "usable", "valid"))
+    blocks = states.groupBy("phone", "block").agg(
+        F.min("choice").alias("any"),
+        F.sum("listed").alias("fan_out"),
+        F.min("dia").alias("day"),
+        # Two rows of a day differ in what is usable, so the order is total.
+        F.array_sort(F.collect_list(state)).alias("states"),
+        *best,
+    )
+    held = F.when(F.col("day").isNotNull(), F.struct("day", "block", "states"))
+    return blocks.groupBy("phone").agg(
+        F.min("any").alias("any"),
+        F.sum("fan_out").alias("fan_out"),
+        F.array_sort(F.collect_list(held)).alias("blocks"),
+        *best,
+    ).select("phone", "any", "fan_out", "blocks", *[f"of_phone.{a}" for a in attributes])
+
+
+def _last_until(states: str, day: str) -> str:
+    """The last of ``states``, sorted by day, that is not after ``day``; null without one."""
+    return f"try_element_at(filter({states}, s -> s.day <= {day}), -1)"
+
+
+def state_on(day: str, history: str = "") -> str:
+    """SQL of the state that a history (its columns, named with the prefix ``history``) has on a day."""
+    return _last_until(_last_until(f"{history}blocks", day) + ".states", day)
 
 
 def enrich_dispatch(
@@ -145,24 +141,34 @@ def enrich_dispatch(
     null_dates: str = "first",
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
 ) -> DataFrame:
-    """Each dispatch with its flag, its send day, the answers of its phone's appearances and the
-    named attributes of the phone.
+    """Each dispatch with its flag, its send day, what its phone's appearances say about that day
+    (``choice``, the winning one, ``prefer``, 1 if it was valid then, ``fan_out``, how many there are,
+    ``valid_at_send``, how many were valid) and the named attributes of the phone.
 
     Like a left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
-    Those without a phone take no part in the join, so that they don't meet in one task.
     """
-    sent = with_send_day(dispatch).withColumn("ask_day", F.expr(_ASK_DAY))
-    known, unknown = (sent.where(f"contato_telefone IS {x} NULL") for x in ("NOT", ""))
-    asking = known.select("contato_telefone", "ask_day").distinct()
-    answers = _answered(appearances, asking, null_dates)
-    if attributes:
-        of_phone = _phone_attributes(appearances, attributes)
-        answers = answers.join(of_phone, "contato_telefone", "left")
-    return (
-        known.join(answers, ["contato_telefone", "ask_day"], "left")
-        .unionByName(unknown, allowMissingColumns=True)
-        .drop("ask_day")
-        .fillna(0, ["prefer", "fan_out", "valid_at_send"])
+    sent = with_send_day(dispatch)
+    lonely = F.when(
+        F.col("contato_telefone").isNull(), F.pmod(F.xxhash64("id_disparo", "cpf"), F.lit(_NO_PHONE)) + 1
+    ).otherwise(F.lit(0))
+    histories = phone_histories(appearances, null_dates, attributes).withColumnRenamed(
+        "phone", "contato_telefone"
+    )
+    found = (
+        sent.withColumn("spread", lonely)
+        .join(histories.withColumn("spread", F.lit(0).cast("bigint")), ["contato_telefone", "spread"], "left")
+        .withColumn("state", F.expr(state_on("envio_data")))
+        .withColumn("won", F.expr("coalesce(state.valid, any)"))
+    )
+    answers = {
+        "choice": f"""struct(nullif(won.system, {_NO_SYSTEM}) AS id_sistema_mask,
+                             won.updated AS registro_data_atualizacao)""",
+        "prefer": "CAST(state.valid IS NOT NULL AS INT)",
+        "fan_out": "coalesce(fan_out, 0L)",
+        "valid_at_send": "coalesce(state.usable, 0L)",
+    }
+    return found.select(
+        *sent.columns, *[F.expr(e).alias(name) for name, e in answers.items()], *attributes
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from dialwise.functions import (
     delivered_flag,
     poisson_one,
     sample_size,
+    two_proportion_z,
     uniform,
+    upper_tail,
     wilson_bounds,
 )
+from dialwise.operators.quantiles import exact_quantiles
 from dialwise.operators.ranking import roll_up
 from dialwise.session import frozen
 
@@ -241,21 +246,18 @@ def guardrails(tries: DataFrame, phones: DataFrame, valid: str = "VALIDO") -> Da
 def response_times(tries: DataFrame, responded: str) -> DataFrame:
     """Median and 90 % point of seconds from send to response per arm, where a response exists.
 
-    Exact, to the microsecond: equal waits are counted before the shuffle.
+    Exact, to the microsecond, by radix selection: no task holds an arm's waits.
     """
     waited = F.unix_micros(F.col(responded).cast("timestamp")) - F.unix_micros(
         F.col("envio_datahora").cast("timestamp")
     )
-    return (
-        tries.where(F.col(responded).isNotNull())
-        .groupBy("arm", waited.alias("micros"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("arm")
-        .agg(
-            F.sum("n").alias("respostas"),
-            (F.percentile("micros", F.lit(0.5), F.col("n")) / 1e6).alias("seconds_p50"),
-            (F.percentile("micros", F.lit(0.9), F.col("n")) / 1e6).alias("seconds_p90"),
-        )
+    waits = tries.select("arm", waited.alias("micros"))
+    return exact_quantiles(waits, ["arm"], "micros", [0.5, 0.9]).select(
+        "arm",
+        F.col("size").alias("respostas"),
+        *[
+            (F.col("quantiles")[i] / 1e6).alias(f"seconds_{name}") for i, name in enumerate(("p50", "p90"))
+        ],
     )
 
 
@@ -304,3 +306,182 @@ def bootstrap_rate_diff(
         F.coalesce(F.percentile("diff", F.lit(0.025)), nan).alias("ci_low"),
         F.coalesce(F.percentile("diff", F.lit(0.975)), nan).alias("ci_high"),
     )
+
+
+# Decision
+
+
+def primary_test(primary: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The test of the stated hypotheses (treatment at most as good against better): one row.
+
+    ``primary`` is the result of :func:`primary_metric`. The statistic is that of two proportions with
+    pooled variance, the p-value its upper tail. An empty arm, or one outcome for all, decides nothing:
+    statistic and p-value are null then, and ``rejects`` is false.
+    """
+    of = {
+        f"{name}_{short}": F.max(F.when(F.col("arm") == arm, F.col(name)))
+        for arm, short in ((CONTROL, "c"), (TREATMENT, "t"))
+        for name in ("pessoas", "alcancados")
+    }
+    zero = F.lit(0).cast("bigint")
+    both = primary.agg(*[F.coalesce(c, zero).alias(name) for name, c in of.items()])
+    z = two_proportion_z(*[F.col(c) for c in ("alcancados_t", "pessoas_t", "alcancados_c", "pessoas_c")])
+    p = upper_tail(F.col("z"))
+    return (
+        both.withColumn("z", z)
+        .withColumn("p_value", p)
+        .select(
+            *of,
+            (F.try_divide("alcancados_t", "pessoas_t") - F.try_divide("alcancados_c", "pessoas_c")).alias(
+                "diff"
+            ),
+            "z",
+            "p_value",
+            F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("rejects"),
+        )
+    )
+
+
+def daily_totals(tries: DataFrame) -> DataFrame:
+    """Per send day and arm the people whose first attempt, and first delivery, was that day."""
+    reached = F.when(F.col("delivered") == 1, F.col("envio_data"))
+    people = (
+        tries.where(F.col("envio_data").isNotNull())
+        .groupBy("arm", "cpf")
+        .agg(F.min("envio_data").alias("first"), F.min(reached).alias("got"))
+    )
+    steps = F.array(
+        F.struct(F.col("first").alias("envio_data"), F.lit(1).alias("new"), F.lit(0).alias("won")),
+        F.struct(F.col("got").alias("envio_data"), F.lit(0).alias("new"), F.lit(1).alias("won")),
+    )
+    return (
+        people.select("arm", F.inline(steps))
+        .where(F.col("envio_data").isNotNull())
+        .groupBy("arm", "envio_data")
+        .agg(F.sum("new").alias("pessoas"), F.sum("won").alias("alcancados"))
+    )
+
+
+def sequential_monitor(tries: DataFrame, planned: int, alpha: float = 0.05) -> DataFrame:
+    """The difference of the arms at the end of every send day, with a lower bound that may be looked at
+    daily: with a chance of at least 1 - ``alpha`` it is right on all days at once (a normal mixture
+    confidence sequence, asymptotic), so stopping on the first day it exceeds 0 keeps the level.
+
+    ``planned`` is the number of people of both arms at which the bound is tightest. One row per day on
+    which both arms have people: cumulative people and successes, ``diff``, ``lower``, ``stop``.
+    """
+    arms = ((CONTROL, "c"), (TREATMENT, "t"))
+    names = ("pessoas", "alcancados")
+    daily = daily_totals(tries).groupBy("envio_data").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("arm") == arm, F.col(name))), F.lit(0)).alias(f"{name}_{short}")
+            for arm, short in arms
+            for name in names
+        ]
+    )
+    # One row per day: the calendar bounds what the running totals sort.
+    so_far = Window.orderBy("envio_data").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = [f"{name}_{short}" for _, short in arms for name in names]
+    running = daily.select("envio_data", *[F.sum(c).over(so_far).alias(c) for c in totals])
+    rate = {s: F.col(f"alcancados_{s}") / F.col(f"pessoas_{s}") for s in "ct"}
+    spread = sum(rate[s] * (1 - rate[s]) / F.col(f"pessoas_{s}") for s in "ct")
+    n = (F.col("pessoas_c") + F.col("pessoas_t")).cast("double")
+    log = -2 * math.log(alpha)
+    rho = F.lit((log + math.log(log) + 1) / planned)
+    mixed = n * rho + 1
+    reach = F.sqrt(2 * mixed / (n * rho) * F.ln(1 + F.sqrt(mixed) / (2 * alpha)) * spread)
+    return (
+        running.where("pessoas_c > 0 AND pessoas_t > 0")
+        .withColumn("diff", rate["t"] - rate["c"])
+        .withColumn("lower", F.col("diff") - reach)
+        .withColumn("stop", F.col("lower") > 0)
+    )
+
+
+def opt_outs(tries: DataFrame, complaints: DataFrame, within_days: int = 30) -> DataFrame:
+    """Per arm the people who complained or opted out up to ``within_days`` days after an attempt.
+
+    ``complaints`` has ``cpf`` and ``dia``, a row per complaint. Attempts are reduced to one row per
+    person and day before they meet the complaints of that person.
+    """
+    sent = tries.where(F.col("cpf").isNotNull()).groupBy("arm", "cpf").agg(
+        F.collect_set("envio_data").alias("days")
+    )
+    said = complaints.where(F.col("cpf").isNotNull() & F.col("dia").isNotNull()).groupBy("cpf").agg(
+        F.collect_set("dia").alias("said")
+    )
+    after = F.exists(
+        "days", lambda d: F.exists("said", lambda s: (s >= d) & (s <= F.date_add(d, within_days)))
+    )
+    return (
+        sent.join(said, "cpf", "left")
+        .withColumn("left", F.coalesce(after, F.lit(False)).cast("int"))
+        .groupBy("arm")
+        .agg(F.count(F.lit(1)).alias("pessoas"), F.sum("left").alias("saidas"))
+        .withColumn("taxa_saidas", F.try_divide("saidas", "pessoas"))
+    )
+
+
+def clustered_rate_diff(
+    units: DataFrame,
+    arm_a: str = TREATMENT,
+    arm_b: str = CONTROL,
+    n_boot: int = 5000,
+    seed: int = 42,
+    buckets: int = 200,
+) -> DataFrame:
+    """The difference of two rates, its standard error and a studentised 95 % interval: one row.
+
+    ``units`` has ``unit``, ``arm`` and ``y``. All rows of a unit (a person's dispatches) fall into one
+    of ``buckets`` buckets by chance, and whole buckets are resampled, so rows of a unit may depend on
+    each other. Each replicate divides its deviation by its own standard error (that of a ratio of
+    bucket sums); the interval takes the quantiles of these from the observed difference.
+    """
+    bucket = F.floor(uniform(seed, F.lit("bucket"), F.col("unit")) * buckets)
+    sums = frozen(
+        units.where(F.col("y").isNotNull() & F.col("arm").isin(arm_a, arm_b))
+        .groupBy("arm", bucket.alias("bucket"))
+        .agg(F.sum(F.col("y").cast("double")).alias("y"), F.count(F.lit(1)).alias("n")),
+        "bucket-sums",
+    )
+    held = sums.agg(F.collect_list(F.struct("arm", "bucket", "y", "n")).alias("sums"))
+    # Replicate 0 is what was observed: every bucket once.
+    draws = units.sparkSession.range(0, n_boot + 1, 1, TASKS).select(
+        F.col("id").alias("rep"), F.inline(held.scalar())
+    )
+    drawn = poisson_one(uniform(seed, F.col("arm"), F.col("bucket"), F.col("rep")))
+    weighed = draws.withColumn("w", F.when(F.col("rep") == 0, F.lit(1.0)).otherwise(drawn))
+    moments = weighed.groupBy("rep", "arm").agg(
+        *[
+            F.sum(F.col("w") * value).alias(name)
+            for name, value in (
+                ("y", F.col("y")), ("n", F.col("n")), ("yy", F.col("y") * F.col("y")),
+                ("yn", F.col("y") * F.col("n")), ("nn", F.col("n") * F.col("n")),
+            )
+        ]
+    )
+    rate = F.try_divide("y", "n")
+    spread = F.try_divide(F.col("yy") - 2 * rate * F.col("yn") + rate * rate * F.col("nn"), F.col("n") * F.col("n"))
+    arms = moments.select("rep", "arm", rate.alias("rate"), F.greatest(F.lit(0.0), spread).alias("spread"))
+    sign = F.when(F.col("arm") == arm_a, F.lit(1.0)).otherwise(F.lit(-1.0))
+    by_rep = arms.groupBy("rep").agg(
+        F.when(F.count("rate") == 2, F.sum(sign * F.col("rate"))).alias("diff"),
+        F.sqrt(F.sum("spread")).alias("se"),
+    )
+    by_rep = frozen(by_rep, "replicates")
+    seen = by_rep.where("rep = 0").agg(F.struct(F.max("diff").alias("diff"), F.max("se").alias("se")).alias("o"))
+    studentised = (
+        by_rep.where("rep > 0 AND diff IS NOT NULL AND se > 0")
+        .withColumn("o", seen.scalar())
+        .withColumn("t", (F.col("diff") - F.col("o.diff")) / F.col("se"))
+    )
+    ends = studentised.agg(
+        F.percentile("t", F.lit(0.025)).alias("low"), F.percentile("t", F.lit(0.975)).alias("high")
+    )
+    nan = F.lit(float("nan"))
+    return ends.withColumn("o", seen.scalar()).select(
+        F.coalesce("o.diff", nan).alias("diff"),
+        F.coalesce("o.se", nan).alias("se"),
+        F.coalesce(F.col("o.diff") - F.col("high") * F.col("o.se"), nan).alias("ci_low"),
+        F.coalesce(F.col("o.diff") - F.col("low") * F.col("o.se"), nan).alias("ci_high"),
+    )

@@ -6,10 +6,13 @@ group before the shuffle, and a group that holds most of the rows costs no more
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.functions import age_bucket, age_bucket_order, clamp_age, wilson_bounds
+from dialwise.session import bucketed
 
 
 def success_total(flag: str) -> Column:
@@ -46,32 +49,69 @@ def rates_by_system(events: DataFrame, alpha: float = 0.05) -> DataFrame:
     return best_first(rate_with_interval(known, ["id_sistema_mask"], alpha=alpha), "id_sistema_mask")
 
 
-def _by_phone_and_system(
-    events: DataFrame, phone_dim: DataFrame, min_systems: int
-) -> DataFrame:
-    """Events counted per phone and system, with the number of qualifying dimension rows.
+def phone_totals(events: DataFrame) -> DataFrame:
+    """Events counted per phone and system.
 
-    Counting first leaves one row per phone and system, so the join with the dimension never
-    meets the raw events of a busy phone. ``copies`` keeps the meaning of a left join with a
-    dimension that lists a phone more than once.
+    Counting first leaves one row per phone and system, so a join by phone never meets the raw events
+    of a busy phone.
     """
-    counted = events.groupBy("contato_telefone", "id_sistema_mask").agg(
+    return events.groupBy("contato_telefone", "id_sistema_mask").agg(
         F.count(F.lit(1)).alias("n"), success_total("delivered").alias("successes")
     )
+
+
+def phone_systems(phone_dim: DataFrame) -> DataFrame:
+    """Phones with their number of systems, and how often the dimension lists them so."""
+    return phone_dim.groupBy(
+        F.col("telefone_numero").alias("contato_telefone"), "telefone_sistemas_quantidade"
+    ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@dataclass(frozen=True)
+class PhoneLayout:
+    """Totals of events and the systems of phones, both kept bucketed by phone.
+
+    Every rate that asks for both joins them without an exchange, as often as it is asked. What lies in
+    a bucket is counted already, so a phone with most events is a few rows.
+    """
+
+    totals: DataFrame
+    systems: DataFrame
+
+
+def phone_layout(events: DataFrame, phone_dim: DataFrame) -> PhoneLayout:
+    """Write the layout of the given events and dimension."""
+    return PhoneLayout(
+        bucketed(phone_totals(events), "contato_telefone", "phone_totals"),
+        bucketed(phone_systems(phone_dim), "contato_telefone", "phone_systems"),
+    )
+
+
+def _by_phone_and_system(totals: DataFrame, systems: DataFrame, min_systems: int) -> DataFrame:
+    """Totals per phone and system, with the number of qualifying dimension rows.
+
+    ``copies`` keeps the meaning of a left join with a dimension that lists a phone more than once.
+    """
     qualified = (
-        phone_dim.where(F.col("telefone_sistemas_quantidade") >= min_systems)
-        .groupBy(F.col("telefone_numero").alias("contato_telefone"))
-        .agg(F.count(F.lit(1)).alias("copies"))
+        systems.where(F.col("telefone_sistemas_quantidade") >= min_systems)
+        .groupBy("contato_telefone")
+        .agg(F.sum("rows").alias("copies"))
     )
-    return counted.join(qualified, "contato_telefone", "left")
+    return totals.join(qualified, "contato_telefone", "left")
 
 
 def rates_by_system_multi(
     events: DataFrame, phone_dim: DataFrame, min_systems: int = 2, alpha: float = 0.05
 ) -> DataFrame:
     """Delivery rate per system on phones that several systems know, against selection bias."""
+    layout = PhoneLayout(phone_totals(events), phone_systems(phone_dim))
+    return multi_rates_of_layout(layout, min_systems, alpha)
+
+
+def multi_rates_of_layout(layout: PhoneLayout, min_systems: int = 2, alpha: float = 0.05) -> DataFrame:
+    """As :func:`rates_by_system_multi`, from a layout."""
     counted = (
-        _by_phone_and_system(events, phone_dim, min_systems)
+        _by_phone_and_system(layout.totals, layout.systems, min_systems)
         .where(F.col("copies").isNotNull())
         .groupBy("id_sistema_mask")
         .agg(
@@ -90,9 +130,15 @@ def rates_by_system_compared(
 
     Both come from one pass over the events; a system without such phones has nulls beside it.
     """
-    known = events.where(F.col("id_sistema_mask").isNotNull())
+    layout = PhoneLayout(phone_totals(events), phone_systems(phone_dim))
+    return compared_rates_of_layout(layout, min_systems, alpha)
+
+
+def compared_rates_of_layout(layout: PhoneLayout, min_systems: int = 2, alpha: float = 0.05) -> DataFrame:
+    """As :func:`rates_by_system_compared`, from a layout."""
+    known = layout.totals.where(F.col("id_sistema_mask").isNotNull())
     counted = (
-        _by_phone_and_system(known, phone_dim, min_systems)
+        _by_phone_and_system(known, layout.systems, min_systems)
         .groupBy("id_sistema_mask")
         .agg(
             F.sum("n").alias("n"),

@@ -20,6 +20,8 @@ from dialwise.operators import appearances as ap
 from dialwise.operators import attribution as at
 from dialwise.operators import decay as dc
 from dialwise.operators import experiment as ex
+from dialwise.operators import logit as lg
+from dialwise.operators import profiles as pf
 from dialwise.operators import ranking as rk
 from dialwise.operators import rates as rt
 from dialwise.operators import scoring as sc
@@ -30,9 +32,16 @@ from dialwise.plans.choice import (
     fitted_half_life,
     learned_tables,
 )
+from dialwise.plans.store import EventStore
 from dialwise.schemas import PHONE_ATTRIBUTES
 from dialwise.session import frozen, new_table_path
-from dialwise.sources import find_table, read_events, write_events
+from dialwise.sources import (
+    find_table,
+    lookup_candidates,
+    read_events,
+    write_candidates,
+    write_events,
+)
 
 
 def _r(name: str, places: int = 9) -> Column:
@@ -73,6 +82,74 @@ def events_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_events(spark, path)
 
 
+def _first_load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The log and the dimension as an earlier load may have had them: the last year of dispatches is
+    missing, and a fifth of the systems have not reported yet."""
+    sent, listed = t.dispatch(spark, d), t.appearances(spark, d)
+    before = sent.where("envio_datahora < TIMESTAMP_NTZ'2000-08-01' OR envio_datahora IS NULL")
+    return before, listed.where("id_sistema_mask IS NULL OR id_sistema_mask % 5 <> 0")
+
+
+def _store(spark: SparkSession, d: str) -> EventStore:
+    """An event store loaded in two steps; the log has few dispatches a day, so it is kept by month."""
+    store = EventStore(spark, new_table_path(spark, "store"), unit="month")
+    store.update(*_first_load(spark, d))
+    store.update(t.dispatch(spark, d), t.appearances(spark, d))
+    return store
+
+
+def events_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).read()
+
+
+def profile_system_rates(spark: SparkSession, d: str) -> DataFrame:
+    profile = _store(spark, d).read("profiles")
+    return pf.system_rates(profile).select("id_sistema_mask", *_rate())
+
+
+def _daily_profile(spark: SparkSession, d: str) -> DataFrame:
+    """A profile merged from those of odd and of even days."""
+    profile = frozen(pf.daily_profile(_events_with_area(spark, d)), "profile")
+    odd = F.coalesce(F.day("envio_data") % 2 == 1, F.lit(False))
+    return pf.merged(profile.where(odd), profile.where(~odd))
+
+
+def profile_age_rates(spark: SparkSession, d: str) -> DataFrame:
+    return pf.age_rates(_daily_profile(spark, d)).select("age_bucket", "age_bucket_order", *_rate())
+
+
+def profile_ranking(spark: SparkSession, d: str) -> DataFrame:
+    ranked = rk.rank_profile(_daily_profile(spark, d))
+    return ranked.select(
+        "id_sistema_mask", "n", "successes", _r("mean_age_days"), _r("posterior_mean"), _r("score")
+    )
+
+
+def profile_area_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rk.area_rates_of_profile(_daily_profile(spark, d)).select("telefone_ddd", "n", _r("rate"))
+
+
+def profile_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return pf.baseline(_daily_profile(spark, d)).select(_r("baseline_p"))
+
+
+def profile_daily(spark: SparkSession, d: str) -> DataFrame:
+    return pf.daily_rates(_daily_profile(spark, d)).select("envio_data", *_rate())
+
+
+def people_by_system(spark: SparkSession, d: str) -> DataFrame:
+    """Different people per system: exact, and whether the united daily sketches come close to it."""
+    events = frozen(t.events(spark, d), "events")
+    sketched = pf.estimated_people(pf.people_sketches(events), "id_sistema_mask")
+    counted = events.groupBy("id_sistema_mask").agg(F.count_distinct("cpf").alias("exact"))
+    close = F.abs(F.col("people") - F.col("exact")) <= pf.error_bound(F.col("exact"))
+    system = F.col("a.id_sistema_mask")
+    both = counted.alias("a").join(
+        sketched.alias("b"), system.eqNullSafe(F.col("b.id_sistema_mask")), "left"
+    )
+    return both.select(system, "exact", F.coalesce(close, F.col("exact") == 0).alias("close"))
+
+
 # Preparation
 
 
@@ -139,6 +216,11 @@ def rates_system_multi(spark: SparkSession, d: str) -> DataFrame:
     return rates.select("id_sistema_mask", *_rate())
 
 
+def rates_multi_layout(spark: SparkSession, d: str) -> DataFrame:
+    layout = rt.phone_layout(t.events(spark, d), t.phone_system_counts(spark, d))
+    return rt.multi_rates_of_layout(layout).select("id_sistema_mask", *_rate())
+
+
 def rates_system_compare(spark: SparkSession, d: str) -> DataFrame:
     both = rt.rates_by_system_compared(t.events(spark, d), t.phone_system_counts(spark, d))
     return both.select(
@@ -192,11 +274,13 @@ def ddd_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ddd_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return rk.area_quantiles(rk.area_rates(_events_with_area(spark, d))).select(_r("q_low"), _r("q_high"))
+    profile = rk.event_profile(_events_with_area(spark, d), ["telefone_ddd"])
+    return rk.area_quantiles(rk.area_rates_of_profile(profile)).select(_r("q_low"), _r("q_high"))
 
 
 def ddd_bonus(spark: SparkSession, d: str) -> DataFrame:
-    return rk.area_bonus(rk.area_rates(_events_with_area(spark, d)))
+    profile = rk.event_profile(_events_with_area(spark, d), ["telefone_ddd"])
+    return rk.area_bonus(rk.area_rates_of_profile(profile))
 
 
 def baseline_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -227,6 +311,12 @@ def candidates_for_cpf(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).where(F.col("cpf") == _first_person(spark, d))
 
 
+def candidates_lookup(spark: SparkSession, d: str) -> DataFrame:
+    path = write_candidates(_candidates(spark, d), new_table_path(spark, "candidates"))
+    first = spark.read.parquet(path).agg(F.min("cpf")).first()[0]
+    return lookup_candidates(spark, path, [] if first is None else [first])
+
+
 def recency_weights(spark: SparkSession, d: str) -> DataFrame:
     age = whole_days_between(F.col("registro_data_atualizacao"), sc.instant(t.NOW)).cast("double")
     return (
@@ -345,6 +435,15 @@ def half_life(spark: SparkSession, d: str) -> DataFrame:
     return found.select(_r("b_per_day"), _r("half_life_odds", 4), _r("half_life_days", 4))
 
 
+def decay_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The decay with effects of the systems beside age: one row per unknown."""
+    aged = rt.aged_events(t.decaying_events(spark, d)).where("id_sistema_mask IS NOT NULL")
+    years = aged.withColumn("age_years", F.least("age_days", F.lit(float(dc.MAX_AGE))) / 365.25)
+    fit = lg.logit_fit(years, "delivered", ["age_years"], ["id_sistema_mask"], ridge=1e-4)
+    rows = [(name, round(value, 6)) for name, value in zip(fit.names, fit.values)]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
 # Experiment
 
 
@@ -381,6 +480,15 @@ def bootstrap_rate_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.select(_r("diff_mean"), _r("ci_low"), _r("ci_high"))
 
 
+def bootstrap_by_person(spark: SparkSession, d: str) -> DataFrame:
+    """Arms are drawn by person, so a person's dispatches are resampled together."""
+    sent = at.with_send_day(t.dispatch(spark, d))
+    units = sent.select(
+        F.col("cpf").alias("unit"), ex.arm_of(F.col("cpf")).alias("arm"), F.col("delivered").alias("y")
+    )
+    return ex.clustered_rate_diff(units).select(*[_r(c) for c in ("diff", "se", "ci_low", "ci_high")])
+
+
 def ab_assign(spark: SparkSession, d: str) -> DataFrame:
     arms = ex.assign_arms(_candidates(spark, d))
     return arms.withColumn("u", F.round(uniform(42, F.col("cpf")), 9))
@@ -412,6 +520,26 @@ def ab_primary(spark: SparkSession, d: str) -> DataFrame:
     return result.select("arm", "pessoas", "alcancados", _r("rate"), _r("ci_low"), _r("ci_high"))
 
 
+def ab_test(spark: SparkSession, d: str) -> DataFrame:
+    found = ex.primary_test(ex.primary_metric(_attempts(spark, d)))
+    counts = ("pessoas_c", "alcancados_c", "pessoas_t", "alcancados_t")
+    return found.select(*counts, _r("diff"), _r("z", 7), _r("p_value", 7), "rejects")
+
+
+def ab_sequential(spark: SparkSession, d: str) -> DataFrame:
+    looks = ex.sequential_monitor(_attempts(spark, d), planned=20_000)
+    counts = ("pessoas_c", "alcancados_c", "pessoas_t", "alcancados_t")
+    return looks.select("envio_data", *counts, _r("diff"), _r("lower", 7), "stop")
+
+
+def ab_opt_outs(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the event stream, moved to the time of the dispatches, stand for complaints."""
+    errors = t.table(spark, d, "events").where("event_type = 'error'")
+    said = errors.selectExpr("user_id AS cpf", "date_sub(CAST(ts AS DATE), 8300) AS dia")
+    left = ex.opt_outs(_attempts(spark, d), said, within_days=365)
+    return left.select("arm", "pessoas", "saidas", _r("taxa_saidas"))
+
+
 def ab_secondary(spark: SparkSession, d: str) -> DataFrame:
     result = ex.secondary_metrics(_attempts(spark, d))
     return result.select("arm", "tentativas", "entregas", _r("rate"), _r("custo_por_entrega"))
@@ -457,6 +585,15 @@ QUERIES = {
     "scan_phone_dim": scan_phone_dim,
     "scan_discovered": scan_discovered,
     "events_roundtrip": events_roundtrip,
+    "events_incremental": events_incremental,
+    "profile_system_rates": profile_system_rates,
+    "profile_age_rates": profile_age_rates,
+    "profile_ranking": profile_ranking,
+    "profile_area_rates": profile_area_rates,
+    "profile_baseline": profile_baseline,
+    "profile_daily": profile_daily,
+    "people_by_system": people_by_system,
+    "candidates_lookup": candidates_lookup,
     "delivered_flag": delivered_flags,
     "explode_appearances": explode_appearances,
     "enrich_dispatch": enrich_dispatch,
@@ -504,6 +641,12 @@ QUERIES = {
     "ab_secondary": ab_secondary,
     "ab_failures": ab_failures,
     "ab_daily": ab_daily,
+    "ab_test": ab_test,
+    "ab_sequential": ab_sequential,
+    "ab_opt_outs": ab_opt_outs,
+    "bootstrap_by_person": bootstrap_by_person,
+    "rates_multi_layout": rates_multi_layout,
+    "decay_effects": decay_effects,
     "ab_guardrails": ab_guardrails,
     "response_times": response_times,
 }

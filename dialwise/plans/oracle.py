@@ -10,7 +10,7 @@ import math
 
 from dialwise.functions.ages import AGE_BUCKETS
 from dialwise.functions.chance import poisson_steps
-from dialwise.functions.rates import normal_quantile
+from dialwise.functions.rates import NORMAL_BOTTOM, NORMAL_FAR, NORMAL_TOP, normal_quantile
 
 _LN2 = repr(math.log(2.0))
 
@@ -588,3 +588,128 @@ ORACLE = {
     ),
     "ab_daily": _sql(_person_rates("arm, envio_data"), _RATES, _SCORES, _PICKS),
 }
+
+# The same results by other ways: merged by day, updated in steps, looked up in a sorted table.
+ORACLE |= {
+    "events_incremental": ORACLE["events_roundtrip"],
+    "profile_system_rates": ORACLE["rates_system"],
+    "profile_age_rates": ORACLE["rates_age"],
+    "profile_ranking": ORACLE["system_ranking"],
+    "profile_area_rates": ORACLE["ddd_rates"],
+    "profile_baseline": ORACLE["baseline_rate"],
+    "profile_daily": _sql(
+        f"""SELECT envio_data, n, round(successes / n, 9) AS rate, round({_LOW}, 9) AS ci_low,
+              round({_HIGH}, 9) AS ci_high
+            FROM (SELECT envio_data, count(*) AS n,
+                    CAST(coalesce(sum(delivered), 0) AS BIGINT) AS successes FROM ev GROUP BY 1)"""
+    ),
+    "people_by_system": _sql(
+        """SELECT id_sistema_mask, count(DISTINCT cpf) AS exact, TRUE AS "close"
+           FROM ev GROUP BY id_sistema_mask"""
+    ),
+    "candidates_lookup": ORACLE["candidates_for_cpf"],
+    "rates_multi_layout": ORACLE["rates_system_multi"],
+}
+
+
+def _upper_tail(z: str) -> str:
+    def powers(factors: list[float]) -> str:
+        total = repr(factors[0])
+        for factor in factors[1:]:
+            total = f"({total} * abs({z}) + {factor!r})"
+        return total
+
+    fraction = f"(abs({z}) + 0.65)"
+    for step in (4.0, 3.0, 2.0, 1.0):
+        fraction = f"(abs({z}) + {step} / {fraction})"
+    density = f"exp(-{z} * {z} / 2)"
+    tail = f"""CASE WHEN abs({z}) < {NORMAL_FAR!r} THEN {density} * {powers(NORMAL_TOP)} / {powers(NORMAL_BOTTOM)}
+                    ELSE {density} / {fraction} / 2.506628274631 END"""
+    return f"(CASE WHEN {z} < 0 THEN 1 - ({tail}) ELSE {tail} END)"
+
+
+_ARMS = """CAST(coalesce(sum({0}) FILTER (arm = 'controle'), 0) AS BIGINT) AS {0}_c,
+  CAST(coalesce(sum({0}) FILTER (arm = 'tratamento'), 0) AS BIGINT) AS {0}_t"""
+_BOTH = ", ".join(_ARMS.format(c) for c in ("pessoas", "alcancados"))
+_PLANNED, _LOG = 20_000, -2 * math.log(0.05)
+_RHO = repr((_LOG + math.log(_LOG) + 1) / _PLANNED)
+
+ORACLE |= {
+    "ab_test": _sql(
+        f"""SELECT pessoas_c, alcancados_c, pessoas_t, alcancados_t, round(diff, 9) AS diff,
+              round(z, 7) AS z, round({_upper_tail("z")}, 7) AS p_value,
+              coalesce({_upper_tail("z")} < 0.05, FALSE) AS rejects
+            FROM (SELECT *, alcancados_t / pessoas_t - alcancados_c / pessoas_c AS diff,
+                    CASE WHEN q * (1 - q) > 0 THEN
+                      (CAST(alcancados_t AS DOUBLE) / pessoas_t - CAST(alcancados_c AS DOUBLE) / pessoas_c)
+                      / sqrt(q * (1 - q) * (1.0::DOUBLE / pessoas_t + 1.0::DOUBLE / pessoas_c)) END AS z
+                  FROM (SELECT *, CAST(alcancados_c + alcancados_t AS DOUBLE) / (pessoas_c + pessoas_t) AS q
+                        FROM (SELECT {_BOTH} FROM ({_person_rates("arm")}))))""",
+        _RATES,
+        _SCORES,
+        _PICKS,
+    ),
+    "ab_sequential": _sql(
+        f"""SELECT envio_data, pessoas_c, alcancados_c, pessoas_t, alcancados_t, round(diff, 9) AS diff,
+              round(diff - reach, 7) AS lower, diff - reach > 0 AS stop
+            FROM (SELECT *, rt - rc AS diff,
+                    sqrt(2 * (n * {_RHO} + 1) / (n * {_RHO}) * ln(1 + sqrt(n * {_RHO} + 1) / 0.1::DOUBLE)
+                         * (rc * (1 - rc) / pessoas_c + rt * (1 - rt) / pessoas_t)) AS reach
+                  FROM (SELECT *, CAST(alcancados_c AS DOUBLE) / pessoas_c AS rc,
+                          CAST(alcancados_t AS DOUBLE) / pessoas_t AS rt,
+                          CAST(pessoas_c + pessoas_t AS DOUBLE) AS n
+                        FROM (SELECT envio_data, {", ".join(
+                            f"CAST(sum({c}) OVER (ORDER BY envio_data) AS BIGINT) AS {c}"
+                            for c in ("pessoas_c", "alcancados_c", "pessoas_t", "alcancados_t"))}
+                          FROM (SELECT envio_data, {_BOTH} FROM (
+                              SELECT arm, first AS envio_data, 1 AS pessoas, 0 AS alcancados FROM entries
+                              UNION ALL
+                              SELECT arm, got, 0, 1 FROM entries WHERE got IS NOT NULL) GROUP BY 1))
+                        WHERE pessoas_c > 0 AND pessoas_t > 0))""",
+        _RATES,
+        _SCORES,
+        _PICKS,
+        """entries AS (
+  SELECT arm, cpf, min(envio_data) AS first, min(envio_data) FILTER (delivered = 1) AS got
+  FROM tries WHERE envio_data IS NOT NULL GROUP BY 1, 2),
+""",
+    ),
+    "ab_opt_outs": _sql(
+        """SELECT arm, count(*) AS pessoas, CAST(sum(saiu) AS BIGINT) AS saidas,
+             round(sum(saiu) / count(*), 9) AS taxa_saidas
+           FROM (SELECT arm, cpf, max(CASE WHEN dia BETWEEN envio_data AND envio_data + 365 THEN 1 ELSE 0 END)
+                   AS saiu
+                 FROM tries LEFT JOIN (SELECT user_id, CAST(ts AS DATE) - 8300 AS dia FROM events
+                                       WHERE event_type = 'error') ON user_id = cpf
+                 GROUP BY 1, 2) GROUP BY 1""",
+        _RATES,
+        _SCORES,
+        _PICKS,
+    ),
+    "bootstrap_by_person": _sql(
+        """SELECT round(o.diff, 9) AS diff, round(o.se, 9) AS se,
+             round(o.diff - high * o.se, 9) AS ci_low, round(o.diff - low * o.se, 9) AS ci_high
+           FROM (SELECT * FROM by_rep WHERE rep = 0) o, (
+             SELECT quantile_cont((r.diff - s.diff) / r.se, 0.025) AS low,
+                    quantile_cont((r.diff - s.diff) / r.se, 0.975) AS high
+             FROM by_rep r, (SELECT diff FROM by_rep WHERE rep = 0) s WHERE r.rep > 0 AND r.se > 0)""",
+        f"""units AS (
+  SELECT CASE WHEN {_uniform("cpf")} < 0.5 THEN 'controle' ELSE 'tratamento' END AS arm,
+         CAST(floor({_uniform("'bucket'", "cpf")} * 200) AS BIGINT) AS bucket, delivered AS y
+  FROM dispatch WHERE delivered IS NOT NULL),
+bucket_sums AS (
+  SELECT arm, bucket, CAST(sum(y) AS DOUBLE) AS y, count(*) AS n FROM units GROUP BY 1, 2),
+replicates AS (
+  SELECT rep, arm, y, n, {_uniform("arm", "bucket", "rep")} AS u
+  FROM bucket_sums, range(0, 5001) r(rep)),
+moments AS (
+  SELECT rep, arm, sum(w * y) AS y, sum(w * n) AS n, sum(w * y * y) AS yy, sum(w * y * n) AS yn,
+         sum(w * n * n) AS nn
+  FROM (SELECT *, CASE WHEN rep = 0 THEN 1.0::DOUBLE ELSE {_STEPS} END AS w FROM replicates) GROUP BY 1, 2),
+by_rep AS (
+  SELECT rep, sum(CASE WHEN arm = 'tratamento' THEN y / n ELSE -y / n END) AS diff,
+         sqrt(sum(greatest(0.0::DOUBLE, (yy - 2 * (y / n) * yn + (y / n) * (y / n) * nn) / (n * n)))) AS se
+  FROM moments WHERE n > 0 GROUP BY rep HAVING count(*) = 2),
+""",
+    ),
+}

@@ -31,6 +31,7 @@ _SCHEMAS = {
     "lineitem": (
         "l_orderkey bigint, l_suppkey bigint, l_shipdate timestamp_ntz"
     ),
+    "events": "ts timestamp_ntz, user_id bigint, event_type string",
 }
 
 

@@ -41,11 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The JVM's file system of a path, and the path as it wants it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_table_path(spark: SparkSession, stem: str) -> str:
     """A path below the shared folder that no other run uses; removed when the session's JVM ends."""
     path = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system, hadoop = file_system(spark, path)
     system.deleteOnExit(hadoop)
     return path
 
@@ -73,3 +78,14 @@ def broadcast_if_small(*tables: DataFrame, max_rows: int = 200_000) -> list[Data
     ]
     found = {row["i"]: row["n"] for row in reduce(DataFrame.union, counts).collect()}
     return [F.broadcast(t) if found[i] <= max_rows else t for i, t in enumerate(tables)]
+
+
+def bucketed(df: DataFrame, key: str, stem: str) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, bucketed by ``key``.
+
+    A join or grouping by ``key`` does not move it; tables bucketed alike join without any exchange.
+    """
+    spark, name = df.sparkSession, f"{stem}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", new_table_path(spark, stem)).saveAsTable(name)
+    return spark.table(name)

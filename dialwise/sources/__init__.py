@@ -4,9 +4,11 @@ from dialwise.sources.parquet import (
     AmbiguousTable,
     TableNotFound,
     find_table,
+    lookup_candidates,
     read_dispatch,
     read_events,
     read_phone_dim,
+    write_candidates,
     write_events,
 )
 
@@ -14,8 +16,10 @@ __all__ = [
     "AmbiguousTable",
     "TableNotFound",
     "find_table",
+    "lookup_candidates",
     "read_dispatch",
     "read_events",
     "read_phone_dim",
+    "write_candidates",
     "write_events",
 ]

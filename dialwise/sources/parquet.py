@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dialwise.schemas import DISPATCH, EVENTS, PHONE_DIM, check_contract
+from dialwise.session import file_system
 
 # Names of the two input tables.
 DISPATCH_TABLE = "base_disparo_mascarado"
@@ -17,6 +21,9 @@ _SHARD = re.compile(r"(-[^-/]*|[_.](part)?-?\d+)?(\.\w+)*$")
 
 _SPARK_FILE = re.compile(r"part-\d{4,}")
 
+# What a table's files or folders may end in without being one.
+_OTHER = (".yml", ".json", ".md", ".csv", ".txt")
+
 
 class TableNotFound(FileNotFoundError):
     """No file below the folder belongs to the table."""
@@ -31,42 +38,69 @@ def _table_of(part: str) -> str:
     return _SHARD.sub("", part, count=1)
 
 
-def _files(spark: SparkSession, root: str) -> list[str]:
-    """Every file below ``root``, at any depth; only names are read."""
-    below = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return [row["path"] for row in below.load(root).select("path").collect()]
+def _entries(spark: SparkSession, folder: str):
+    """(name, path, is a folder) of what lies directly in ``folder``, one after the other."""
+    system, hadoop = file_system(spark, folder)
+    listed = system.listStatusIterator(hadoop)
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            yield name, status.getPath().toString(), status.isDirectory()
+
+
+def _holds_files(spark: SparkSession, folder: str) -> bool:
+    return any(not inner or _holds_files(spark, path) for _, path, inner in _entries(spark, folder))
+
+
+def _matches(spark: SparkSession, root: str, name: str) -> tuple[list, dict[str, list]]:
+    """(path, is a folder) of what bears the table's name, and of what contains it, by its own name.
+
+    A folder that bears the name is not entered: what lies in it, however many files, is the table.
+    """
+    exact: list = []
+    near: dict[str, list] = {}
+    waiting = [(root, False)]
+    while waiting:
+        folder, inside_near = waiting.pop()
+        for own, path, inner in _entries(spark, folder):
+            part = _table_of(own)
+            # In a folder, Spark's own file names say nothing about the table.
+            if not inner and (own.endswith(_OTHER) or folder != root and _SPARK_FILE.match(own)):
+                continue
+            if part == name:
+                if not inner or _holds_files(spark, path):
+                    exact.append((path, inner))
+                continue
+            found = not inside_near and name in part
+            if found and (not inner or _holds_files(spark, path)):
+                near.setdefault(part, []).append((path, inner))
+            if inner:
+                waiting.append((path, inside_near or found))
+    return exact, near
 
 
 def find_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``, with all of its shards, however deep they lie.
 
-    A file belongs to it if its own name or that of a folder above it is the table's, apart from a
-    shard suffix and endings. If none does, names that contain ``name`` count, provided that they
-    all belong to one table; else the error lists what matched.
+    A file or folder belongs to it if its name is the table's, apart from a shard suffix and endings. If
+    none does, names that contain ``name`` count, provided that they all belong to one table; else the
+    error lists what matched. Only folders on the way are listed, one at a time. A folder of the table is
+    read as a whole: folders in it such as ``day=2024-01-01`` are columns, and filters on them skip the
+    others.
     """
     root = root.rstrip("/")
-    exact: list[str] = []
-    near: dict[str, list[str]] = {}
-    # Paths are listed in full, so the part below the root begins where the root's own name ends.
-    tail = "/" + root.split("://", 1)[-1].split("/", 1)[-1].strip("/") + "/"
-    for path in _files(spark, root):
-        below = path.split(tail, 1)[-1] if tail in path else path.rsplit("/", 1)[-1]
-        *folders, own = below.split("/")
-        # Spark's own file names say nothing about the table.
-        named = folders if folders and _SPARK_FILE.match(own) else [*folders, own]
-        parts = [_table_of(part) for part in named]
-        if name in parts:
-            exact.append(path)
-            continue
-        found = next((part for part in parts if name in part), None)
-        if found is not None and not path.endswith((".yml", ".json", ".md", ".csv", ".txt")):
-            near.setdefault(found, []).append(path)
+    exact, near = _matches(spark, root, name)
     if not exact and len(near) > 1:
         raise AmbiguousTable(f"{name} below {root} may be any of {sorted(near)}")
-    files = exact or [path for paths in near.values() for path in paths]
-    if not files:
+    found = exact or [place for places in near.values() for place in places]
+    if not found:
         raise TableNotFound(f"no Parquet file for table {name} below {root}")
-    return spark.read.parquet(*files)
+    files = [path for path, inner in found if not inner]
+    tables = [spark.read.parquet(*files)] if files else []
+    # Each folder is the base of its own partition columns.
+    tables += [spark.read.option("basePath", path).parquet(path) for path, inner in found if inner]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_dispatch(spark: SparkSession, root: str, name: str = DISPATCH_TABLE) -> DataFrame:
@@ -99,3 +133,30 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The attributed events written by :func:`write_events`."""
     events = check_contract(spark.read.parquet(path), EVENTS, path)
     return events.select(*EVENTS.fieldNames())
+
+
+#: Bytes of a row group of the candidates: what a lookup reads at least.
+ROW_GROUP = 1 << 20
+
+
+def write_candidates(candidates: DataFrame, path: str, row_group: int = ROW_GROUP) -> str:
+    """Write the candidates so that the rows of one person lie together and are found without a scan.
+
+    Rows are sorted by person over all files, so the smallest and largest person of a file and of each
+    row group tell a reader to skip it; a Bloom filter of the persons does where that range is wide. A
+    person with many rows fills neighbouring row groups and files.
+    """
+    (
+        candidates.repartitionByRange("cpf", "telefone")
+        .sortWithinPartitions("cpf", "telefone")
+        .write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#cpf", "true")
+        .option("parquet.block.size", str(row_group))
+        .parquet(path)
+    )
+    return path
+
+
+def lookup_candidates(spark: SparkSession, path: str, people: Sequence[int]) -> DataFrame:
+    """The candidates of the given people, from the row groups that may hold them."""
+    return spark.read.parquet(path).where(F.col("cpf").isin(*people))

@@ -14,11 +14,12 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) == set(ORACLE)
+    # The fit with effects has no SQL; tests/test_logit.py compares it with MLlib.
+    assert set(QUERIES) - {"decay_effects"} == set(ORACLE)
     assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, con, name):
     assert compare(con, ORACLE[name], QUERIES[name](spark, SF_DIR)) is None
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dialwise.operators import scoring as sc
 from dialwise.operators.attribution import attribute_system
+from dialwise.operators import rates as rt
 from dialwise.operators.rates import rates_by_system
 from dialwise.plans import tables as t
 from dialwise.plans.catalogue import QUERIES
@@ -77,6 +78,28 @@ def test_attribution_needs_no_job_and_no_sorting_aggregation(spark):
     assert "SortAggregate" not in plan
 
 
+@pytest.mark.parametrize("attributes", [(), ("telefone_ddd",)])
+def test_attribution_scans_each_table_once(spark, tmp_path, attributes):
+    t.dispatch(spark, SF_DIR).write.parquet(f"{tmp_path}/log")
+    t.appearances(spark, SF_DIR).write.parquet(f"{tmp_path}/listed")
+    log, listed = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("log", "listed"))
+    plan = plan_of(attribute_system(log, listed, attributes=attributes))
+    assert len(scans(plan, "id_disparo")) == len(scans(plan, "telefone_mascarado")) == 1
+    # The dispatches move once to their phones, and once more to their ids.
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+    assert sorted(moved) == ["contato_telefone", "contato_telefone", "id_disparo", "phone", "phone"]
+
+
+def test_a_layout_by_phone_joins_without_an_exchange(spark):
+    layout = rt.phone_layout(t.events(spark, SF_DIR), t.phone_system_counts(spark, SF_DIR))
+    joined = rt._by_phone_and_system(layout.totals, layout.systems, 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan_of(joined) and "Bucketed: true" in plan_of(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_small_learned_tables_are_broadcast(spark):
     plan = plan_of(QUERIES["score_candidates"](spark, SF_DIR))
     assert re.search(r"BroadcastHashJoin \[id_sistema_mask", plan)

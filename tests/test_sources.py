@@ -11,9 +11,12 @@ from dialwise.sources import (
     AmbiguousTable,
     TableNotFound,
     find_table,
+    lookup_candidates,
+    parquet,
     read_dispatch,
     read_events,
     read_phone_dim,
+    write_candidates,
     write_events,
 )
 
@@ -74,6 +77,68 @@ def test_no_shard_is_dropped_and_no_other_table_is_read(spark, tmp_path):
     assert find_table(spark, f"{tmp_path}/e", "part").count() == 5
 
 
+def test_partition_columns_of_a_folder_survive_and_prune(spark, tmp_path):
+    days = spark.range(30).selectExpr("id", "id % 5 AS day", "id % 2 AS part")
+    days.write.partitionBy("day").parquet(f"{tmp_path}/raw/log")
+    days.where("day < 2").write.partitionBy("day").parquet(f"{tmp_path}/late/log-new")
+    found = find_table(spark, str(tmp_path), "log")
+    assert set(found.columns) == {"id", "day", "part"} and found.count() == 42
+    one = find_table(spark, f"{tmp_path}/raw", "log").where("day = 3")
+    assert "PartitionFilters: [isnotnull(day" in plan_of(one) and one.count() == 6
+    (tmp_path / "raw" / "empty" / "log").mkdir(parents=True)
+    assert find_table(spark, str(tmp_path), "log").count() == 42
+
+
+def test_folders_of_the_table_are_not_listed(spark, tmp_path, monkeypatch):
+    days = spark.range(40).selectExpr("id", "id % 20 AS day")
+    days.write.partitionBy("day").parquet(f"{tmp_path}/raw/log")
+    seen = []
+    real = parquet._entries
+
+    def entries(spark, folder):
+        for entry in real(spark, folder):
+            seen.append(entry[0])
+            yield entry
+
+    monkeypatch.setattr(parquet, "_entries", entries)
+    assert find_table(spark, str(tmp_path), "log").count() == 40
+    # The way to the table, and its first file, which shows that it is not empty.
+    assert len(seen) <= 5
+
+
+def scanned(df) -> tuple[int, int]:
+    """Rows that the scan of a plan gave, and files that it read."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().apply(0)
+    metrics = node.metrics()
+    return tuple(metrics.apply(m).value() for m in ("numOutputRows", "numFiles"))
+
+
+def test_a_lookup_reads_only_row_groups_that_may_hold_the_person(spark):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(
+        "pmod(xxhash64(id), 50000) * 2 AS cpf", "id AS telefone", "id % 9 AS id_sistema_mask",
+        "TIMESTAMP_NTZ'2024-01-01' AS registro_data_atualizacao", "'21' AS telefone_ddd",
+    )
+    hot = spark.range(60_000).selectExpr(
+        "70000L AS cpf", "id AS telefone", "1L AS id_sistema_mask",
+        "TIMESTAMP_NTZ'2024-01-01' AS registro_data_atualizacao", "'21' AS telefone_ddd",
+    )
+    table = rows.unionByName(hot)
+    path = write_candidates(table, new_table_path(spark, "candidates"), row_group=64 << 10)
+    files = len(spark.read.parquet(path).inputFiles())
+    for person in (10, 99_998, 70_000):
+        found = lookup_candidates(spark, path, [person])
+        assert found.count() == table.where(F.col("cpf") == person).count() > 0
+        read, opened = scanned(lookup_candidates(spark, path, [person]))
+        assert opened <= files
+        assert read < (110_000 if person == 70_000 else 40_000)
+    # Odd persons lie between the smallest and largest of a row group; the Bloom filter knows better.
+    assert scanned(lookup_candidates(spark, path, [10_001]))[0] == 0
+    assert lookup_candidates(spark, path, []).count() == 0
+
+
 def test_names_of_several_tables_are_an_error(spark, tmp_path):
     rows(spark, f"{tmp_path}/sales_2023x.parquet", 1)
     rows(spark, f"{tmp_path}/sales_old.parquet", 1)
