@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -67,7 +68,8 @@ def sample_size(
 
 
 # Coefficients, highest power first, of the published rational approximation to the normal
-# distribution (Hart 1968; double precision), and the point from which a continued fraction is used.
+# distribution (Hart 1968; double precision), and the point from which a continued fraction is used, with
+# so many steps.
 NORMAL_TOP = [
     0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
     221.213596169931, 220.206867912376,
@@ -76,12 +78,12 @@ NORMAL_BOTTOM = [
     0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
     637.333633378831, 793.826512519948, 440.413735824752,
 ]
-NORMAL_FAR = 7.07106781186547
+NORMAL_FAR, NORMAL_STEPS = 5.0, 40
 
 
 def upper_tail(z: Column) -> Column:
-    """The chance that a standard normal value exceeds ``z``, to about 15 digits."""
-    x = F.abs(z)
+    """The chance that a standard normal value exceeds ``z``, to about 9 digits however small it is."""
+    x = F.abs(z.cast("double"))
 
     def power_sum(factors: list[float]) -> Column:
         total = F.lit(factors[0])
@@ -89,10 +91,10 @@ def upper_tail(z: Column) -> Column:
             total = total * x + F.lit(factor)
         return total
 
-    fraction = x + F.lit(0.65)
-    for step in (4.0, 3.0, 2.0, 1.0):
-        fraction = x + F.lit(step) / fraction
-    far = F.exp(-x * x / 2) / fraction / F.lit(2.506628274631)
+    fraction = x
+    for step in range(NORMAL_STEPS, 0, -1):
+        fraction = x + F.try_divide(F.lit(float(step)), fraction)
+    far = F.exp(-x * x / 2) / fraction / F.lit(math.sqrt(2 * math.pi))
     near = F.exp(-x * x / 2) * power_sum(NORMAL_TOP) / power_sum(NORMAL_BOTTOM)
     tail = F.when(x < NORMAL_FAR, near).otherwise(far)
     return F.when(z < 0, 1 - tail).otherwise(tail)

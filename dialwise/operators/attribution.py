@@ -151,12 +151,14 @@ def enrich_dispatch(
     lonely = F.when(
         F.col("contato_telefone").isNull(), F.pmod(F.xxhash64("id_disparo", "cpf"), F.lit(_NO_PHONE)) + 1
     ).otherwise(F.lit(0))
+    # 0 for every phone, but no constant, so that it stays a key of the join: both sides then come from
+    # their shuffles, which adaptive execution needs to split a phone that holds most dispatches.
     histories = phone_histories(appearances, null_dates, attributes).withColumnRenamed(
         "phone", "contato_telefone"
-    )
+    ).withColumn("spread", F.expr("fan_out % 1"))
     found = (
         sent.withColumn("spread", lonely)
-        .join(histories.withColumn("spread", F.lit(0).cast("bigint")), ["contato_telefone", "spread"], "left")
+        .join(histories, ["contato_telefone", "spread"], "left")
         .withColumn("state", F.expr(state_on("envio_data")))
         .withColumn("won", F.expr("coalesce(state.valid, any)"))
     )

@@ -466,7 +466,7 @@ def clustered_rate_diff(
     sign = F.when(F.col("arm") == arm_a, F.lit(1.0)).otherwise(F.lit(-1.0))
     by_rep = arms.groupBy("rep").agg(
         F.when(F.count("rate") == 2, F.sum(sign * F.col("rate"))).alias("diff"),
-        F.sqrt(F.sum("spread")).alias("se"),
+        F.when(F.count("rate") == 2, F.sqrt(F.sum("spread"))).alias("se"),
     )
     by_rep = frozen(by_rep, "replicates")
     seen = by_rep.where("rep = 0").agg(F.struct(F.max("diff").alias("diff"), F.max("se").alias("se")).alias("o"))

@@ -75,7 +75,7 @@ def _sums(numbers: list[str], levels: dict[str, list[str]], values: np.ndarray):
             curvature += (x * (n * p * (1 - p))[:, None]).T @ x
             loss += float((n * np.logaddexp(0, score) - s * score).sum())
         flat = np.concatenate([gradient, curvature.ravel(), [loss]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["place", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["place", "value"])
 
     return run
 

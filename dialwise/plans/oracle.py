@@ -10,7 +10,7 @@ import math
 
 from dialwise.functions.ages import AGE_BUCKETS
 from dialwise.functions.chance import poisson_steps
-from dialwise.functions.rates import NORMAL_BOTTOM, NORMAL_FAR, NORMAL_TOP, normal_quantile
+from dialwise.functions.rates import NORMAL_BOTTOM, NORMAL_FAR, NORMAL_STEPS, NORMAL_TOP, normal_quantile
 
 _LN2 = repr(math.log(2.0))
 
@@ -619,12 +619,12 @@ def _upper_tail(z: str) -> str:
             total = f"({total} * abs({z}) + {factor!r})"
         return total
 
-    fraction = f"(abs({z}) + 0.65)"
-    for step in (4.0, 3.0, 2.0, 1.0):
-        fraction = f"(abs({z}) + {step} / {fraction})"
+    fraction = f"abs({z})"
+    for step in range(NORMAL_STEPS, 0, -1):
+        fraction = f"(abs({z}) + {float(step)} / {fraction})"
     density = f"exp(-{z} * {z} / 2)"
     tail = f"""CASE WHEN abs({z}) < {NORMAL_FAR!r} THEN {density} * {powers(NORMAL_TOP)} / {powers(NORMAL_BOTTOM)}
-                    ELSE {density} / {fraction} / 2.506628274631 END"""
+                    ELSE {density} / {fraction} / {math.sqrt(2 * math.pi)!r} END"""
     return f"(CASE WHEN {z} < 0 THEN 1 - ({tail}) ELSE {tail} END)"
 
 

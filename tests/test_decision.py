@@ -17,9 +17,10 @@ DAY = date(2024, 1, 1)
 
 def test_upper_tail_matches_the_normal_distribution(spark):
     points = [-40.0, -9.0, -7.2, -3.0, -0.1, 0.0, 0.5, 1.6448536269514722, 4.0, 7.05, 7.1, 9.5, 20.0]
-    rows = spark.createDataFrame([(z,) for z in points], "z double").select("z", upper_tail(F.col("z")).alias("p"))
+    rows = spark.createDataFrame([(z,) for z in points], "z double")
+    rows = rows.select("z", upper_tail(F.col("z")).alias("p"))
     for z, p in rows.collect():
-        assert p == pytest.approx(NormalDist().cdf(-z), rel=1e-9, abs=1e-300)
+        assert p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-9, abs=1e-300)
     assert spark.createDataFrame([(None,)], "z double").select(upper_tail(F.col("z"))).first()[0] is None
 
 
@@ -59,7 +60,7 @@ def test_a_person_counts_from_the_first_attempt_and_the_first_delivery(spark):
 
 
 def test_daily_looks_keep_the_level_and_find_a_difference(spark):
-    """120 experiments without a difference, each looked at on 40 days: few ever cross the bound."""
+    """Experiments without a difference, each looked at on 40 days, hardly ever cross the bound."""
     rng = random.Random(11)
 
     def tries(lift, seeds):
@@ -79,8 +80,8 @@ def test_daily_looks_keep_the_level_and_find_a_difference(spark):
             stops += looks.agg(F.max("stop")).first()[0]
         return stops
 
-    assert crossed(tries(0.0, range(12)), range(12)) <= 2
-    assert crossed(tries(0.25, range(4)), range(4)) == 4
+    assert crossed(tries(0.0, range(8)), range(8)) <= 1
+    assert crossed(tries(0.25, range(2)), range(2)) == 2
 
 
 def test_opt_outs_count_people_once(spark):
@@ -106,15 +107,15 @@ def clusters(rng, spark, people=400):
 def test_intervals_by_person_cover_where_those_by_dispatch_do_not(spark):
     rng = random.Random(21)
     covered = naive = 0
-    for seed in range(12):
+    for seed in range(5):
         units = clusters(rng, spark)
-        row = ex.clustered_rate_diff(units, n_boot=400, seed=seed).first()
+        row = ex.clustered_rate_diff(units, n_boot=200, seed=seed).first()
         covered += row["ci_low"] <= 0 <= row["ci_high"]
         by_row = units.withColumn("unit", F.monotonically_increasing_id())
-        wrong = ex.bootstrap_rate_diff(by_row, n_boot=400, seed=seed).first()
+        wrong = ex.bootstrap_rate_diff(by_row, n_boot=200, seed=seed).first()
         naive += wrong["ci_low"] <= 0 <= wrong["ci_high"]
         assert row["ci_high"] - row["ci_low"] > 1.8 * (wrong["ci_high"] - wrong["ci_low"])
-    assert covered >= 10 and covered >= naive
+    assert covered >= 4 and covered >= naive
 
 
 def test_resampling_without_an_arm_or_rows_gives_nan(spark):

@@ -79,7 +79,8 @@ def test_attribution_needs_no_job_and_no_sorting_aggregation(spark):
 
 
 @pytest.mark.parametrize("attributes", [(), ("telefone_ddd",)])
-def test_attribution_scans_each_table_once(spark, tmp_path, attributes):
+def test_attribution_scans_each_table_once(spark, settings, tmp_path, attributes):
+    settings(spark__sql__maxMetadataStringLength="2000", spark__sql__autoBroadcastJoinThreshold="-1")
     t.dispatch(spark, SF_DIR).write.parquet(f"{tmp_path}/log")
     t.appearances(spark, SF_DIR).write.parquet(f"{tmp_path}/listed")
     log, listed = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("log", "listed"))

@@ -36,6 +36,14 @@ SENT = [(i, i % 7, 10 + i % 5, at(i % 6, i % 3), ["read", "failed", None][i % 3]
 LISTED = [(10 + p, "21", s, at(-30 + 9 * s), 1) for p in range(4) for s in range(3)]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def store(spark):
     return EventStore(spark, new_table_path(spark, "store"))
@@ -119,10 +127,9 @@ def test_rows_that_share_an_id_over_days(spark, store):
     check(store, dispatch(spark, fewer), appearances(spark, more))
 
 
-@pytest.mark.parametrize("null_dates", ["first", "last"])
-def test_random_updates_equal_a_full_rebuild(spark, null_dates):
-    rng = random.Random(null_dates)
-    store = EventStore(spark, new_table_path(spark, "store"), null_dates)
+def test_random_updates_equal_a_full_rebuild(spark):
+    rng = random.Random(5)
+    store = EventStore(spark, new_table_path(spark, "store"), "last")
     sent, listed = [], []
     for _ in range(2):
         sent = [r for r in sent if rng.random() > 0.05]
