@@ -4,8 +4,10 @@ From the syntax tree of each rule's regular expression a Boolean trigram query i
 sets of trigrams that all must occur. The index holds the postings of the trigrams that some query
 asks for (case folded), in blocks of consecutive ids, so a posting list has at most ``BLOCK`` ids
 however frequent its trigram is. Per block the lists are intersected and united as the queries say;
-the texts of the resulting candidates are then verified with the full expressions. A rule that implies
-no trigram scans every text.
+the resulting candidates come to the texts as bitmaps, and are then verified with the full expressions.
+A rule that implies no trigram scans every text.
+
+The work on a text grows in proportion to its length and its matches.
 
 Defined cases: a null text counts as empty; rows without an id are candidates of every rule; repeated
 rows give repeated results; an empty table gives an empty result; other columns are ignored by
@@ -22,9 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.llm.common import filled, fresh
+from dialwise.session import frozen
 
 BLOCK_BITS = 10
 BLOCK = 1 << BLOCK_BITS
+#: Ids of a bitmap of candidates, and how many bitmaps of a rule are broadcast: 16 MB for 134 million ids.
+WIDE_BITS, WIDE_BLOCKS = 15, 4096
+#: Matches whose lengths are added up at once.
+RUN = 256
 #: Sets of strings that a part of an expression may match are followed up to this size.
 EXACT = 64
 
@@ -171,41 +178,88 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """start, kind and end of the matches, in code points, from the pieces between and the matches."""
+    """start, kind and end of the matches, in code points, from the pieces between and the matches.
+
+    Lengths are added up in runs of ``RUN`` matches, and the runs' own lengths after that: appending to
+    an array copies it, so a single fold would grow with the square of the matches.
+    """
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1),
         F.regexp_extract_all(text, pattern, F.lit(0)),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    span_type = "struct<start:int,kind:int,end:int>"
+    begin_run = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span_type}>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span_type}>>").alias("out"))
 
     def step(so_far: Column, x: Column) -> Column:
-        begin = so_far["at"] + F.length(x["0"])
-        end = begin + F.coalesce(F.length(x["1"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(place).alias("kind"), end.alias("end"))
+        start = so_far["at"] + F.length(x["0"])
+        end = start + F.coalesce(F.length(x["1"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(place).alias("kind"), end.alias("end"))
         out = F.when(F.length(x["2"]) >= rule.least, F.array_append(so_far["out"], span))
         return F.struct(end.alias("at"), out.otherwise(so_far["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda x: x["out"])
+    def add(so_far: Column, run: Column) -> Column:
+        at = so_far["at"]
+        moved = F.transform(
+            run["out"],
+            lambda s: F.struct(
+                (s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")
+            ),
+        )
+        return F.struct((at + run["at"]).alias("at"), F.array_append(so_far["out"], moved).alias("out"))
+
+    def spans(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.aggregate(F.slice(all_, i, F.lit(RUN)), begin_run, step))
+        return F.flatten(F.aggregate(runs, begin, add, lambda x: x["out"]))
+
+    # As the element of an array, the parts are computed once for all runs.
+    return F.get(F.transform(F.array(parts), spans), F.lit(0))
+
+
+def _bitmaps(hits: DataFrame, kinds: list[str]) -> DataFrame:
+    """wide block, and per kind a bitmap of its candidates: 4 KB for ``1 << WIDE_BITS`` ids."""
+    place = F.col("candidate_id").bitwiseAND(F.lit((1 << WIDE_BITS) - 1))
+    return hits.groupBy(F.shiftright("candidate_id", WIDE_BITS).alias("block")).agg(
+        *[F.bitmap_construct_agg(F.when(F.col(k), place)).alias(k) for k in kinds]
+    )
+
+
+def _holds(bitmap: Column, number: Column) -> Column:
+    """Whether the bit of an id is set."""
+    place = number.bitwiseAND(F.lit((1 << WIDE_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    # Two to the power of the bit, as shifts take no column.
+    return byte.cast("int").bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0
+
+
+def _marked(docs: DataFrame, indexed: dict[str, Query], id_col: str, text_col: str) -> tuple:
+    """``docs`` with a flag per indexed rule that says whether the row is a candidate.
+
+    The candidates are bitmaps; up to ``WIDE_BLOCKS`` of them for each rule are broadcast (4 KB each), so
+    that texts stay where they are. Beyond that, texts and candidates meet by a shuffle.
+    """
+    index = postings(docs, sorted({t for q in indexed.values() for a in q for t in a}), id_col, text_col)
+    hits = frozen(candidates(index, indexed), "candidates")
+    bitmaps = frozen(_bitmaps(hits, list(indexed)), "bitmaps")
+    key, *names = fresh(docs, "candidate_id", *indexed)
+    if bitmaps.count() <= WIDE_BLOCKS:
+        found = F.broadcast(bitmaps.toDF(key, *names))
+        rows = docs.join(found, F.shiftright(F.col(id_col).cast("long"), WIDE_BITS) == F.col(key), "left")
+        held = {kind: _holds(F.col(name), F.col(id_col).cast("long")) for kind, name in zip(indexed, names)}
+    else:
+        rows = docs.join(hits.toDF(key, *names), F.col(id_col) == F.col(key), "left")
+        held = {kind: F.col(name) for kind, name in zip(indexed, names)}
+    return rows, {kind: F.coalesce(flag, F.col(id_col).isNull()) for kind, flag in held.items()}
 
 
 def _scanned(docs: DataFrame, rules, id_col: str, text_col: str, name: str) -> DataFrame:
     """``docs`` with one more column: the array of all verified spans of each row."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: q for kind, q in queries.items() if frozenset() not in q}
-    flags: dict[str, Column] = {}
-    rows = docs
-    if indexed:
-        index = postings(
-            docs, sorted({t for q in indexed.values() for a in q for t in a}), id_col, text_col
-        )
-        key, *names = fresh(docs, "candidate_id", *indexed)
-        hits = candidates(index, indexed).toDF(key, *names)
-        rows = docs.join(hits, F.col(id_col) == F.col(key), "left")
-        for kind, flag in zip(indexed, names):
-            flags[kind] = F.coalesce(F.col(flag), F.col(id_col).isNull())
+    rows, flags = _marked(docs, indexed, id_col, text_col) if indexed else (docs, {})
     text = filled(text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = [

@@ -89,3 +89,27 @@ def test_postings_hold_all_places_of_a_trigram(spark):
 def test_no_python_runs_in_the_plan(spark):
     plan = QUERIES["op1_secret_scan"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_very_many_matches_in_a_text(spark):
+    """400,000 matches take seconds: the work grows with the matches, not with their square."""
+    import time
+
+    unit = f"{SECRET} token=short AKIA{'B' * 12} é "
+    rows = [(1, unit * 133_400), (2, ("secret=abcdefgh" + " " * 3) * (secrets.RUN + 1)), (3, "x" + SECRET)]
+    start = time.process_time()
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert time.process_time() - start < 60
+    assert sum(found[1][f"n_{k}"] for k in ("assign", "access", "hex")) == 3 * 133_400
+    for i, text in rows:
+        assert found[i]["spans"] == spans_by_hand(text)
+
+
+def test_candidates_by_bitmap_and_by_shuffle_are_the_same(spark, monkeypatch):
+    rows = [(i * 7919 - 40_000, t) for i, t in enumerate(HARD * 3)] + [(None, SECRET), (2**62, SECRET)]
+    table = docs(spark, rows)
+    by_bitmap = sorted(map(repr, secrets.scan_secrets(table).collect()))
+    monkeypatch.setattr(secrets, "WIDE_BLOCKS", 0)
+    assert by_bitmap == sorted(map(repr, secrets.scan_secrets(table).collect()))
+    want = sorted(spans_by_hand(t) for _, t in rows)
+    assert sorted(r["spans"] for r in secrets.scan_secrets(table).collect()) == want
