@@ -12,10 +12,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of every node, as a table of its own: adaptive execution splits a hub's
+    rows in a join only where both sides come straight from their shuffles."""
+    return frozen(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang the larger neighbours of every node on its smallest neighbour (or itself)."""
     near = _both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(near)
     return (
         near.where("b > a")
         .join(least, "a")
@@ -27,7 +33,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang the smaller neighbours of every node, and itself, on the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
@@ -37,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars alternate until no edge changes; each round is a table in the shared
     folder, so no lineage grows. A node with very many neighbours is pre-aggregated before the
-    shuffle, and adaptive execution splits its partition in the join.
+    shuffle, and adaptive execution splits its partition in the join with the smallest neighbours.
     """
     edges = frozen(edges.where("a != b").distinct(), "edges")
     state = None

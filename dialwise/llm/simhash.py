@@ -30,7 +30,6 @@ from pyspark.sql.types import LongType
 
 from dialwise.llm.common import filled, fresh
 from dialwise.llm.components import components
-from dialwise.llm.jaccard import alike_links, n_bands, set_of
 from dialwise.session import frozen
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -40,10 +39,10 @@ GOLAY, LENGTH, RADIUS = 0xC75, 23, 3
 LIMIT = 4096
 
 
-def fingerprint(text: bytes) -> int:
-    """The 64-bit SimHash of the text's three-word shingles, unsigned."""
+def fingerprint(text: bytes, size: int = WORDS) -> int:
+    """The 64-bit SimHash of the text's shingles of ``size`` words, unsigned."""
     words = text.lower().split()
-    n = len(words) - WORDS + 1
+    n = len(words) - size + 1
     joined = b" ".join(words)
     if not words:
         return 0
@@ -52,21 +51,21 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends[: n - 1]]
     hashes = [
-        xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[WORDS - 1 :])
+        xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])
     ]
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1)
     most = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > n
     return int(np.packbits(most).view("<u8")[0])
 
 
-def _fingerprints(text: pa.Array) -> pa.Array:
-    out = np.fromiter((fingerprint(t.encode()) for t in text.to_pylist()), np.uint64, len(text))
-    return pa.array(out.view(np.int64))
+def fingerprint_of(text: Column, size: int = WORDS) -> Column:
+    """The fingerprints of a column of texts without nulls, as signed 64-bit numbers."""
 
+    def run(text: pa.Array) -> pa.Array:
+        found = (fingerprint(t.encode(), size) for t in text.to_pylist())
+        return pa.array(np.fromiter(found, np.uint64, len(text)).view(np.int64))
 
-def fingerprint_of(text: Column) -> Column:
-    """The fingerprints of a column of texts without nulls, as signed 64-bit numbers."""
-    return F.arrow_udf(_fingerprints, LongType())(text)
+    return F.arrow_udf(run, LongType())(text)
 
 
 def _syndrome(words: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -224,25 +223,22 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.where("b IS NOT NULL").unionByName(_by_middle_words(crowded))
 
 
-def component_of_fingerprints(prints: DataFrame, more=None) -> DataFrame:
-    """fp, root and component_id (smallest doc_id of the component) from rows of doc_id and fp.
-
-    ``more`` gives further links of fingerprints from these."""
+def component_of_fingerprints(prints: DataFrame) -> DataFrame:
+    """fp, root and component_id (smallest doc_id of the component) from rows of doc_id and fp."""
     classes = frozen(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    near = links(classes)
-    if more:
-        near = frozen(near, "near")
-        near = near.unionByName(more(near))
-    roots = components(near).select(F.col("node").alias("fp"), "root")
+    roots = components(links(classes)).select(F.col("node").alias("fp"), "root")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return frozen(placed.select("fp", "root").join(whole, "root"), "groups")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of shingles of ``words`` words) and component_id of every row
+    of ``docs``."""
     prints = docs.select(
-        F.col(id_col).alias("doc_id"), fingerprint_of(filled(text_col)).alias("fp")
+        F.col(id_col).alias("doc_id"), fingerprint_of(filled(text_col), words).alias("fp")
     )
     prints = frozen(prints, "fingerprints")
     return prints.join(component_of_fingerprints(prints), "fp").select(
@@ -251,32 +247,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int | None = None,
-    similarity: float | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
 ) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, of equal ids the smallest
-    fingerprint, then text. All columns are kept.
-
-    With ``words`` and ``similarity``, texts whose sets of shingles of so many words have at least that
-    Jaccard similarity are linked too."""
+    fingerprint, then text. All columns are kept."""
     key, place = fresh(docs, "fp", "place")
-    marked = docs.withColumn(key, fingerprint_of(filled(text_col)))
-    columns, more = [F.col(id_col).alias("doc_id"), F.col(key).alias("fp")], None
-    if similarity:
-        columns.append(set_of(filled(text_col), words, n_bands(similarity)).alias("set"))
-        texts = docs.select(F.col(id_col).alias("id"), filled(text_col).alias("text"))
-
-        def more(near: DataFrame) -> DataFrame:
-            sets = prints.select(F.col("doc_id").alias("id"), "fp", "set.s", "set.bands")
-            return alike_links(texts, sets, near, words, similarity)
-
-    prints = frozen(marked.select(*columns), "fingerprints")
+    marked = docs.withColumn(key, fingerprint_of(filled(text_col), words))
+    prints = frozen(
+        marked.select(F.col(id_col).alias("doc_id"), F.col(key).alias("fp")), "fingerprints"
+    )
     kept_id, kept_fp = fresh(marked, "kept_id", "kept_fp")
     chosen = (
-        prints.select("doc_id", "fp").join(component_of_fingerprints(prints, more), "fp")
+        prints.join(component_of_fingerprints(prints), "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root", "component_id")
         .agg(F.min("fp").alias(kept_fp))

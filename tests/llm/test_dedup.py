@@ -197,36 +197,3 @@ def test_components_of_a_path_and_a_star(spark):
     found = {r["node"]: r["root"] for r in components(frame).collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[1000 + i] == 1000 for i in range(81))
     assert 7000 not in found
-
-
-def likeness_by_hand(a, b):
-    sets = []
-    for t in (a, b):
-        words = t.lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_near_copies_by_shingles_match_brute_force(spark, monkeypatch):
-    rng = random.Random(6)
-    rows = []
-    for group in range(12):
-        words = [f"w{rng.randrange(5000)}" for _ in range(60 + 10 * group)]
-        for _ in range(8):
-            # From copy to copy a few words change, so the first and the last need each other's links.
-            words = list(words)
-            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(words)))
-    rng.shuffle(rows)
-    root = {i: i for i, _ in rows}
-    links, near = 0, {i: fingerprint_by_hand(t) for i, t in rows}
-    for i, t in rows:
-        for j, u in rows:
-            close = (near[i] ^ near[j]).bit_count() <= 2
-            if i < j and (close or likeness_by_hand(t, u) >= 0.8):
-                links += not close
-                old, new = sorted((root[i], root[j]))[::-1]
-                root = {k: new if r == old else r for k, r in root.items()}
-    kept = simhash.drop_near_duplicates(docs(spark, rows), words=5, similarity=0.8)
-    assert links > 100 and kept.columns == docs(spark, []).columns
-    assert {r["doc_id"] for r in kept.collect()} == set(root.values())
