@@ -215,3 +215,31 @@ def test_without_training_rows_and_without_rows(spark):
         (i, True, 5, 0, 0, 0.0, 0.0) for i in held
     ])
     assert lm.score(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_scores_match_a_slow_scorer_over_every_passage(spark):
+    """The learnt model applied word by word, n-gram by n-gram and passage by passage."""
+    rows, labels = made_up(120)
+    rows += [(1000 + (i or 0), t) for i, t in ODD if t is None or len(t) < 5000]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.learn(docs(spark, rows), table)
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs(spark, rows), table).collect()}
+
+    def word(w):
+        marked = b"<%b>" % w
+        total, grams = 0.0, 0
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                code = sum(c * pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k, c in enumerate(marked[i : i + n]))
+                code = (code + n) * 0xD6E8FEB86659FD93 % (1 << 64) >> 46
+                total += float(model.weight[code % toxicity.BUCKETS])
+                grams += 1
+        return total / grams
+
+    for i, text in rows:
+        words = [word(w) for w in dict.fromkeys((text or "").lower().encode().split())]
+        size = toxicity.WINDOW
+        ends = [*range(0, max(len(words) - size, 0), toxicity.STEP), max(len(words) - size, 0)]
+        means = [sum(words[a : a + size]) / len(words[a : a + size]) for a in ends] if words else [0.0]
+        want = 1 / (1 + math.exp(-max(-50, min(50, max(means) + model.bias))))
+        assert found[i] == pytest.approx(want, rel=1e-4, abs=1e-9)
