@@ -91,19 +91,22 @@ def _first_load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _store(spark: SparkSession, d: str) -> EventStore:
-    """An event store loaded in two steps; the log has few dispatches a day, so it is kept by month."""
-    store = EventStore(spark, new_table_path(spark, "store"), unit="month")
-    store.update(*_first_load(spark, d))
-    store.update(t.dispatch(spark, d), t.appearances(spark, d))
-    return store
+    """A new event store; the log has few dispatches a day, so it is kept by month."""
+    return EventStore(spark, new_table_path(spark, "store"), unit="month")
 
 
 def events_incremental(spark: SparkSession, d: str) -> DataFrame:
-    return _store(spark, d).read()
+    """The events of a store loaded in two steps."""
+    store = _store(spark, d)
+    store.update(*_first_load(spark, d))
+    store.update(t.dispatch(spark, d), t.appearances(spark, d))
+    return store.read()
 
 
 def profile_system_rates(spark: SparkSession, d: str) -> DataFrame:
-    profile = _store(spark, d).read("profiles")
+    store = _store(spark, d)
+    store.update(t.dispatch(spark, d), t.appearances(spark, d))
+    profile = store.read("profiles")
     return pf.system_rates(profile).select("id_sistema_mask", *_rate())
 
 

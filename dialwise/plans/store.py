@@ -32,8 +32,6 @@ from dialwise.session import file_system, frozen
 #: The column that periods are kept by, and their lengths as SQL.
 PERIOD = "periodo"
 UNITS = {"day": "envio_data", "month": "trunc(envio_data, 'MM')"}
-#: The folders that hold one folder per period.
-BY_PERIOD = ("events", "profiles", "people")
 
 
 @dataclass(frozen=True)
@@ -144,12 +142,11 @@ class EventStore:
             return like.limit(0)
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/versions/{version}/{name}")
 
-    def _replace(self, name: str, table: DataFrame, periods: set) -> None:
+    def _replace(self, name: str, table: DataFrame, periods: set, kept: set) -> None:
         path, table = f"{self.path}/{name}", table.withColumn(PERIOD, self.period)
         out = table.hint("rebalance", PERIOD).write.mode("overwrite").partitionBy(PERIOD)
         out.option("partitionOverwriteMode", "dynamic").parquet(path)
         # A period that lost its last row has no new folder to replace the old one.
-        kept = _periods(table.select(PERIOD).distinct())
         for period in periods - kept:
             folder = "__HIVE_DEFAULT_PARTITION__" if period is None else period.isoformat()
             system, gone = file_system(self.spark, f"{path}/{PERIOD}={folder}")
@@ -175,8 +172,11 @@ class EventStore:
         events = attribute_system(rows, appearances, self.null_dates, unique_ids=self.unique_ids)
         here = events.withColumn(PERIOD, self.period).where(_in(periods))
         events = frozen(here.select(*EVENTS.fieldNames()), "new-events")
-        for name, table in zip(BY_PERIOD, (events, daily_profile(events), people_sketches(events))):
-            self._replace(name, table, periods)
+        here = events.groupBy(self.period.alias(PERIOD)).agg(F.count("cpf").alias("people")).collect()
+        kept = {r[PERIOD] for r in here}
+        self._replace("events", events, periods, kept)
+        self._replace("profiles", daily_profile(events), periods, kept)
+        self._replace("people", people_sketches(events), periods, {r[PERIOD] for r in here if r["people"]})
         system, mark = file_system(self.spark, f"{new_version}/_COMPLETE")
         system.create(mark).close()
         in_order = tuple(sorted(periods, key=lambda d: (d is not None, d or dt.date.min)))

@@ -162,8 +162,8 @@ def test_an_update_that_broke_off_is_done_again(spark, store, monkeypatch):
     more = SENT + [(100, 1, 10, at(6), "read")]
     real = store._replace
 
-    def fails(name, table, periods):
-        real(name, table, periods)
+    def fails(*args):
+        real(*args)
         raise RuntimeError("lost")
 
     monkeypatch.setattr(store, "_replace", fails)
