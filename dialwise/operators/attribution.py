@@ -63,10 +63,12 @@ def _per_day(appearances: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Per phone, first usable day and update day: the smallest system and the number of rows.
 
     Without attributes all columns have a fixed width, so this is a hash aggregation with map-side
-    combine. The attributes are those of the smallest row of all attributes, whichever are asked for.
+    combine. Its key is one struct, so that rows which lie by phone already still move between its two
+    halves: a task then holds the days once, not in two hash tables and the sort of the windows. The
+    attributes are those of the smallest row of all attributes, whichever are asked for.
     """
     best = [F.min(F.struct(*PHONE_ATTRIBUTES)).alias("of_phone")] if attributes else []
-    return (
+    rows = (
         appearances.where("telefone_mascarado IS NOT NULL")
         .selectExpr(
             "telefone_mascarado AS phone",
@@ -75,9 +77,13 @@ def _per_day(appearances: DataFrame, attributes: Sequence[str]) -> DataFrame:
             f"coalesce(id_sistema_mask, {_NO_SYSTEM}) AS system",
             *(PHONE_ATTRIBUTES if attributes else ()),
         )
-        .groupBy("phone", "dia", "updated")
-        .agg(F.min("system").alias("system"), F.count(F.lit(1)).alias("listed"), *best)
     )
+    keys = ["phone", "dia", "updated"]
+    totals = [F.min("system").alias("system"), F.count(F.lit(1)).alias("listed"), *best]
+    if attributes:
+        return rows.groupBy(*keys).agg(*totals)
+    keyed = rows.select(F.struct(*keys).alias("phone"), "system")
+    return keyed.groupBy("phone").agg(*totals).select("phone.*", "system", "listed")
 
 
 def phone_histories(
@@ -95,9 +101,12 @@ def phone_histories(
     phone = "PARTITION BY phone"
     so_far = f"{phone} ORDER BY dia NULLS FIRST, updated ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     choice = f"struct({_LATEST_FIRST[null_dates]} AS first, system, updated)"
+    days = _per_day(appearances, attributes)
+    if not attributes:
+        # The order of the windows, made before their rows grow by the choice.
+        days = days.repartition("phone").sortWithinPartitions("phone", "dia", "updated")
     states = (
-        _per_day(appearances, attributes)
-        .withColumn("choice", F.expr(choice))
+        days.withColumn("choice", F.expr(choice))
         .selectExpr(
             "*",
             # Rows without a day are never valid.

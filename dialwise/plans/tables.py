@@ -68,13 +68,16 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phone, system, update date and owner of every appearance; copies add nothing."""
+    """Phone, system, update date and owner of every appearance; copies add nothing.
+
+    The narrow orders are hashed, so the lines, four times as many, are not sorted for the join.
+    """
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
     suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
     return (
         lines.join(suppliers, "l_suppkey")
-        .join(orders, "l_orderkey")
+        .join(orders.hint("shuffle_hash"), "l_orderkey")
         .selectExpr(
             "o_custkey AS telefone_numero",
             "CAST(s_nationkey AS BIGINT) AS id_sistema",
@@ -145,10 +148,14 @@ def phone_system_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dimension in flat form, as ``explode_appearances`` gives it, without building lists."""
+def appearances(spark: SparkSession, sf_dir: str, hashed: bool = False) -> DataFrame:
+    """The dimension in flat form, as ``explode_appearances`` gives it, without building lists.
+
+    ``hashed`` has a task hash its phones, so that their many appearances are not sorted for the join.
+    """
+    owners = phones(spark, sf_dir)
     return (
-        phones(spark, sf_dir)
+        (owners.hint("shuffle_hash") if hashed else owners)
         .join(_listings(spark, sf_dir), "telefone_numero", "left")
         .withColumnsRenamed(
             {
@@ -163,7 +170,7 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
     """The attributed events with the named phone attributes."""
     return attribute_system(
-        dispatch(spark, sf_dir), appearances(spark, sf_dir), attributes=attributes
+        dispatch(spark, sf_dir), appearances(spark, sf_dir, hashed=True), attributes=attributes
     )
 
 

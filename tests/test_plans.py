@@ -79,6 +79,16 @@ def test_attribution_needs_no_job_and_no_sorting_aggregation(spark):
     assert "SortAggregate" not in plan
 
 
+def test_a_task_of_the_attribution_holds_the_days_of_its_phones_once(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    plan = plan_of(t.events(spark, SF_DIR))
+    days = r"HashAggregate\(keys=\[phone#\d+\], functions=\[min\(system.*\n\W*Exchange hashpartitioning\(phone#"
+    assert len(re.findall(days, plan)) == 1
+    assert len(re.findall(r"Sort \[phone#", plan)) == 1
+    # Neither the lines nor the appearances are sorted for their joins.
+    assert not re.search(r"Sort \[(telefone_numero|l_orderkey)#", plan)
+
+
 @pytest.mark.parametrize("attributes", [(), ("telefone_ddd",)])
 def test_attribution_scans_each_table_once(spark, settings, tmp_path, attributes):
     settings(spark__sql__maxMetadataStringLength="2000", spark__sql__autoBroadcastJoinThreshold="-1")
