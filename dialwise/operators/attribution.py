@@ -156,18 +156,25 @@ def enrich_dispatch(
 
     Like a left join: a dispatch without a phone, or with one the dimension lacks, keeps its row.
     """
+    return answered(dispatch, phone_histories(appearances, null_dates, attributes), attributes)
+
+
+def answered(
+    dispatch: DataFrame, histories: DataFrame, attributes: Sequence[str] = PHONE_ATTRIBUTES
+) -> DataFrame:
+    """As :func:`enrich_dispatch`, from histories that hold the named attributes."""
     sent = with_send_day(dispatch)
     lonely = F.when(
         F.col("contato_telefone").isNull(), F.pmod(F.xxhash64("id_disparo", "cpf"), F.lit(_NO_PHONE)) + 1
     ).otherwise(F.lit(0))
     # 0 for every phone, but no constant, so that it stays a key of the join: both sides then come from
     # their shuffles, which adaptive execution needs to split a phone that holds most dispatches.
-    histories = phone_histories(appearances, null_dates, attributes).withColumnRenamed(
-        "phone", "contato_telefone"
-    ).withColumn("spread", F.expr("fan_out % 1"))
+    by_phone = histories.withColumnRenamed("phone", "contato_telefone").withColumn(
+        "spread", F.expr("fan_out % 1")
+    )
     found = (
         sent.withColumn("spread", lonely)
-        .join(histories, ["contato_telefone", "spread"], "left")
+        .join(by_phone, ["contato_telefone", "spread"], "left")
         .withColumn("state", F.expr(state_on("envio_data")))
         .withColumn("won", F.expr("coalesce(state.valid, any)"))
     )
@@ -199,7 +206,19 @@ def attribute_system(
     Rows that share an id collapse into the one with the better attribution: a shuffle by id with
     a group limit before it. ``unique_ids=True`` promises that ids don't repeat and saves it.
     """
-    chosen = enrich_dispatch(dispatch, appearances, null_dates, attributes)
+    histories = phone_histories(appearances, null_dates, attributes)
+    return events_of_histories(dispatch, histories, null_dates, attributes, unique_ids)
+
+
+def events_of_histories(
+    dispatch: DataFrame,
+    histories: DataFrame,
+    null_dates: str = "first",
+    attributes: Sequence[str] = PHONE_ATTRIBUTES,
+    unique_ids: bool = False,
+) -> DataFrame:
+    """As :func:`attribute_system`, from histories built with the same ``null_dates``."""
+    chosen = answered(dispatch, histories, attributes)
     if not unique_ids:
         chosen = _one_row_per_id(chosen, null_dates)
     from_choice = ["id_sistema_mask", "registro_data_atualizacao"]

@@ -24,7 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialwise.operators.attribution import attribute_system, phone_histories, state_on, with_send_day
+from dialwise.operators.attribution import (
+    events_of_histories,
+    phone_histories,
+    state_on,
+    with_send_day,
+)
 from dialwise.operators.profiles import daily_profile, people_sketches
 from dialwise.schemas import DISPATCH, EVENTS, PHONE_ATTRIBUTES
 from dialwise.session import file_system, frozen
@@ -163,13 +168,16 @@ class EventStore:
             table.write.mode("overwrite").parquet(f"{new_version}/{name}")
         now = {name: self._seen(last + 1, name, table) for name, table in seen}
         old = {name: self._seen(last, name, table) for name, table in seen}
-        changed = frozen(_changed_phones(now["phones"], old["phones"]), "changed-phones")
+        # The first load answers every dispatch for the first time, so its phones need no comparison.
+        changed = now["phones"]
+        if last >= 0:
+            changed = frozen(_changed_phones(now["phones"], old["phones"]), "changed-phones")
         periods = _periods(_changed_periods(now["periods"], old["periods"]))
         new = now["periods"].where(_in(periods)).agg(F.sum("n")).first()[0] or 0
         if last >= 0:
             periods |= _periods(_answered_anew(sent.where(~_in(periods)), changed))
         rows, periods = self._closed(sent, periods)
-        events = attribute_system(rows, appearances, self.null_dates, unique_ids=self.unique_ids)
+        events = events_of_histories(rows, now["phones"], self.null_dates, unique_ids=self.unique_ids)
         here = events.withColumn(PERIOD, self.period).where(_in(periods))
         events = frozen(here.select(*EVENTS.fieldNames()), "new-events")
         here = events.groupBy(self.period.alias(PERIOD)).agg(F.count("cpf").alias("people")).collect()

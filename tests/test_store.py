@@ -5,10 +5,12 @@ import pytest
 from frames import appearances, dispatch, some_time
 from pyspark.sql import functions as F
 
+from dialwise.operators import attribution
 from dialwise.operators import profiles as pf
 from dialwise.operators import ranking as rk
 from dialwise.operators import rates as rt
-from dialwise.operators.attribution import attribute_system
+from dialwise.operators.attribution import attribute_system, phone_histories
+from dialwise.plans import store as store_module
 from dialwise.plans.store import EventStore
 from dialwise.session import file_system, new_table_path
 
@@ -175,6 +177,24 @@ def test_an_update_that_broke_off_is_done_again(spark, store, monkeypatch):
     check(store, dispatch(spark, more), listed)
 
 
+def test_an_update_builds_the_histories_once(spark, store, monkeypatch):
+    built = []
+
+    def counted(*args):
+        built.append(args)
+        return phone_histories(*args)
+
+    with monkeypatch.context() as patched:
+        for module in (attribution, store_module):
+            patched.setattr(module, "phone_histories", counted)
+        first = store.update(dispatch(spark, SENT), appearances(spark, LISTED))
+        assert (len(built), first.changed_phones) == (1, 4)
+        late = [*LISTED, (10, "21", 8, at(2), 1)]
+        assert store.update(dispatch(spark, SENT), appearances(spark, late)).changed_phones == 1
+        assert len(built) == 2
+    check(store, dispatch(spark, SENT), appearances(spark, late))
+
+
 def test_profiles_merge_in_any_order(spark):
     events = attribute_system(dispatch(spark, SENT), appearances(spark, LISTED))
     whole = pf.daily_profile(events)
