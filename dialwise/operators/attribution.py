@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialwise.functions import delivered_flag
-from dialwise.schemas import EVENTS, PHONE_ATTRIBUTES
+from dialwise.schemas import DISPATCH, EVENTS, PHONE_ATTRIBUTES
 
 # Stands for a system that is null in minima, where it comes first.
 _NO_SYSTEM = "-9223372036854775808"
@@ -162,8 +162,10 @@ def enrich_dispatch(
 def answered(
     dispatch: DataFrame, histories: DataFrame, attributes: Sequence[str] = PHONE_ATTRIBUTES
 ) -> DataFrame:
-    """As :func:`enrich_dispatch`, from histories that hold the named attributes."""
-    sent = with_send_day(dispatch)
+    """As :func:`enrich_dispatch`, from histories that hold the named attributes.
+
+    What follows from a dispatch is added after the join, so that the rows it moves and sorts are narrow.
+    """
     lonely = F.when(
         F.col("contato_telefone").isNull(), F.pmod(F.xxhash64("id_disparo", "cpf"), F.lit(_NO_PHONE)) + 1
     ).otherwise(F.lit(0))
@@ -172,9 +174,9 @@ def answered(
     by_phone = histories.withColumnRenamed("phone", "contato_telefone").withColumn(
         "spread", F.expr("fan_out % 1")
     )
+    joined = dispatch.withColumn("spread", lonely).join(by_phone, ["contato_telefone", "spread"], "left")
     found = (
-        sent.withColumn("spread", lonely)
-        .join(by_phone, ["contato_telefone", "spread"], "left")
+        with_send_day(joined)
         .withColumn("state", F.expr(state_on("envio_data")))
         .withColumn("won", F.expr("coalesce(state.valid, any)"))
     )
@@ -186,7 +188,7 @@ def answered(
         "valid_at_send": "coalesce(state.usable, 0L)",
     }
     return found.select(
-        *sent.columns, *[F.expr(e).alias(name) for name, e in answers.items()], *attributes
+        *with_send_day(dispatch).columns, *[F.expr(e).alias(name) for name, e in answers.items()], *attributes
     )
 
 
@@ -217,22 +219,20 @@ def events_of_histories(
     attributes: Sequence[str] = PHONE_ATTRIBUTES,
     unique_ids: bool = False,
 ) -> DataFrame:
-    """As :func:`attribute_system`, from histories built with the same ``null_dates``."""
-    chosen = answered(dispatch, histories, attributes)
+    """As :func:`attribute_system`, from histories built with the same ``null_dates``.
+
+    The rows that are told apart by id hold the dispatch and its answer; the rest is added to those left.
+    """
+    found = answered(dispatch, histories, attributes)
+    chosen = found.select(*DISPATCH.fieldNames(), "prefer", "choice.*", *attributes)
     if not unique_ids:
         chosen = _one_row_per_id(chosen, null_dates)
-    from_choice = ["id_sistema_mask", "registro_data_atualizacao"]
+    events = with_send_day(chosen).withColumn("age_days", F.expr(_AGE))
     left_out = set(PHONE_ATTRIBUTES) - set(attributes)
-    return chosen.selectExpr(
-        *[
-            f"choice.{c} AS {c}" if c in from_choice else _AGE if c == "age_days" else c
-            for c in EVENTS.fieldNames()
-            if c not in left_out
-        ]
-    )
+    return events.select(*[c for c in EVENTS.fieldNames() if c not in left_out])
 
 
-_AGE = "CAST(datediff(envio_data, choice.registro_data_atualizacao) AS DOUBLE) AS age_days"
+_AGE = "CAST(datediff(envio_data, registro_data_atualizacao) AS DOUBLE)"
 
 
 def _one_row_per_id(chosen: DataFrame, null_dates: str) -> DataFrame:
@@ -241,8 +241,7 @@ def _one_row_per_id(chosen: DataFrame, null_dates: str) -> DataFrame:
     place = F.expr(
         f"""row_number() OVER (
               PARTITION BY id_disparo
-              ORDER BY prefer DESC, choice.registro_data_atualizacao DESC NULLS {nulls},
-                       choice.id_sistema_mask, envio_datahora, contato_telefone, cpf,
-                       status_disparo)"""
+              ORDER BY prefer DESC, registro_data_atualizacao DESC NULLS {nulls},
+                       id_sistema_mask, envio_datahora, contato_telefone, cpf, status_disparo)"""
     )
     return chosen.withColumn("place", place).where("place = 1")

@@ -89,6 +89,22 @@ def test_a_task_of_the_attribution_holds_the_days_of_its_phones_once(spark, sett
     assert not re.search(r"Sort \[(telefone_numero|l_orderkey)#", plan)
 
 
+def test_rows_that_the_attribution_sorts_hold_a_dispatch_and_its_answer_only(spark, settings):
+    """A phone that holds most dispatches is sorted by one task, first for the join and then by id."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__debug__maxToStringFields="200")
+    plan = plan_of(t.events(spark, SF_DIR))
+
+    def columns(above: str) -> set[str]:
+        (listed,) = re.findall(above + r"[^\n]*\n[^\n]*Project \[([^\n]*)\]\n", plan)
+        return {re.search(r"(\w+)#\d+L?$", c)[1] for c in re.split(r", (?=[^()]*(?:\(|$))", listed)}
+
+    sent = {"id_disparo", "cpf", "contato_telefone", "envio_datahora", "status_disparo"}
+    joined = columns(r"Exchange hashpartitioning\(contato_telefone#\d+L?, spread#\d+L?, \d+\)")
+    assert joined == sent | {"spread"}
+    told_apart = columns(r"Sort \[id_disparo")
+    assert told_apart == sent | {"prefer", "id_sistema_mask", "registro_data_atualizacao"}
+
+
 @pytest.mark.parametrize("attributes", [(), ("telefone_ddd",)])
 def test_attribution_scans_each_table_once(spark, settings, tmp_path, attributes):
     settings(spark__sql__maxMetadataStringLength="2000", spark__sql__autoBroadcastJoinThreshold="-1")
